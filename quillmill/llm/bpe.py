@@ -17,11 +17,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_texts, table
 
 CACHE = 400_000
 LONG = 512
@@ -217,18 +216,18 @@ def bpe_codec(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
     bytes come from the ids alone.
     """
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    kind = dict(docs.dtypes)["doc_id"]
+    results = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "binary"} if keep_ids else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = codec(file.value, pattern)
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                ids = list(own.encode_batch(t if isinstance(t, str) else None for t in part["text"]))
-                out = pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]})
-                yield out.assign(ids=ids) if keep_ids else out
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+
+        def run(texts: list[str | None]):
+            ids = list(own.encode_batch(texts))
+            return None, {"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]}
+
+        return run
+
+    return map_texts(docs, ["doc_id"], results, make)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def map_texts(docs: DataFrame, keep: list[str], results: dict[str, str], make: Callable, rows: int = 512) -> DataFrame:
+    """The columns `keep` as they are, and results (name: type) found from the texts, `rows` rows at a time.
+
+    make() is called once a task and gives a function from a list of texts (None for null) to (index, columns): the
+    columns by name, and for each of their rows the index of its text, or None where text and row correspond. Ids
+    never become Python numbers, so that nulls beside large ids cost no digits. Other columns of docs are ignored.
+    """
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {k}" for n, k in results.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                index, found = own(part.column("text").to_pylist())
+                kept = part if index is None else part.take(pa.array(index, pa.int64()))
+                columns = [kept.column(c) for c in keep] + [pa.array(found[n], _ARROW[k]) for n, k in results.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *results])
+
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def pieces_for(n: int, each: int, most: int = 1 << 20) -> int:
     """How many parts of about `each` rows n rows need."""
     return int(min(most, max(1, -(-int(n) // each))))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE, LONG, read_vocabulary, rust_spaces
-from .common import cut, ranked, table
+from .common import cut, map_texts, ranked, table
 
 WIDTH = 2048
 END = 1
@@ -68,24 +68,24 @@ def piece_tokenizer(file: bytes, pattern: str) -> PieceTokenizer:
 def pieces(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of each piece."""
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    kind = dict(docs.dtypes)["doc_id"]
     last = np.array([end], "<u4").tobytes()
+    names = ["start", "length", "ids_crc32", "doc_tokens"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = piece_tokenizer(file.value, pattern)
-        for batch in batches:
-            for begin in range(0, len(batch), 256):
-                part = batch.iloc[begin : begin + 256]
-                rows = []
-                for doc_id, ids in zip(part["doc_id"], own.encode_group([t if isinstance(t, str) else "" for t in part["text"]]), strict=True):
-                    ids += last
-                    n = len(ids) // 4
-                    rows += [(doc_id, s, min(width, n - s), zlib.crc32(ids[4 * s : 4 * (s + width)]), n) for s in range(0, n, width)]
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                out["doc_id"] = out["doc_id"].astype(part["doc_id"].dtype)
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+
+        def run(texts: list[str | None]):
+            rows = []
+            for i, ids in enumerate(own.encode_group([t or "" for t in texts])):
+                ids += last
+                n = len(ids) // 4
+                rows += [(i, s, min(width, n - s), zlib.crc32(ids[4 * s : 4 * (s + width)]), n) for s in range(0, n, width)]
+            index, *columns = zip(*rows, strict=True)
+            return index, dict(zip(names, columns, strict=True))
+
+        return run
+
+    return map_texts(docs, ["doc_id"], dict.fromkeys(names, "long"), make, 256)
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:

@@ -13,15 +13,13 @@ and a small language that of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, map_texts, table
 
 #: Symbols that seldom stand in prose.
 SYMBOLS = "#*$%&|<>"
@@ -77,20 +75,14 @@ def repeated(words: list[str]) -> int:
     return int(np.count_nonzero(np.cumsum(marks[:n])))
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts = np.array([measure(t) for t in batch["text"]], np.int64).reshape(-1, len(COUNTS))
-        out = batch.drop(columns="text")
-        for i, name in enumerate(COUNTS):
-            out[name] = counts[:, i]
-        yield out
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts; the texts stay where they are."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", "lang", "source")), *(f"{c} long" for c in COUNTS)])
-    return docs.select("doc_id", "lang", "source", "text").mapInPandas(_measured, schema)
+
+    def counts(texts: list[str | None]):
+        found = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return None, {name: found[:, i] for i, name in enumerate(COUNTS)}
+
+    return map_texts(docs, ["doc_id", "lang", "source"], dict.fromkeys(COUNTS, "long"), lambda: counts)
 
 
 def base_failed() -> Column:

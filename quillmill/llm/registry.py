@@ -1,7 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import quality_rules
+from . import bpe, language_id, packing, quality_rules, sharding, token_counts
 
-_MODULES = [quality_rules]
+_MODULES = [quality_rules, sharding, bpe, token_counts, language_id, packing]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
