@@ -20,10 +20,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, LONG, read_vocabulary, rust_spaces
+from .bpe import LONG, read_vocabulary, rust_spaces
 from .common import cut, map_texts, ranked, table
 
 WIDTH = 2048
+#: Pieces that a worker remembers, about 200 bytes each.
+CACHE = 800_000
+#: Pieces in one call of the library.
+ROW = 10_000
 END = 1
 
 
@@ -31,7 +35,7 @@ class PieceTokenizer:
     """Ids by the tokenizers library, looked up by pre-token.
 
     A byte-level tokenizer encodes each match of its pattern alone, so the library is asked once for each distinct
-    match, and a text's ids are those of its matches in a row. The memory is bounded as in bpe.py.
+    match, and a text's ids are those of its matches in a row. What a worker remembers is bounded as in bpe.py.
     """
 
     def __init__(self, file: bytes, pattern: str):
@@ -42,6 +46,28 @@ class PieceTokenizer:
         self.split = regex.compile(rust_spaces(pattern)).findall
         self.cache: dict[str, bytes] = {}
 
+    def encode_pieces(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers.
+
+        Pieces of a space and something else still part where they did when they are put in a row, which saves a call
+        for each; should a row part otherwise, its pieces are encoded one by one.
+        """
+        coded: dict[str, bytes] = {}
+        spaced = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        alone = [p for p in new if not (len(p) > 1 and p[0] == " " and not p[1].isspace())]
+        for start in range(0, len(spaced), ROW):
+            row = spaced[start : start + ROW]
+            found = self.tokenizer.encode("".join(row), add_special_tokens=False)
+            words = np.array(found.word_ids, np.int64)
+            if len(words) and words[-1] == len(row) - 1:
+                raw = np.array(found.ids, "<u4").tobytes()
+                cuts = (4 * np.searchsorted(words, np.arange(len(row) + 1))).tolist()
+                coded.update(zip(row, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            else:
+                alone += row
+        coded.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return coded
+
     def encode_group(self, texts: list[str]) -> Iterator[bytes]:
         cut_texts = [self.split(t) if t else [] for t in texts]
         wanted = set().union(*cut_texts)
@@ -49,12 +75,12 @@ class PieceTokenizer:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = list(wanted)
-        coded = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+        coded = self.encode_pieces(new)
         long = {p: c for p, c in coded.items() if len(p) > LONG}
-        self.cache.update((p, c) for p, c in coded.items() if len(p) <= LONG)
+        self.cache.update((p, c) for p, c in coded.items() if len(p) <= LONG) if long else self.cache.update(coded)
         cache = self.cache
         for pieces in cut_texts:
-            yield b"".join([cache[p] if p in cache else long[p] for p in pieces])
+            yield b"".join([cache[p] if p in cache else long[p] for p in pieces] if long else map(cache.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)
