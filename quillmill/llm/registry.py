@@ -1,7 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe, language_id, ngram_join, packing, quality_rules, sharding, token_counts
+from . import bpe, language_id, ngram_join, packing, quality_rules, sharding, token_counts, toxicity
 
-_MODULES = [quality_rules, sharding, bpe, token_counts, ngram_join, language_id, packing]
+_MODULES = [quality_rules, sharding, bpe, token_counts, ngram_join, toxicity, language_id, packing]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
