@@ -140,24 +140,27 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = PENALTY) ->
     return Model({f: float(v) for f, v in zip(ids, w * x, strict=True) if v}, float(bias))
 
 
-def sampled(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most `sample` rows of each label: those with the lowest hashes of text and doc_id."""
-    order = [F.xxhash64("text"), F.xxhash64("doc_id"), F.col("doc_id")]
-    texts, labels = [], []
-    for label in (0, 1):
-        rows = labelled.where(F.col("toxic") == label).select("doc_id", "text").orderBy(*order).limit(sample)
-        texts += [r["text"] for r in rows.collect()]
-        labels += [label] * (len(texts) - len(labels))
-    return texts, labels
-
-
-def toxicity(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str | None], list[int]]:
+    """Texts and labels to learn from: of each label the `sample` rows with the lowest hashes of their doc_id.
+
+    The sample is drawn from the labels before they meet the texts, so that its join is a broadcast of bounded size and
+    no text is shuffled. Should doc_ids repeat, the same bound holds once more after the join.
+    """
+    known = labels.where(~held_out("doc_id")).select(F.col("doc_id").alias("l_doc_id"), F.col("toxic").cast("int").alias("l_toxic"))
+    drawn = [known.where(F.col("l_toxic") == label).orderBy(F.xxhash64("l_doc_id"), "l_doc_id").limit(sample) for label in (0, 1)]
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("doc_id") == F.col("l_doc_id"))
+    rows = joined.orderBy("doc_id", "l_toxic", F.xxhash64("text")).limit(2 * sample).select("text", "l_toxic").collect()
+    return [r["text"] for r in rows], [r["l_toxic"] for r in rows]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs (doc_id, text; more columns are ignored): doc_id, score (0 to 1), predicted (1 from threshold on).
 
-    labelled has doc_id, text and toxic (0, 1; others are ignored). Null and empty texts score as the bias alone says.
-    Equal texts score alike. Without labels of both kinds every text scores the same. Empty docs give an empty result.
+    labels has doc_id and toxic (0, 1; others are ignored); rows that are held out teach nothing. Null and empty texts
+    score as the bias alone says. Equal texts score alike. Without labels of both kinds every text scores the same.
+    Empty docs give an empty result.
     """
-    model = fit(*sampled(labelled, sample))
+    model = fit(*sampled(docs, labels, sample))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def make():
@@ -172,15 +175,9 @@ def toxicity(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, thresho
     return map_texts(docs, ["doc_id"], {"score": "double", "predicted": "int"}, make)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows that may be learned from."""
-    known = labels.where(~held_out("doc_id")).where("toxic IS NOT NULL").select(F.col("doc_id").alias("l_doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("l_doc_id")).select("doc_id", "text", "toxic")
-
-
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity(docs, labelled_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
