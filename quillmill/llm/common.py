@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,19 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, one is made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's spark.checkpoint.dir, or one made here only where that is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns and `__row`, a struct of all of docs: what is computed beside it can't clash with a column's name."""
+    return docs.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+_SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType()}
 
 
 def map_texts(docs: DataFrame, keep: list[str], results: dict[str, str], make: Callable, rows: int = 512) -> DataFrame:
@@ -44,8 +53,7 @@ def map_texts(docs: DataFrame, keep: list[str], results: dict[str, str], make: C
     columns by name, and for each of their rows the index of its text, or None where text and row correspond. Ids
     never become Python numbers, so that nulls beside large ids cost no digits. Other columns of docs are ignored.
     """
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} {k}" for n, k in results.items())])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(n, _SPARK[k]) for n, k in results.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()

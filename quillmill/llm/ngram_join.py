@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, pieces_for, table
+from .common import cut, map_texts, pieces_for, table, with_row
 
 WORDS = 5
 #: A likeness of at least NUM / DEN.
@@ -99,13 +99,13 @@ def least_lead(size):
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key: a row per row of docs; key is null for an empty set."""
+    """doc_id, tie (a hash of the text), n_shingles, key: a row per row of docs; key is null for an empty set."""
 
     def run(texts: list[str | None]):
         sets = [*map(shingle_set, texts)]
         return None, {"n_shingles": [len(s) for s in sets], "key": [key_of(s) if len(s) else None for s in sets]}
 
-    return map_texts(docs, ["doc_id"], {"n_shingles": "long", "key": "binary"}, lambda: run)
+    return map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")), ["doc_id", "tie"], {"n_shingles": "long", "key": "binary"}, lambda: run)
 
 
 def _short(key: bytes) -> int:
@@ -457,6 +457,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     nothing and are their own class and component. A row without doc_id counts for nothing and gets nulls; repeated
     rows are copies of each other; one doc_id with two texts is two documents. An empty table gives an empty result.
     """
+    return _joined(docs).drop("tie")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -487,10 +491,25 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     return (
         rows.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key")))
         .join(verdicts, "key", "left")
-        .select("doc_id", "n_shingles", *[F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")], F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+        .select("doc_id", "tie", "n_shingles", *[F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")], F.when(own, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of which no row with a smaller doc_id is in the same component.
+
+    Rows without doc_id stay; of rows with one doc_id and one text one stays.
+    """
+    from pyspark.sql import Window
+
+    stay = _joined(docs).where("component_id = doc_id").select(F.col("doc_id").alias("s_doc_id"), F.col("tie").alias("s_tie")).distinct()
+    rows = with_row(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("tie"), "__row")
+    on = (F.col("doc_id") == F.col("s_doc_id")) & (F.col("tie") == F.col("s_tie"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie"))
+    found = rows.join(stay, on, "left_semi").withColumn("first", first).where("first = 1")
+    return found.select("__row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 

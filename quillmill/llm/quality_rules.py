@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_texts, table
+from .common import WORD, cut, map_texts, table, with_row
 
 #: Symbols that seldom stand in prose.
 SYMBOLS = "#*$%&|<>"
@@ -75,14 +75,14 @@ def repeated(words: list[str]) -> int:
     return int(np.count_nonzero(np.cumsum(marks[:n])))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts; the texts stay where they are."""
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` and the counts; the texts stay where they are."""
 
     def counts(texts: list[str | None]):
         found = np.array([measure(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
         return None, {name: found[:, i] for i, name in enumerate(COUNTS)}
 
-    return map_texts(docs, ["doc_id", "lang", "source"], dict.fromkeys(COUNTS, "long"), lambda: counts)
+    return map_texts(docs, keep, dict.fromkeys(COUNTS, "long"), lambda: counts).withColumn("base_failed", base_failed())
 
 
 def base_failed() -> Column:
@@ -145,18 +145,28 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REAC
     sources form groups of their own. Equal rows get equal verdicts. An empty table gives an empty result. A group
     without any document past the base rule has no fences and needs none.
     """
-    counted = cut(measured(docs).withColumn("base_failed", base_failed()))
-    bounds = fences(sketches(counted), min_group, reach)
+    counted = cut(measured(docs, ["doc_id", "lang", "source"]))
+    judged_rows = judged(counted, fences(sketches(counted), min_group, reach))
+    return judged_rows.select("doc_id", "lang", "source", *COUNTS, *[ratio(r).alias(r) for r in RATIOS], "base_failed", "kept")
+
+
+def judged(counted: DataFrame, bounds: DataFrame) -> DataFrame:
+    """counted, joined with the fences of each row's group, with kept."""
     on = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
-    joined = counted.join(bounds, on, "left")
     inside = F.lit(True)
     for r, (_, _, _, _, sides) in RATIOS.items():
         inside = inside & (ratio(r) <= F.col(f"high_{r}"))
         if sides == 2:
             inside = inside & (ratio(r) >= F.col(f"low_{r}"))
-    return joined.select(
-        "doc_id", "lang", "source", *COUNTS, *[ratio(r).alias(r) for r in RATIOS], "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept")
-    )
+    return counted.join(bounds, on, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+
+
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns. The texts are measured twice and not shuffled."""
+    columns = ["lang", "source", "text"]
+    bounds = cut(fences(sketches(cut(measured(docs, ["lang", "source"]))), min_group, reach))
+    rows = judged(measured(with_row(docs, *columns), ["lang", "source", "__row"]), bounds)
+    return rows.where("kept").select("__row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, table
+from .common import held_out, map_texts, table, with_row
 
 #: Identity terms by kind; a term is swapped for the others of its kind.
 IDENTITY = (
@@ -153,8 +153,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[l
     return [r["text"] for r in rows], [r["l_toxic"] for r in rows]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs (doc_id, text; more columns are ignored): doc_id, score (0 to 1), predicted (1 from threshold on).
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs (doc_id, text; more columns are ignored): the columns `keep`, score (0 to 1), predicted (1 from threshold on).
 
     labels has doc_id and toxic (0, 1; others are ignored); rows that are held out teach nothing. Null and empty texts
     score as the bias alone says. Equal texts score alike. Without labels of both kinds every text scores the same.
@@ -172,7 +172,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
         return run
 
-    return map_texts(docs, ["doc_id"], {"score": "double", "predicted": "int"}, make)
+    return map_texts(docs, [*keep], {"score": "double", "predicted": "int"}, make)
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that toxicity does not predict to be toxic, with all their columns."""
+    return toxicity(with_row(docs, "doc_id", "text"), labels, keep=("__row",)).where("predicted = 0").select("__row.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
