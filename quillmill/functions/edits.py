@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .labels import derive, replayed_tokens
 from .segmentation import TOKEN
 
 EDIT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("op", T.StringType()), T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
@@ -65,6 +66,41 @@ def edit_counts(source: str | None, target: str | None, predicted: str | None) -
     return tp, sum(got.values()) - tp, sum(gold.values()) - tp, sum(gold.values()), sum(got.values())
 
 
+def labels_between(source: str, target: str) -> list[str] | None:
+    """Labels of the source's tokens whose replay gives the target's tokens; None where there are none.
+
+    What is inserted goes with the token before it, or with the first one if that one is replaced; before a first token
+    that stays nothing can be inserted.
+    """
+    a, b = TOKEN.findall(source), TOKEN.findall(target)
+    made: list[list[str]] = [[t] for t in a]
+    lead: list[str] = []
+    for at, op, _, new in token_edits(a, b):
+        if op == "insert":
+            (made[at - 1] if at else lead).append(new)
+        else:
+            made[at] = made[at][1:] if op == "delete" else [new, *made[at][1:]]
+    if lead:
+        if not a or made[0][:1] in ([], [a[0]]):
+            return None
+        made[0] = lead + made[0]
+    try:
+        labels = [derive(t, words) for t, words in zip(a, made, strict=True)]
+        return labels if list(replayed_tokens(a, labels)) == b else None
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _labels(source: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([labels_between(a or "", b or "") for a, b in zip(source, target, strict=True)], dtype=object)
+
+
+def aligned_labels(source: Column | str, target: Column | str) -> Column:
+    """array of labels, checked by replay; null where no labels make the target."""
+    return _labels(source, target)
+
+
 @F.pandas_udf(T.ArrayType(EDIT))
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(EDIT.names, e, strict=True)) for e in text_edits(x, y)] for x, y in zip(a, b, strict=True)], dtype=object)

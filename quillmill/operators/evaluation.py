@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.edits import counts, edits
+
 OVERALL = "overall"
 
 
@@ -193,3 +195,21 @@ def hash_split(pairs: DataFrame, seed: int, fraction: float) -> DataFrame:
     last = ends.first()
     at = F.struct("digest", "row_number")
     return hashed.withColumn("is_test", at <= F.struct(F.lit(last["digest"]).alias("digest"), F.lit(last["row_number"]).alias("row_number")))
+
+
+def scored_rows(rows: DataFrame, outputs: DataFrame) -> DataFrame:
+    """rows (row_id, input, target, grp) and outputs (row_id, mode, normalized, output) as one row a mode with edit counts.
+
+    errors_before, errors_after and final_errors_after are the edits that the input, the normalized text and the output
+    are away from the target; tp, fp and fn compare the edits of the output with those of the target.
+    """
+    joined = rows.join(outputs, "row_id").withColumn("c", counts("input", "target", "output"))
+    away = lambda text: F.size(edits(text, "target")).cast("long")
+    return joined.select("row_id", "mode", "grp", "input", "target", "normalized", "output", "c.tp", "c.fp", "c.fn", F.col("c.gold").alias("errors_before"), away("normalized").alias("errors_after"), away("output").alias("final_errors_after"), (F.col("output") == F.col("target")).alias("exact"))
+
+
+def evaluated(rows: DataFrame, outputs: DataFrame, fixed: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Metrics by mode and group, predictions, and the comparison of modes on and off (empty with one mode)."""
+    predictions = scored_rows(rows, outputs)
+    metrics = dense_groups(predictions, fixed)
+    return metrics, predictions, compared_modes(metrics, ["precision", "recall", "f05", "error_reduction_rate", "final_system_error_reduction_rate"])

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..functions import segmentation as sg
 from ..functions import text as tx
-from .evaluation import ratio
+from ..functions.edits import aligned_labels, counts, edits
+from .evaluation import by_memberships, complete, field_groups, ratio
 
 # Fixed values of the acceptance gate: what it looks at, and the bounds to proceed and to stop.
 #: (rule, suite, group, metric, kind, bound, least n). Kinds: gain (difference at least), value (the candidate's value at
@@ -155,6 +156,53 @@ def quota_sample(pool: DataFrame, quotas: dict[str, dict[str, int]], seed: int,
     return out
 
 
+def prepared_cases(rows: DataFrame, seed: int, quotas: dict[str, dict[str, int]] | None = None, control_quota: int = 10, require_full: bool = True) -> DataFrame:
+    """The stress set of clean rows (key, clean_id, text): doubled tokens by quota and controls, each with an id from its content.
+
+    A doubled token counts only if labels can undo it. case_id is the first 20 digits of a digest.
+    """
+    pool = corruption_candidates(rows)
+    pool = pool.withColumn("labels", aligned_labels("source_text", "target_text")).where("labels IS NOT NULL")
+    chosen = quota_sample(pool, quotas or QUOTAS, seed, require_full)
+    cases = chosen.select(F.lit("duplicate").alias("case_type"), "stratum", F.col("bucket").alias("length_bucket"), "clean_id", "source_text", "target_text", F.col("token").alias("duplicate_token"))
+    plain = controls(rows, chosen, control_quota, seed)
+    none = F.lit(None).cast("string")
+    cases = cases.unionByName(plain.select(F.col("kind").alias("case_type"), none.alias("stratum"), none.alias("length_bucket"), "clean_id", F.col("text").alias("source_text"), F.col("text").alias("target_text"), none.alias("duplicate_token")))
+    return cases.withColumn("case_id", F.substr(F.sha2(F.concat_ws("\0", "case_type", "source_text", "target_text").cast("binary"), 256), F.lit(1), F.lit(20)))
+
+
+def audit(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """One row: cases that only the record has, and that only the recomputation has; both 0 where they agree."""
+    columns = recorded.columns
+    again = recomputed.select(*columns)
+    return recorded.exceptAll(again).agg(F.count(F.lit(1)).alias("only_recorded")).crossJoin(again.exceptAll(recorded).agg(F.count(F.lit(1)).alias("only_recomputed")))
+
+
+def stress_summary(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """pass, grp and the bundle of sums: predictions (case_id, pass, output) of cases, scored by edits and grouped by what the case is.
+
+    Groups: duplicate_corruptions or identity_controls, and field=value for stratum, bucket, target class and coverage.
+    """
+    joined = matched_cases(cases, predictions).withColumn("g", edits("source_text", "target_text")).withColumn("p", edits("source_text", "output")).withColumn("c", counts("source_text", "target_text", "output"))
+    deletes = lambda c: F.size(F.filter(c, lambda e: e["op"] == "delete"))
+    hit = F.size(F.array_intersect(F.filter("g", lambda e: e["op"] == "delete"), F.filter("p", lambda e: e["op"] == "delete")))
+    kind = F.when(F.col("case_type") == "duplicate", "duplicate_corruptions").otherwise("identity_controls")
+    target = F.when(F.col("duplicate_token").isNotNull(), F.when(tx.is_function_word("duplicate_token"), "function").otherwise("content"))
+    labels = F.concat(F.array(kind), field_groups(stratum=F.col("stratum"), length_bucket=F.col("length_bucket"), target_class=target, **({"duplicate_token_coverage": F.col("duplicate_token_coverage")} if "duplicate_token_coverage" in cases.columns else {})))
+    scored = joined.select("pass", labels.alias("groups"), "c.tp", "c.fp", "c.fn", hit.alias("delete_tp"), (deletes("p") - hit).alias("delete_fp"), (deletes("g") - hit).alias("delete_fn"), F.size("g").alias("initial"), F.size(edits("output", "target_text")).alias("residual"), (F.col("output") == F.col("target_text")).alias("exact"))
+    return by_memberships(scored, F.col("groups"), ["pass"])
+
+
+def matched_cases(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """cases with their predictions; ValueError unless every case has every pass once and nothing else is predicted."""
+    passes = predictions.select("pass").distinct()
+    grid = cases.select("case_id").crossJoin(passes)  # cases times a handful of passes
+    found = complete(grid, predictions, ["case_id", "pass"]).first().asDict()
+    if any(found.values()):
+        raise ValueError(f"cases and predictions differ: {found}")
+    return cases.join(predictions, "case_id")
+
+
 def controls(rows: DataFrame, used: DataFrame, quota: int, seed: int) -> DataFrame:
     """Clean rows (key, clean_id, text) as controls: of those with and of those without a doubled word the quota by rank, none that `used` has."""
     free = rows.join(used.select("clean_id").distinct(), "clean_id", "left_anti")

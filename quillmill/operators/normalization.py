@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.candidates import candidates_udf, eligible, pair_rules_udf
-from ..functions.distance import dld
+from ..functions.candidates import candidates, candidates_udf, eligible, pair_rules_udf
+from ..functions.distance import damerau_levenshtein, dld
 
-#: Rule and form tables that travel with a UDF or a pattern may have so many rows.
-MOST_RULES, MOST_FORMS = 200_000, 20_000
+#: Tables that travel with a UDF or a pattern may have so many rows.
+MOST_RULES, MOST_FORMS, MOST_WORDS = 200_000, 20_000, 500_000
 
 
 # Artifacts
@@ -111,11 +111,11 @@ def nearest(scored: DataFrame, keys: list[str], k: int, distance: str = "distanc
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(distance, order))).where(F.col("rank") <= k)
 
 
-def in_vocabulary(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def in_vocabulary(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Those rows (word, candidate, ...) of which every part of the candidate is in the vocabulary (word); blank ones are not."""
-    parts = candidates.select("word", "candidate", F.explode(tx.space_words(F.lower("candidate"))).alias("part")).distinct()
+    parts = found.select("word", "candidate", F.explode(tx.space_words(F.lower("candidate"))).alias("part")).distinct()
     missing = parts.join(vocabulary.select(F.col("word").alias("part")), "part", "left_anti").select("word", "candidate").distinct()
-    return candidates.where(~tx.blank("candidate")).join(missing, ["word", "candidate"], "left_anti")
+    return found.where(~tx.blank("candidate")).join(missing, ["word", "candidate"], "left_anti")
 
 
 def rule_map(rules: DataFrame) -> dict[str, dict[str, float]]:
@@ -136,16 +136,56 @@ def word_candidates(words: DataFrame, rules: Mapping[str, Mapping[str, float]],
     return words.select("word").distinct().where(eligible(F.col("word"))).select("word", F.inline(make("word")))
 
 
-def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100, max_distance: int | None = 2) -> DataFrame:
+def small_vocabulary(vocabulary: DataFrame) -> frozenset[str] | None:
+    """The words on the driver, or None above MOST_WORDS."""
+    rows = vocabulary.select(F.lower("word").alias("word")).distinct().limit(MOST_WORDS + 1).collect()
+    return frozenset(r["word"] for r in rows) if len(rows) <= MOST_WORDS else None
+
+
+_ANSWER = T.StructType([T.StructField("normalized", T.StringType()), T.StructField("distance", T.IntegerType())])
+
+
+def nearest_known(rules: Mapping[str, Mapping[str, float]], words: frozenset[str], longest: int, cutoff: int, max_distance: int | None):
+    """A UDF from a word that is not in `words` to the nearest known candidate and its distance; null where it stays."""
+    frozen = {src: dict(dst) for src, dst in rules.items()}
+
+    @F.pandas_udf(_ANSWER)
+    def run(asked):
+        import pandas as pd
+
+        out = []
+        for word in asked:
+            best, least = None, 0
+            for c in candidates(word, frozen, longest, cutoff):
+                parts = c.split()
+                if parts and words.issuperset(map(str.lower, parts)):
+                    d = damerau_levenshtein(word, c)
+                    if best is None or d < least:
+                        best, least = c, d
+            stays = best is None or best == word or max_distance is not None and least > max_distance
+            out.append((None, None) if stays else (best.strip(), least))
+        return pd.DataFrame(out, columns=_ANSWER.names).astype({"distance": "Int32"})
+
+    return run
+
+
+def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, relational: bool = False) -> DataFrame:
     """word, normalized, distance of the words that automatic normalization changes.
 
     Words of the vocabulary, of one or of more than 128 letters stay. Of the candidates that the vocabulary knows, the
     nearest by Damerau-Levenshtein wins, of equally near ones the one that came up first; if it is the word itself or
-    further than max_distance, the word stays.
+    further than max_distance, the word stays. A vocabulary of up to MOST_WORDS words travels with the UDF; beyond, or
+    if relational is set, candidates are rows that are joined with it.
     """
-    unknown = words.select(F.lower("word").alias("word")).distinct().join(vocabulary.select("word"), "word", "left_anti")
-    known = in_vocabulary(word_candidates(unknown, rules, longest, cutoff), vocabulary)
-    best = first_least(known.withColumn("distance", dld("word", "candidate")), ["word"])
+    unknown = words.select(F.lower("word").alias("word")).distinct().join(vocabulary.select(F.lower("word").alias("word")), "word", "left_anti")
+    known = None if relational else small_vocabulary(vocabulary)
+    if known is not None:
+        # Distinct words, dealt evenly: their cost differs, and a few partitions of a small table would wait for one.
+        asked = unknown.where(eligible(F.col("word"))).repartition("word")
+        answered = asked.select("word", nearest_known(rules, known, longest, cutoff, max_distance)("word").alias("a"))
+        return answered.where("a.normalized IS NOT NULL").select("word", "a.normalized", "a.distance")
+    survivors = in_vocabulary(word_candidates(unknown, rules, longest, cutoff), vocabulary)
+    best = first_least(survivors.withColumn("distance", dld("word", "candidate")), ["word"])
     near = F.lit(True) if max_distance is None else F.col("distance") <= max_distance
     return best.where((F.col("candidate") != F.col("word")) & near).select("word", F.btrim("candidate").alias("normalized"), "distance")
 

@@ -316,3 +316,32 @@ def built_vocabulary(labels: DataFrame, most: int) -> DataFrame:
 def table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a relational database, by JDBC; the driver's jar is the cluster's business."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def digests_in(json_text: F.Column) -> F.Column:
+    """The distinct SHA-256 digests, in order, under any key of a JSON text that speaks of sha256, however deep."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(json_text), F.lit(r'"[^"]*sha256[^"]*"\s*:\s*"([0-9a-f]{64})"'), 1)))
+
+
+def checked_labels(vocabulary_rows: DataFrame, keep: str = "$KEEP") -> None:
+    """SourceError unless ids (label, id) run from 0 without gaps, each once, and $KEEP is among the labels."""
+    r = vocabulary_rows.agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"), F.count_distinct("label").alias("l"), F.count_if(F.col("label") == keep).alias("k")).first()
+    if (r["a"], r["z"], r["d"], r["l"], r["k"]) != (0, r["n"] - 1, r["n"], r["n"], 1):
+        raise SourceError("label ids have gaps or repeat, or keep is missing")
+
+
+def checked_manifest(manifest: dict, expected: dict, parent: str | None = None) -> None:
+    """SourceError unless a model's manifest has the expected values (nested), and the parent's digest if one is named."""
+
+    def compare(have, want, at: str) -> None:
+        if isinstance(want, dict):
+            if not isinstance(have, dict):
+                raise SourceError(f"{at or 'the manifest'} is missing")
+            for key, value in want.items():
+                compare(have.get(key), value, f"{at}.{key}".lstrip("."))
+        elif have != want or type(have) is not type(want):
+            raise SourceError(f"{at} is {have!r}, not {want!r}")
+
+    compare(manifest, expected, "")
+    if parent is not None and manifest.get("hashes", {}).get("parent") != parent:
+        raise SourceError("the manifest names another parent")

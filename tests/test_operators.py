@@ -184,3 +184,35 @@ def test_store(spark):
 def test_islands(spark):
     spans = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 5, 9), (1, 8, 8), (1, 11, 12)], "k int, start int, end int")
     assert [r["island"] for r in pl.islands(spans, ["k"]).orderBy("start").collect()] == [1, 1, 2, 2, 3]
+
+
+def test_both_ways_to_normalize_agree(spark):
+    ws = words(spark, ["aq", "nmn", "tlga", "nm", "mn", "zz", "aqaq", "tlg"])
+    v = words(spark, [*VOCABULARY, "na", "ta"])
+    both = [sorted(map(tuple, nm.normalized_words(ws, v, RULES, relational=r).collect())) for r in (False, True)]
+    assert both[0] == both[1] and both[0]
+
+
+def test_evaluated(spark):
+    rows = spark.createDataFrame([(1, "I go", "I went", "x"), (2, "We see", "We saw", "y"), (3, "ok na", "ok na", None)], "row_id long, input string, target string, grp string")
+    outputs = spark.createDataFrame([(1, "off", "I go", "I went"), (2, "off", "We see", "We sees"), (3, "off", "ok na", "ok na po")], "row_id long, mode string, normalized string, output string")
+    metrics, _, _ = ev.evaluated(rows, outputs, [])
+    r = metrics.where("grp = 'overall'").first()
+    assert (r["tp"], r["fp"], r["fn"]) == (1, 2, 1)
+    assert (round(r["precision"], 9), r["recall"], round(r["f05"], 9)) == (round(1 / 3, 9), 0.5, round(5 / 14, 9))
+    assert r["errors_before"] == 2 and r["final_system_error_reduction_rate"] == 0.0
+
+
+def test_stress_set(spark):
+    texts = [f"ang bata ay masaya, {i} dahil kumain siya ng marami kahapon sa bahay" for i in range(40)] + ["po po ito nga", "oo"]
+    rows = spark.createDataFrame([(str(i), str(i), t) for i, t in enumerate(texts)], "key string, clean_id string, text string")
+    cases = ex.prepared_cases(rows, 1, {"interior_content": {"short": 5}, "initial_function": {"short": 3}}, 1)
+    cases = cases.cache()
+    assert cases.groupBy("case_type").count().count() == 3 and cases.select("case_id").distinct().count() == cases.count() == 10
+    assert cases.select("clean_id").distinct().count() == 10
+    assert ex.audit(cases, ex.prepared_cases(rows, 1, {"interior_content": {"short": 5}, "initial_function": {"short": 3}}, 1)).first().asDict() == {"only_recorded": 0, "only_recomputed": 0}
+    fixed = cases.select("case_id", F.lit(1).alias("pass"), F.col("target_text").alias("output"))
+    s = {r["grp"]: r for r in ex.stress_summary(cases, fixed.unionByName(cases.select("case_id", F.lit(5).alias("pass"), F.col("source_text").alias("output")))).collect() if r["pass"] == 1}
+    assert s["duplicate_corruptions"]["recall"] == 1.0 and s["duplicate_corruptions"]["delete_tp"] == 8 and s["identity_controls"]["fp"] == 0
+    with pytest.raises(ValueError, match="differ"):
+        ex.matched_cases(cases, fixed.limit(3))
