@@ -19,7 +19,9 @@ TOKEN = (
     r"|[\p{L}\p{N}_]+(?:[’'][\p{L}\p{N}_]+)*(?:[-‐‑][\p{L}\p{N}_]+(?:[’'][\p{L}\p{N}_]+)*)*"
     r"|[^\p{L}\p{N}_\s]"
 )
-LEXICAL_WORD = r"\p{L}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*"
+#: A word with apostrophes and hyphens; letters alone; a letter with what follows of letters and marks.
+LEXICAL_WORD = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*(?:[-‐‑][\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*)*"
+ALPHA_WORD = r"\p{L}+"
 WORD_LETTERS = r"\p{L}[\p{L}\p{M}]*"
 #: Function words that duplicate diagnostics set apart from content words.
 FUNCTION_WORDS = (
@@ -166,3 +168,13 @@ def canonical_type(name: Column | str) -> Column:
     """A category name in lower case with underscores, without a plural s."""
     plain = F.regexp_replace(F.lower(collapsed(name)), r"[\s-]+", "_")
     return F.when(plain.endswith("s") & ~plain.endswith("ss") & (F.length(plain) > 3), F.substr(plain, F.lit(1), F.length(plain) - 1)).otherwise(plain)
+
+
+def alpha_words(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(f"({ALPHA_WORD})"), 1)
+
+
+def containing(start: Column, end: Column, spans: Column) -> Column:
+    """The index of the first of the spans that holds (start, end) whole, from 0; null if none does."""
+    at = F.array_position(F.transform(spans, lambda s: (start >= s["start"]) & (end <= s["end"])), True)
+    return F.when(at > 0, (at - 1).cast("int"))

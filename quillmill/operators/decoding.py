@@ -184,3 +184,46 @@ def pass_view(corrections: DataFrame, key: str = "doc_id", width: int = 24) -> D
     """key, view: a line for each pass, its number, how many changes, and the start of its output."""
     line = lambda p, i: F.concat(F.rpad((i + 1).cast("string"), 4, " "), F.rpad(F.size(p["changes"]).cast("string"), 5, " "), F.substr(p["output"], F.lit(1), F.lit(width)))
     return corrections.select(key, F.array_join(F.transform("passes", line), "\n").alias("view"))
+
+
+# Providers
+
+
+def table_provider(labels: DataFrame, key: str = "doc_id") -> LabelProvider:
+    """A provider that looks labels up: labels has key, slot, sentence, labels, chances. A sentence that has changed since gets none."""
+    known = labels.select(key, "slot", F.col("sentence").alias("__s"), "labels", "chances")
+
+    def provide(slots: DataFrame) -> DataFrame:
+        return slots.join(known, [key, "slot"]).where(F.col("sentence") == F.col("__s")).select(key, "slot", "labels", "chances")
+
+    return provide
+
+
+def logits_provider(logits: DataFrame, vocabulary: DataFrame, key: str = "doc_id", **options) -> LabelProvider:
+    """A provider from a model's logits (key, slot, sentence, token_index, correction, detection) and its labels (label, id)."""
+    named = label_names(decoded(logits, **options), vocabulary)
+    order = F.array_sort(F.collect_list(F.struct("token_index", "label", "error_probability")))
+    rows = named.groupBy(key, "slot", "sentence").agg(order.alias("x"))
+    return table_provider(rows.select(key, "slot", "sentence", F.transform("x", lambda x: x["label"]).alias("labels"), F.transform("x", lambda x: x["error_probability"]).alias("chances")), key)
+
+
+def model_provider(predict, key: str = "doc_id") -> LabelProvider:
+    """A provider from a function that takes a pandas series of token lists and returns lists of (label, chance).
+
+    It runs in Arrow batches on the executors; what it loads it should load once a worker.
+    """
+    from pyspark.sql import types as T
+
+    kind = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("chance", T.DoubleType())]))
+
+    @F.pandas_udf(kind)
+    def run(tokens):
+        import pandas as pd
+
+        return pd.Series([[{"label": x, "chance": float(c)} for x, c in row] for row in predict(tokens)], dtype=object)
+
+    def provide(slots: DataFrame) -> DataFrame:
+        found = slots.select(key, "slot", run("tokens").alias("p"))
+        return found.select(key, "slot", F.transform("p", lambda x: x["label"]).alias("labels"), F.transform("p", lambda x: x["chance"]).alias("chances"))
+
+    return provide

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import counts, edits
+from ..functions.text import with_case_of
 
 OVERALL = "overall"
 
@@ -213,3 +214,32 @@ def evaluated(rows: DataFrame, outputs: DataFrame, fixed: list[str]) -> tuple[Da
     predictions = scored_rows(rows, outputs)
     metrics = dense_groups(predictions, fixed)
     return metrics, predictions, compared_modes(metrics, ["precision", "recall", "f05", "error_reduction_rate", "final_system_error_reduction_rate"])
+
+
+PREDICTION_COLUMNS = ("row_id", "grp", "input", "target")
+
+
+def prediction_columns(modes: list[str]) -> list[str]:
+    """The columns of a predictions report: what each mode made, side by side."""
+    return [*PREDICTION_COLUMNS, *[f"{mode}_{c}" for mode in modes for c in ("normalized", "output", "exact")]]
+
+
+def prediction_report(predictions: DataFrame, modes: list[str]) -> DataFrame:
+    """predictions (of scored_rows) with a row for each input and the columns of each mode."""
+    wide = predictions.groupBy(*PREDICTION_COLUMNS).pivot("mode", modes).agg(*[F.first(c).alias(c) for c in ("normalized", "output", "exact")])
+    return wide.select(*prediction_columns(modes))
+
+
+def word_report(gold: DataFrame, training: DataFrame, answers: DataFrame, seed: int, fraction: float) -> dict[str, DataFrame]:
+    """The word-level report: overlap counts, and the metrics of validation and test, whole and by category.
+
+    gold: row_number, source, expected, category. training: source, expected. answers: word, normalized. Pairs that
+    training knows are left out before the split.
+    """
+    flags = overlap_flags(gold, training)
+    split = hash_split(flags.where("kept").drop("pair_overlap", "source_overlap", "target_overlap", "kept"), seed, fraction)
+    own = answers.select(F.col("word").alias("w"), "normalized")
+    predicted = split.join(own, F.lower("source") == F.col("w"), "left").withColumn("prediction", with_case_of(F.col("source"), F.coalesce("normalized", "source")))
+    side = predicted.withColumn("split", F.when(F.col("is_test"), "test").otherwise("validation"))
+    named = side.withColumn("category", F.lower(F.btrim("category")))
+    return {"overlap": overlap_counts(flags), "metrics": pair_metrics(side, ["split"]), "categories": pair_metrics(named.where("category <> ''"), ["split", "category"])}

@@ -300,3 +300,24 @@ def weighted_counts(words: DataFrame, counts: DataFrame) -> DataFrame:
     often = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
     joined = often.join(counts, "word")
     return joined.agg(F.sum("times").alias("occurrences"), F.count(F.lit(1)).alias("words"), ratio(F.sum(F.col("times") * F.col("n")), F.sum("times")).alias("mean"), F.max("n").alias("most"))
+
+
+def suite_shape(cases: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """case_type, n, wanted where a suite (case_id, case_type) has another number of cases than wanted, or repeats an id."""
+    spark = cases.sparkSession
+    wanted = spark.createDataFrame([*expected.items()], "case_type string, wanted long")
+    have = cases.groupBy("case_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case_id").alias("d"))
+    both = wanted.join(have, "case_type", "full_outer")
+    return both.where(~F.col("n").eqNullSafe(F.col("wanted")) | (F.col("d") < F.col("n"))).select("case_type", "n", "wanted")
+
+
+def focus_tokens(focus: DataFrame, tokens: DataFrame) -> DataFrame:
+    """focus spans (case_id, start, end) with the token (token_index, and more) that stands exactly there; none gives null."""
+    return focus.join(tokens, ["case_id", "start", "end"], "left")
+
+
+def provenance_block(files: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """One row: the files' digests (path, sha256) by path, and the settings, as maps."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "sha256"))))
+    given = F.create_map(*[F.lit(x) for pair in sorted(settings.items()) for x in pair]) if settings else F.create_map().cast("map<string,string>")
+    return files.agg(entries.alias("files")).withColumn("settings", given)

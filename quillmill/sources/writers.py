@@ -64,3 +64,8 @@ def console_table(df: DataFrame, most: int = 1000) -> str:
     rows = [df.columns, *[[*r] for r in rendered(df).limit(most).collect()]]
     widths = [max(len(str(r[i])) for r in rows) for i in range(len(df.columns))]
     return "\n".join("  ".join(str(x).ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in rows)
+
+
+def write_table(df: DataFrame, url: str, name: str, mode: str = REFUSE, **options: str) -> None:
+    """A table of a relational database, by JDBC."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()

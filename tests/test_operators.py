@@ -216,3 +216,48 @@ def test_stress_set(spark):
     assert s["duplicate_corruptions"]["recall"] == 1.0 and s["duplicate_corruptions"]["delete_tp"] == 8 and s["identity_controls"]["fp"] == 0
     with pytest.raises(ValueError, match="differ"):
         ex.matched_cases(cases, fixed.limit(3))
+
+
+def test_word_report(spark):
+    gold = spark.createDataFrame([(i, w, e, "slang ") for i, (w, e) in enumerate([("aq", "ako"), ("nmn", "naman"), ("po", "po"), ("tlga", "talaga"), ("zz", "oo")])], "row_number long, source string, expected string, category string")
+    training = spark.createDataFrame([("ZZ", "x")], "source string, expected string")
+    answers = nm.normalized_words(gold.select(F.col("source").alias("word")), words(spark, VOCABULARY), RULES)
+    report = ev.word_report(gold, training, answers, 1, 0.25)
+    assert report["overlap"].first()["source_overlap"] == 1
+    assert {r["split"]: r["pair_count"] for r in report["metrics"].collect()} == {"test": 1, "validation": 3}
+    assert all(r["exact_rate"] == 1.0 for r in report["metrics"].collect())
+    assert {r["category"] for r in report["categories"].collect()} == {"slang"}
+
+
+def test_providers(spark):
+    docs = spark.createDataFrame([(1, "sya po")], "doc_id long, text string")
+    vocabulary = spark.createDataFrame([("$KEEP", 0), ("$REPLACE_siya", 1)], "label string, id int")
+    logits = spark.createDataFrame([(1, 0, "sya po", 0, [0.0, 5.0], [0.0, 3.0]), (1, 0, "sya po", 1, [0.0, 5.0], [3.0, 0.0])], "doc_id long, slot int, sentence string, token_index int, correction array<double>, detection array<double>")
+    done = dc.corrected(docs, dc.logits_provider(logits, vocabulary), 2).first()
+    assert done["corrected"] == "siya po" and done["passes"][1]["changes"] == []
+    view = dc.pass_view(dc.corrected(docs, dc.model_provider(lambda rows: [[("$KEEP", 0.1)] * len(r) for r in rows]), 1)).first()["view"]
+    assert view.startswith("1   0    sya po")
+
+
+def test_small_checks(spark):
+    cases = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "case_id string, case_type string")
+    assert ex.suite_shape(cases, {"x": 2, "y": 1}).isEmpty()
+    assert [r["case_type"] for r in ex.suite_shape(cases, {"x": 3, "y": 1}).collect()] == ["x"]
+    files = spark.createDataFrame([("b", "2"), ("a", "1")], "path string, sha256 string")
+    assert ex.provenance_block(files, {"seed": "1"}).first()["files"] == {"a": "1", "b": "2"}
+    from quillmill import reports
+
+    one = {"metric": "m", "unit": "sec", "sf": "0.1", "queries": {"q": 2.0}}
+    assert reports.compared(one, one | {"queries": {"q": 1.0}})["q"]["change"] == -0.5
+    with pytest.raises(reports.ReportError):
+        reports.compared(one, one | {"sf": "1"})
+
+
+def test_metrics_agree(spark):
+    """Pooled metrics and the bundle by memberships say the same of the same rows."""
+    rows = [(i, "off", "g", i % 3, i % 2, i % 4, i % 5, 0, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "row_id long, mode string, grp string, tp long, fp long, fn long, errors_before long, errors_after long, final_errors_after long")
+    a = ev.pooled(df, ["grp"]).first()
+    more = df.withColumns({"delete_tp": F.col("tp"), "delete_fp": F.col("fp"), "delete_fn": F.col("fn"), "initial": F.col("errors_before"), "residual": F.col("errors_after"), "exact": F.lit(False)})
+    b = ev.by_memberships(more, F.array("grp"), []).first()
+    assert all(a[c] == b[c] for c in ("n", "tp", "fp", "fn", "precision", "recall", "f05"))
