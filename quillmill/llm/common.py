@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,26 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks once it is computed, for what is read more than once.
+
+    What a lost executor held is computed again from the source. release() lets go of it.
+    """
+    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
+    return _HELD[-1]
+
+
+def release() -> None:
+    """Let go of all that was held; call it when the results that read it are written."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared folder."""
+    """df, computed now and kept in the cluster's shared folder, without what it came from: for loops."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, pieces_for, table, with_row
+from .common import cut, hold, map_texts, pieces_for, table, with_row
 
 WORDS = 5
 #: A likeness of at least NUM / DEN.
@@ -38,20 +38,23 @@ NUM, DEN = 3, 4
 #: Of a set's size, how many common hashes the filters ask for beyond the first.
 SLACK = 0.2
 #: Hashes in one batch, bucket and block, about.
-BATCH, BUCKET, BLOCK = 1 << 21, 1 << 19, 1 << 20
-LEAST_BLOCK = 100_000
+BATCH, BUCKET, BLOCK = 1 << 20, 1 << 19, 1 << 20
+#: A worker's memory is a few hundred MB; word hashes take some 150 bytes each of it.
+WORDS_KEPT = 200_000
 #: Queries of one search, about.
-QUERIES_EACH = 4000
+QUERIES_EACH = 1500
+#: Rows of a list of parts or routes that are broadcast at most, of some 24 bytes each.
+BROADCAST_ROWS = 500_000
 #: DivideSkip's weight of a list's length.
 MU = 0.0085
 FEW = 32
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash, remembered up to a million words."""
+    """Word -> 64-bit hash, remembered for WORDS_KEPT words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -148,8 +151,28 @@ def _entries(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, owners, np.unique(np.frombuffer(joined["flags"], np.uint64))
 
 
-def survivors(docs: DataFrame, buckets: int) -> DataFrame:
-    """short (the first half of a key): the classes that enough of whose leading hashes occur in another class."""
+def _packed(part: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Columns of integers as one row of packed columns for each part that occurs."""
+    order = np.argsort(part, kind="stable")
+    present, starts = np.unique(part[order], return_index=True)
+    ends = np.append(starts[1:], len(part))[: len(starts)]
+    sorted_columns = {n: c[order].astype(np.int64) for n, c in columns.items()}
+    blobs = {n: pa.array([c[lo:hi].tobytes() for lo, hi in zip(starts, ends, strict=True)], pa.binary()) for n, c in sorted_columns.items()}
+    return pa.table({"part": pa.array(present, pa.int64()), **blobs})
+
+
+def _unpacked(part: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(part.column(n).to_pylist()), np.int64) for n in names]
+
+
+_PARTS = "part long, owners binary, needs binary, hits binary"
+
+
+def survivors(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """short (the first half of a key): the classes that enough of whose leading hashes occur in another class.
+
+    Hashes meet by bucket; what they say of their owners is summed by part. Both travel as packed rows.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -159,14 +182,16 @@ def survivors(docs: DataFrame, buckets: int) -> DataFrame:
         def flush():
             owners = np.fromiter(held, np.int64, len(held))
             sizes = np.array([len(x) for x in held.values()], np.int64)
-            hashes = np.concatenate([*held.values()]) if held else np.zeros(0, np.uint64)
+            hashes = np.concatenate([*held.values()])
             own = np.repeat(np.arange(len(owners)), sizes)
             _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            twice = counts[at] > 1 if len(hashes) else np.zeros(0, bool)
-            here = np.bincount(own[twice], minlength=len(owners)) if len(owners) else sizes
-            rest = np.bincount(own[~twice], minlength=len(owners)) if len(owners) else sizes
-            rows = [{"owner": None, "need": None, "hits": None} | x for x in _blobs(owners, rest, hashes[~twice], buckets, np.unique(hashes[twice]))]
-            rows += [{"bucket": -1 - int(o % buckets), "owner": int(o), "need": needs[int(o)], "hits": int(n)} for o, n in zip(owners, here, strict=True)]
+            twice = counts[at] > 1
+            here = np.bincount(own[twice], minlength=len(owners))
+            rest = np.bincount(own[~twice], minlength=len(owners))
+            rows = [*_blobs(owners, rest, hashes[~twice], buckets, np.unique(hashes[twice]))]
+            known = _packed(owners % parts, owners=owners, needs=np.fromiter(needs.values(), np.int64, len(needs)), hits=here).to_pylist()
+            # Negative buckets hold what this batch already knows of its owners.
+            rows += [{"bucket": -1 - r["part"], "owners": r["owners"], "counts": r["needs"], "low": r["hits"], "high": b"", "flags": b""} for r in known]
             return pa.RecordBatch.from_pylist(rows, schema=kinds)
 
         for batch in batches:
@@ -182,11 +207,12 @@ def survivors(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    kinds = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "low", "high", "flags")), ("owner", pa.int64()), ("need", pa.int64()), ("hits", pa.int64())])
+    kinds = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("owners", "counts", "low", "high", "flags"))])
 
     def meet(part: pa.Table) -> pa.Table:
-        if part.column("bucket")[0].as_py() < 0:
-            return part.select(["owner", "need", "hits"])
+        bucket = part.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table({"part": pa.array([-1 - bucket] * len(part), pa.int64()), "owners": part.column("owners"), "needs": part.column("counts"), "hits": part.column("low")})
         hashes, owners, flags = _entries(part)
         order = np.lexsort((owners, hashes))
         hashes, owners = hashes[order], owners[order]
@@ -196,30 +222,43 @@ def survivors(docs: DataFrame, buckets: int) -> DataFrame:
         _, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         shared = (counts[at] > 1) | np.isin(hashes, flags) if len(hashes) else np.zeros(0, bool)
         found, hits = np.unique(owners[shared], return_counts=True)
-        return pa.table({"owner": found.astype(np.int64), "need": pa.nulls(len(found), pa.int64()), "hits": hits.astype(np.int64)})
+        return _packed(found % parts, owners=found, needs=np.zeros(len(found), np.int64), hits=hits)
+
+    def settle(part: pa.Table) -> pa.Table:
+        owners, needs, hits = _unpacked(part, "owners", "needs", "hits")
+        names, at = np.unique(owners, return_inverse=True)
+        need = np.zeros(len(names), np.int64)
+        np.maximum.at(need, at, needs)
+        enough = np.bincount(at, weights=hits, minlength=len(names)) >= need
+        return pa.table({"short": pa.array(names[enough], pa.int64())})
 
-    emitted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, f"{_BLOBS}, owner long, need long, hits long")
-    hits = emitted.groupBy("bucket").applyInArrow(meet, "owner long, need long, hits long")
-    return hits.groupBy("owner").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).where("hits >= need").select(F.col("owner").alias("short"))
+    emitted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, _BLOBS)
+    counted = emitted.groupBy("bucket").applyInArrow(meet, _PARTS)
+    return counted.groupBy("part").applyInArrow(settle, "short long")
 
 
-def in_blocks(sets: DataFrame, total: int, partitions: int) -> DataFrame:
-    """sets (key, n, first, hashes) with the number of the block each lies in."""
-    each = max(LEAST_BLOCK, min(BLOCK, total // (2 * partitions)))
-    parts = pieces_for(total, each)
-    dealt = sets.withColumn("part", F.pmod(F.col("first"), F.lit(parts)))
-    sizes = dealt.groupBy("part").agg(F.expr(f"cast(ceil(sum(n) / {each}) as bigint)").alias("splits")).withColumnRenamed("part", "p")
-    joined = dealt.join(sizes, F.col("part") == F.col("p"))
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df of that many narrow rows, to be broadcast if they are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def in_blocks(sets: DataFrame, total: int) -> DataFrame:
+    """sets (key, n, first, hashes) with the number of the block each lies in; they are read twice."""
+    parts = pieces_for(total, BLOCK)
+    part = F.pmod(F.col("first"), F.lit(parts))
+    sizes = sets.groupBy(part.alias("p")).agg(F.expr(f"cast(ceil(sum(n) / {BLOCK}) as bigint)").alias("splits"))
+    joined = sets.withColumn("part", part).join(_bounded(sizes, parts), F.col("part") == F.col("p"))
     return joined.withColumn("block", F.col("part") * F.lit(1 << 20) + F.pmod(F.xxhash64("key"), F.col("splits"))).drop("part", "p", "splits", "first")
 
 
-def routes(blocked: DataFrame, buckets: int) -> DataFrame:
-    """short, block: the blocks, beside its own, that can hold a partner of a set."""
+def routes(blocked: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """short, to_block: the blocks, beside its own, that can hold a partner of a set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
-            owners = np.column_stack([[_short(x.as_py()) for x in batch.column("key")], batch.column("block").to_numpy()]).astype(np.int64).reshape(-1, 2)
+            needs = least_lead(np.array([len(x) for x in sets], np.int64))
+            owners = np.column_stack([[_short(x.as_py()) for x in batch.column("key")], batch.column("block").to_numpy(), needs]).astype(np.int64).reshape(-1, 3)
             start = 0
             while start < len(sets):
                 stop, held = start, 0
@@ -227,7 +266,7 @@ def routes(blocked: DataFrame, buckets: int) -> DataFrame:
                     held += len(sets[stop])
                     stop += 1
                 leads = [s[: int(lead(np.int64(len(s))))] for s in sets[start:stop]]
-                own = owners[start:stop].copy().view([("short", np.int64), ("block", np.int64)]).ravel()
+                own = owners[start:stop].copy().view([("short", np.int64), ("block", np.int64), ("need", np.int64)]).ravel()
                 rows = [*_blobs(own, np.array([len(x) for x in leads]), np.concatenate(leads), buckets, np.zeros(0, np.uint64))]
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                 start = stop
@@ -236,10 +275,11 @@ def routes(blocked: DataFrame, buckets: int) -> DataFrame:
 
     def meet(part: pa.Table) -> pa.Table:
         joined = {c: b"".join(part.column(c).to_pylist()) for c in ("owners", "counts", "low", "high")}
-        owners = np.frombuffer(joined["owners"], np.int64).reshape(-1, 2)
+        owners = np.frombuffer(joined["owners"], np.int64).reshape(-1, 3)
         own = np.repeat(np.arange(len(owners)), np.frombuffer(joined["counts"], np.uint32))
         hashes = np.frombuffer(joined["low"], np.uint32).astype(np.uint64) | np.frombuffer(joined["high"], np.uint8).astype(np.uint64) << np.uint64(32)
-        shorts, short_at = np.unique(owners[:, 0], return_inverse=True)
+        shorts, one_of, short_at = np.unique(owners[:, 0], return_index=True, return_inverse=True)
+        needs = owners[one_of, 2]
         blocks, block_at = np.unique(owners[:, 1], return_inverse=True)
         order = np.argsort(hashes, kind="stable")
         names = np.cumsum(np.diff(hashes[order], prepend=hashes[order][:1]) > 0) if len(hashes) else np.zeros(0, np.int64)
@@ -264,11 +304,20 @@ def routes(blocked: DataFrame, buckets: int) -> DataFrame:
             both, at = np.unique(np.concatenate([cells, got]), return_inverse=True)
             cells, counts = both, np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
             start = stop
-        return pa.table({"short": shorts[cells // max(1, len(blocks))].astype(np.int64), "to_block": blocks[cells % max(1, len(blocks))].astype(np.int64), "common": counts})
+        of, to = cells // max(1, len(blocks)), cells % max(1, len(blocks))
+        return _packed(shorts[of] % parts, shorts=shorts[of], blocks=blocks[to], needs=needs[of], common=counts)
+
+    def settle(part: pa.Table) -> pa.Table:
+        short, block, need, common = _unpacked(part, "shorts", "blocks", "needs", "common")
+        order = np.lexsort((block, short))
+        short, block, need, common = short[order], block[order], need[order], common[order]
+        first = np.flatnonzero(np.append(True, (short[1:] != short[:-1]) | (block[1:] != block[:-1]))[: len(short)])
+        enough = (np.add.reduceat(common, first) if len(first) else common) >= need[first]
+        return pa.table({"short": pa.array(short[first][enough], pa.int64()), "to_block": pa.array(block[first][enough], pa.int64())})
 
     emitted = blocked.select("key", "block", "hashes").mapInArrow(emit, _BLOBS)
-    met = emitted.groupBy("bucket").applyInArrow(meet, "short long, to_block long, common long")
-    return met.groupBy("short", "to_block").agg(F.sum("common").alias("common"))
+    met = emitted.groupBy("bucket").applyInArrow(meet, "part long, shorts binary, blocks binary, needs binary, common binary")
+    return met.groupBy("part").applyInArrow(settle, "short long, to_block long")
 
 
 class InvertedLists:
@@ -420,8 +469,8 @@ def _search_block(part: pa.Table) -> pa.Table:
 def searched(blocked: DataFrame, routed: DataFrame) -> DataFrame:
     """key, root, links of each search. blocked: key, short, n, copies, hashes, block."""
     own = blocked.select("block", "key", "copies", "hashes")
-    need = F.expr(f"greatest(1, ceil({SLACK} * ceil({NUM} * n / {DEN})))")
-    sent = blocked.join(routed, "short").where(F.col("common") >= need).select(F.col("to_block").alias("block"), "key", "copies", "hashes")
+    routed = cut(routed)
+    sent = blocked.join(_bounded(routed, routed.count()), "short").select(F.col("to_block").alias("block"), "key", "copies", "hashes")
     load = own.select("block").unionByName(sent.select("block")).groupBy("block").agg(F.expr(f"cast(ceil(count(1) / {QUERIES_EACH}) as int)").alias("chunks"))
     chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     # In each chunk of a block all its sets are listed (role 0); those of the chunk are also queries (1); queries from elsewhere are only that (2).
@@ -464,12 +513,12 @@ def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = cut(class_table(docs))
+    rows = hold(class_table(docs))
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")))
+    classes = hold(known.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * partitions, pieces_for(total // 2, BUCKET))
-    shorts = survivors(named, buckets)
+    shorts = survivors(named, buckets, 2 * partitions)
     short = F.expr("cast(conv(hex(substring(key, 1, 8)), 16, -10) as bigint)")
     alive = cut(classes.withColumn("short", short).join(shorts, "short", "left_semi"))
     total = alive.agg(F.sum("n")).first()[0] or 0
@@ -480,8 +529,8 @@ def _joined(docs: DataFrame) -> DataFrame:
 
     texts = named.join(alive, F.col("doc_id") == F.col("class_id")).select("key", "short", "n", "copies", "text")
     found = map_texts(texts, ["key", "short", "n", "copies"], {"hashes": "binary", "first": "long", "found": "binary"}, lambda: sets, 256)
-    blocked = cut(in_blocks(found.where("key = found").drop("found"), total, partitions))
-    stars = cut(searched(blocked, routes(blocked, max(2 * partitions, pieces_for(total // 2, BUCKET)))))
+    blocked = in_blocks(hold(found.where("key = found").drop("found")), total)
+    stars = hold(searched(blocked, routes(blocked, max(partitions, pieces_for(total // 2, BUCKET)), 2 * partitions)))
     roots = components(stars)
     links = stars.groupBy("key").agg(F.sum("links").alias("links"))
     linked = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(links, "key", "left")

@@ -41,6 +41,8 @@ PRIOR, CUT = 10.0, 1.0
 EPOCHS = 200
 RATE = 0.1
 DECAY = 1e-3
+#: Words that a worker remembers.
+WORDS_KEPT = 200_000
 #: Weight of the squared change of the log odds under a swap.
 PENALTY = 1.0
 
@@ -78,10 +80,10 @@ class Model:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def of_word(self, word: str) -> tuple[str, ...]:
-        """The features of the word that have a weight; remembered for half a million words."""
+        """The features of the word that have a weight; remembered for WORDS_KEPT words."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= 500_000:
+            if len(self.known) >= WORDS_KEPT:
                 self.known.clear()
             found = self.known[word] = tuple(f for f in features(word) if f in self.weights)
         return found
