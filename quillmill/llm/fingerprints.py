@@ -10,10 +10,12 @@ of fewer than SHORT words, or without an anchor, takes its single words as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_for, table
+from .common import hold, pieces_for, table
 
 K, S = 6, 2
 SHORT = 32
@@ -21,7 +23,8 @@ LONGEST = 32
 SKETCH = 64
 #: Anchors match if their places differ by no more than NEAR words and a share DRIFT of the longer text.
 NEAR, DRIFT = 8, 0.25
-HASH_BITS = 40
+#: An anchor is HASH_BITS of its hash and PLACE_BITS of its place; both fit a positive number.
+HASH_BITS, PLACE_BITS = 38, 24
 SPACE = "[ \\t-\\r]"
 #: Rows of a stretch of doc_ids that one task walks, about.
 STRETCH = 20_000
@@ -30,25 +33,32 @@ BROADCAST_ENDS = 100_000
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: struct(n: words, h: hashes in order, p: their places) of a text column that has no nulls."""
+    """df with `name`: struct(n: words, h: hashes in order, p: their places) of a text column that has no nulls.
+
+    An anchor is one number, its hash and then its place, so that sorting them sorts by hash and puts the first place of
+    a hash first; places from 2^PLACE_BITS on count as the last one below.
+    """
     t = lambda x: f"__{name}_{x}"
-    mask = F.lit((1 << HASH_BITS) - 1)
-    spaced = F.btrim(F.regexp_replace(F.col(text), f"([^ \\t-\\r]{{{LONGEST}}})", "$1 "), F.lit(" \t\n\x0b\x0c\r"))
-    inner = K - S
-    df = df.withColumn(t("w"), F.when(F.length(spaced) > 0, F.split(spaced, SPACE + "+")).otherwise(F.array().cast("array<string>")))
+    trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
+    none = F.array().cast("array<string>")
+    cut_up = F.regexp_replace(F.col(text), f"([^ \\t-\\r]{{{LONGEST}}})", "$1 ")
+    df = df.withColumn(t("w"), F.when(F.length(trimmed(F.col(text))) > 0, F.split(trimmed(F.col(text)), SPACE + "+")).otherwise(none))
+    df = df.withColumn(t("w"), F.when(F.exists(t("w"), lambda x: F.length(x) > LONGEST), F.split(trimmed(cut_up), SPACE + "+")).otherwise(F.col(t("w"))))
     df = df.withColumn(t("h"), F.transform(t("w"), lambda x: F.xxhash64(x)))
     df = df.withColumn(t("g"), F.zip_with(t("h"), F.slice(t("h"), F.lit(2), F.greatest(F.size(t("h")), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
     g = F.col(t("g"))
-    closed = lambda i: F.array_min(F.slice(g, i + 1, F.lit(inner + 1))) == F.least(F.get(g, i), F.get(g, i + inner))
+    edge = K - S
+    closed = lambda i: F.least(*[F.get(g, i + j) for j in range(1, edge)]) >= F.least(F.get(g, i), F.get(g, i + edge))
     df = df.withColumn(t("i"), F.when(F.size(g) >= K, F.filter(F.sequence(F.lit(0), F.size(g) - K), closed)).otherwise(F.array().cast("array<int>")))
-    anchor = lambda i: F.xxhash64(*[F.get(g, i + j) for j in range(0, K, S)]).bitwiseAND(mask)
+    mark = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 64 - HASH_BITS), PLACE_BITS) + F.least(i, F.lit((1 << PLACE_BITS) - 1))
+    anchors = F.transform(t("i"), lambda i: mark(F.xxhash64(*[F.get(g, i + j) for j in range(0, K, S)]), i))
     words = (F.size(g) < SHORT) | (F.size(t("i")) == 0)
-    df = df.withColumn(t("a"), F.transform(t("i"), anchor))
-    df = df.withColumn(t("a"), F.when(words, F.concat(t("a"), F.transform(t("h"), lambda x: x.bitwiseAND(mask)))).otherwise(F.col(t("a"))))
-    df = df.withColumn(t("i"), F.when(words, F.concat(t("i"), F.transform(t("h"), lambda x, i: i))).otherwise(F.col(t("i"))))
-    df = df.withColumn(t("s"), F.slice(F.sort_array(F.array_distinct(t("a"))), 1, SKETCH))
-    place = F.transform(t("s"), lambda x: F.get(F.col(t("i")), F.array_position(F.col(t("a")), x).cast("int") - 1))
-    df = df.withColumn(name, F.struct(F.size(g).alias("n"), F.col(t("s")).alias("h"), place.alias("p")))
+    df = df.withColumn(t("a"), F.sort_array(F.when(words, F.concat(anchors, F.transform(t("h"), mark))).otherwise(anchors)))
+    hash_of = lambda x: F.shiftright(x, PLACE_BITS)
+    fresh = lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(F.col(t("a")), i - 1)))
+    df = df.withColumn(t("s"), F.slice(F.filter(t("a"), fresh), 1, SKETCH))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    df = df.withColumn(name, F.struct(F.size(g).alias("n"), F.transform(t("s"), hash_of).alias("h"), F.transform(t("s"), place).alias("p")))
     return df.drop(*[t(x) for x in "whgias"])
 
 
@@ -88,28 +98,29 @@ def stretch_of(docs: DataFrame, rows: int, partitions: int) -> Column:
     return F.coalesce(below * F.lit(fine).cast("long") + F.greatest(F.lit(0), F.least(inside, F.lit(fine - 1))), F.lit(0).cast("long"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id, text, tie, stretch and more) with next_<column>, of the row that follows by doc_id and tie.
+def with_next(docs: DataFrame, columns: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """made(docs) (docs: doc_id, text, tie, stretch) with next_<column>, of the row that follows by doc_id and tie.
 
     The first follows the last. Within a stretch the next row is a window's lead. The last row of each stretch is
     followed by the first of the next one that has rows; those rows are few, and are looked up and joined apart.
     """
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     window = Window.partitionBy("stretch").orderBy(*order)
-    inside = docs.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where(F.col(f"next_{columns[0]}").isNotNull())
-    ends = cut(docs.groupBy("stretch").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.max(F.struct("doc_id", "tie")).alias("last")))
+    inside = made(docs).withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where(F.col(f"next_{columns[0]}").isNotNull())
+    ends = hold(docs.groupBy("stretch").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.max(F.struct("doc_id", "tie")).alias("last")))
     n = ends.count()
     along = Window.orderBy("stretch")
     chain = ends.withColumn("after", F.coalesce(F.lead("first").over(along), F.first("first").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    chain = cut(chain.select(F.col("stretch").alias("s"), "last", "after"))
+    chain = hold(chain.select(F.col("stretch").alias("s"), "last", "after"))
 
     def rows_at(which: str, prefix: str, wanted: list[str]) -> DataFrame:
         keys = chain.select("s", F.col(f"{which}.doc_id").alias("k"), F.col(f"{which}.tie").alias("t"))
         keys = F.broadcast(keys) if n <= BROADCAST_ENDS else keys
         on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))
-        return docs.join(keys, on).select("s", *[F.col(c).alias(prefix + c) for c in wanted]).dropDuplicates(["s"])
+        found = docs.join(keys, on).dropDuplicates(["s"])  # rows that are equal in all that counts
+        return made(found).select("s", *[F.col(c).alias(prefix + c) for c in wanted])
 
-    across = rows_at("last", "", docs.columns).join(rows_at("after", "next_", columns), "s").drop("s")
+    across = rows_at("last", "", [c for c in inside.columns if not c.startswith("next_")]).join(rows_at("after", "next_", columns), "s").drop("s")
     return inside.unionByName(across)
 
 
@@ -125,7 +136,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.count()
     stretch = stretch_of(docs, rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("stretch", stretch)
-    followed = with_next(with_sketch(texts, "text", "sketch"), ["text", "sketch"])
+    followed = with_next(texts, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = followed.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter)))
