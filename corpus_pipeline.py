@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm.common import shared_folder, table
+from quillmill.llm.common import release, shared_folder, table
 from quillmill.llm.ngram_join import one_of_each
 from quillmill.llm.packing import pack_documents
 from quillmill.llm.quality_rules import keep_good
@@ -49,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        release()
     return STAGES[-1][1](spark, docs, sf_dir)

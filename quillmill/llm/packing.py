@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import LONG, read_vocabulary, rust_spaces
-from .common import cut, map_texts, ranked, table
+from .common import hold, map_texts, ranked, table
 
 WIDTH = 2048
 #: Pieces that a worker remembers, about 200 bytes each.
@@ -244,7 +244,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, width: int = WIDTH,
     A null text counts as empty: its one piece is the end id. A document longer than width fills whole sequences and its
     rest is packed; repeated rows are packed as often as they occur. An empty table gives an empty result.
     """
-    return pack(cut(pieces(docs, path, pattern, width, end)), width)
+    return pack(hold(pieces(docs, path, pattern, width, end)), width)
 
 
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

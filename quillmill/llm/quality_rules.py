@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_texts, table, with_row
+from .common import WORD, hold, map_texts, table, with_row
 
 #: Symbols that seldom stand in prose.
 SYMBOLS = "#*$%&|<>"
@@ -145,7 +145,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REAC
     sources form groups of their own. Equal rows get equal verdicts. An empty table gives an empty result. A group
     without any document past the base rule has no fences and needs none.
     """
-    counted = cut(measured(docs, ["doc_id", "lang", "source"]))
+    counted = hold(measured(docs, ["doc_id", "lang", "source"]))
     judged_rows = judged(counted, fences(sketches(counted), min_group, reach))
     return judged_rows.select("doc_id", "lang", "source", *COUNTS, *[ratio(r).alias(r) for r in RATIOS], "base_failed", "kept")
 
@@ -164,7 +164,7 @@ def judged(counted: DataFrame, bounds: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns. The texts are measured twice and not shuffled."""
     columns = ["lang", "source", "text"]
-    bounds = cut(fences(sketches(cut(measured(docs, ["lang", "source"]))), min_group, reach))
+    bounds = hold(fences(sketches(hold(measured(docs, ["lang", "source"]))), min_group, reach))
     rows = judged(measured(with_row(docs, *columns), ["lang", "source", "__row"]), bounds)
     return rows.where("kept").select("__row.*")
 

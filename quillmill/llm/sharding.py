@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, table
+from .common import hold, ranked, table
 
 #: The draws use 52 bits of a digest, so that any engine with md5 gives the same.
 DIGITS = 13
@@ -85,7 +85,7 @@ def shard_documents(docs: DataFrame, tree: list[Shard], grown: list[Shard]) -> D
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"))
     placed = shard_of(shard_of(sized, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grown, "grown_shard")
-    placed = cut(placed)
+    placed = hold(placed)
     out = ranked(placed, ["shard"], ["doc_id", "size", "text_crc32"], placed.count(), name="slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
