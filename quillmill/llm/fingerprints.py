@@ -93,9 +93,12 @@ def stretch_of(docs: DataFrame, rows: int, partitions: int) -> Column:
         return F.lit(0).cast("long")
     ends = sorted({found["a"], *found["q"], found["z"] + 1})
     below = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in ends[1:-1]]), lambda x: x <= F.col("doc_id")))
-    low, high = (F.get(F.array(*[F.lit(x).cast("double") for x in part]), below) for part in (ends[:-1], ends[1:]))
-    inside = F.floor((F.col("doc_id").cast("double") - low) * fine / (high - low))
-    return F.coalesce(below * F.lit(fine).cast("long") + F.greatest(F.lit(0), F.least(inside, F.lit(fine - 1))), F.lit(0).cast("long"))
+    low = F.get(F.array(*[F.lit(x).cast("long") for x in ends[:-1]]), below)
+    width = F.get(F.array(*[F.lit(float(z - a)) for a, z in zip(ends, ends[1:], strict=False)]), below)
+    # Differences are taken between whole numbers, as large ids that are close share a double; one that overflows is far.
+    inside = F.coalesce(F.floor(F.try_subtract("doc_id", low).cast("double") * fine / width), F.lit(fine - 1))
+    own = below * F.lit(fine).cast("long") + F.greatest(F.lit(0), F.least(inside, F.lit(fine - 1)))
+    return F.when(F.col("doc_id").isNull(), F.lit(0).cast("long")).otherwise(own)
 
 
 def with_next(docs: DataFrame, columns: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:

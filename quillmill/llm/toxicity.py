@@ -1,8 +1,8 @@
 """Toxicity: a counterfactually regularised classifier.
 
 A logistic regression over the words of a text and their beginnings, each counted once. Features enter scaled by their
-log odds between the labels, shrunk towards the prior and cut off near zero, so that the many words that say nothing
-weigh nothing. Besides fitting the labels, training swaps the identity terms of labelled texts for others of their kind
+log odds between the labels, shrunk towards the prior; what speaks for label 1 too weakly, or against it, is left out, so
+that the many other words of a long text neither hide an insult nor add up to one. Besides fitting the labels, training swaps the identity terms of labelled texts for others of their kind
 and penalises the change of score: what the model would learn from a group's name alone is pushed to be the same for
 every group and so to carry nothing, which spares texts that merely mention one.
 
@@ -37,7 +37,7 @@ TOKEN = re.compile(r"\w+")
 SAMPLE = 4_000
 THRESHOLD = 0.7
 #: Occurrences that the log odds are shrunk by, and how much of them is cut off.
-PRIOR, CUT = 10.0, 1.0
+PRIOR, CUT = 10.0, 0.7
 EPOCHS = 200
 RATE = 0.1
 DECAY = 1e-3
@@ -110,7 +110,7 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = PENALTY) ->
             seen.setdefault(f, [0, 0])[label] += 1
     share1, share0 = PRIOR * ones / len(y), PRIOR * zeros / len(y)
     odds = {f: float(np.log((n1 + share1) / share1 * share0 / (n0 + share0) * (zeros + PRIOR) / (ones + PRIOR) * ones / zeros)) for f, (n0, n1) in seen.items() if n0 + n1 > 2}
-    scale = {f: np.sign(x) * (abs(x) - CUT) for f, x in sorted(odds.items()) if abs(x) > CUT}
+    scale = {f: x - CUT for f, x in sorted(odds.items()) if x > CUT}
     ids = {f: i for i, f in enumerate(scale)}
     x = np.array([*scale.values()])
     del seen, odds

@@ -330,12 +330,13 @@ def test_components(spark):
 
 
 def test_toxicity(spark, tricky, empty):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     ones, zeros = ([r["score"] for r in held if r["toxic"] == y] for y in (1, 0))
-    assert np.mean([a > b for a in ones for b in zeros]) > 0.95
-    assert sum(r["predicted"] for r in held if not r["toxic"]) <= 0.02 * len(zeros)
+    assert np.mean(np.array(ones)[:, None] > np.array(zeros)) > 0.95
+    assert sum(r["predicted"] for r in held if not r["toxic"]) <= 0.01 * len(zeros)
+    assert sum(r["predicted"] for r in held if r["toxic"]) >= 0.8 * len(ones)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     assert toxicity.toxicity(tricky, labels).count() == len(TRICKY)
     assert toxicity.toxicity(empty, labels).collect() == []
@@ -475,7 +476,7 @@ def test_edits_are_near(spark):
         q = len(text) // 4
         assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - q] + nxt[:q]).encode()).hexdigest()
     long = [r for r in rows if r["n_chars"] > 400]
-    assert min(r["near_edited"] for r in long) > 0.35 and np.mean([r["near_edited"] for r in long]) > 0.65
+    assert np.quantile([r["near_edited"] for r in long], 0.02) > 0.45 and np.mean([r["near_edited"] for r in long]) > 0.65
     assert np.mean([r["near_next"] for r in long]) < 0.02
 
 
