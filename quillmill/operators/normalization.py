@@ -7,6 +7,7 @@ results are joined back and spliced in at their offsets. The only UDF on the way
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..functions.candidates import candidates, candidates_udf, eligible, pair_ru
 from ..functions.distance import damerau_levenshtein, dld
 
 #: Tables that travel with a UDF or a pattern may have so many rows.
-MOST_RULES, MOST_FORMS, MOST_WORDS = 200_000, 20_000, 500_000
+MOST_RULES, MOST_FORMS, MOST_WORDS, MOST_INDEXED = 200_000, 20_000, 500_000, 30_000
 
 
 # Artifacts
@@ -145,17 +146,39 @@ def small_vocabulary(vocabulary: DataFrame) -> frozenset[str] | None:
 _ANSWER = T.StructType([T.StructField("normalized", T.StringType()), T.StructField("distance", T.IntegerType())])
 
 
+def shortened(word: str, k: int) -> set[str]:
+    """The word without up to k of its letters. Words within an edit distance of k, transpositions included, share one."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+@lru_cache(maxsize=2)
+def shortened_words(words: frozenset[str], k: int) -> frozenset[str]:
+    """All that shortened() makes of the words; built once a worker."""
+    return frozenset().union(*(shortened(w, k) for w in words if len(w) <= 128))
+
+
 def nearest_known(rules: Mapping[str, Mapping[str, float]], words: frozenset[str], longest: int, cutoff: int, max_distance: int | None):
-    """A UDF from a word that is not in `words` to the nearest known candidate and its distance; null where it stays."""
+    """A UDF from a word that is not in `words` to the nearest known candidate and its distance, in an array that is empty where the word stays."""
     frozen = {src: dict(dst) for src, dst in rules.items()}
+    spaced = any(c.isspace() for dst in frozen.values() for new in dst for c in new)
+    indexed = max_distance in (1, 2) and not spaced and len(words) <= MOST_INDEXED
 
-    @F.pandas_udf(_ANSWER)
+    @F.pandas_udf(T.ArrayType(_ANSWER))
     def run(asked):
         import pandas as pd
 
+        index = shortened_words(words, max_distance) if indexed else None
         out = []
         for word in asked:
             best, least = None, 0
+            # No candidate within the distance can be known if no known word is: then none need be made.
+            if index is not None and index.isdisjoint(shortened(word, max_distance)):
+                out.append([])
+                continue
             for c in candidates(word, frozen, longest, cutoff):
                 parts = c.split()
                 if parts and words.issuperset(map(str.lower, parts)):
@@ -163,8 +186,8 @@ def nearest_known(rules: Mapping[str, Mapping[str, float]], words: frozenset[str
                     if best is None or d < least:
                         best, least = c, d
             stays = best is None or best == word or max_distance is not None and least > max_distance
-            out.append((None, None) if stays else (best.strip(), least))
-        return pd.DataFrame(out, columns=_ANSWER.names).astype({"distance": "Int32"})
+            out.append([] if stays else [{"normalized": best.strip(), "distance": least}])
+        return pd.Series(out, dtype=object)
 
     return run
 
@@ -180,10 +203,10 @@ def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Mapping[str
     unknown = words.select(F.lower("word").alias("word")).distinct().join(vocabulary.select(F.lower("word").alias("word")), "word", "left_anti")
     known = None if relational else small_vocabulary(vocabulary)
     if known is not None:
-        # Distinct words, dealt evenly: their cost differs, and a few partitions of a small table would wait for one.
-        asked = unknown.where(eligible(F.col("word"))).repartition("word")
-        answered = asked.select("word", nearest_known(rules, known, longest, cutoff, max_distance)("word").alias("a"))
-        return answered.where("a.normalized IS NOT NULL").select("word", "a.normalized", "a.distance")
+        # Distinct words are few bytes and much work: they are dealt to a set number of tasks, which is not reduced.
+        tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asked = unknown.where(eligible(F.col("word"))).repartition(tasks)
+        return asked.select("word", F.inline(nearest_known(rules, known, longest, cutoff, max_distance)("word")))
     survivors = in_vocabulary(word_candidates(unknown, rules, longest, cutoff), vocabulary)
     best = first_least(survivors.withColumn("distance", dld("word", "candidate")), ["word"])
     near = F.lit(True) if max_distance is None else F.col("distance") <= max_distance

@@ -261,3 +261,14 @@ def test_metrics_agree(spark):
     more = df.withColumns({"delete_tp": F.col("tp"), "delete_fp": F.col("fp"), "delete_fn": F.col("fn"), "initial": F.col("errors_before"), "residual": F.col("errors_after"), "exact": F.lit(False)})
     b = ev.by_memberships(more, F.array("grp"), []).first()
     assert all(a[c] == b[c] for c in ("n", "tp", "fp", "fn", "precision", "recall", "f05"))
+
+
+def test_shortened_words_miss_nothing():
+    import random
+
+    r = random.Random(2)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 6))) for _ in range(2))
+        for k in (1, 2):
+            if damerau_levenshtein(a, b) <= k:
+                assert not nm.shortened(a, k).isdisjoint(nm.shortened(b, k))
