@@ -73,13 +73,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     span = min(WORDS, len(words))
     n = len(words) - span + 1
-    out = np.full(n, span, np.uint64)
+    out, shifted = np.full(n, span, np.uint64), np.empty(n, np.uint64)
     for k in range(span):
-        out = (out ^ each[k : n + k]) * _P
-        out ^= out >> np.uint64(29)
+        out ^= each[k : n + k]
+        out *= _P
+        out ^= np.right_shift(out, np.uint64(29), out=shifted)
     out *= _Q
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out ^= np.right_shift(out, np.uint64(32), out=shifted)
+    out.sort()
+    fresh = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=fresh[1:])
+    return out if fresh.all() else out[fresh]
 
 
 def key_of(hashes: np.ndarray) -> bytes:
