@@ -3,9 +3,9 @@
 A text is a sequence of words (runs of other than ASCII white space; longer runs are cut every LONGEST characters). Of
 its k-mers of K words those are anchors whose least s-mer of S words, by hash, is their first or last. Whether a k-mer
 is an anchor depends on its own words alone, so that an edit disturbs no anchor that it does not touch. A fingerprint
-keeps the SKETCH anchors with the least hashes, a uniform sample of them, with their places in the text. Two
-fingerprints are as like as the share of anchors that both have at about the same place (Dice's coefficient). A text
-of fewer than SHORT words, or without an anchor, takes its single words as well.
+keeps every anchor with its place in the text; an anchor that comes again counts as one of its own, by its number among
+equal ones. Two fingerprints are as like as the share of anchors that both have at about the same place (Dice's
+coefficient). A text of fewer than SHORT words, or without an anchor, takes its single words as well.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from .common import hold, pieces_for, table
 K, S = 6, 2
 SHORT = 32
 LONGEST = 32
-SKETCH = 64
+#: How many anchors a fingerprint keeps: all of them.
+SKETCH = None
 #: Anchors match if their places differ by no more than NEAR words and a share DRIFT of the longer text.
 NEAR, DRIFT = 8, 0.25
 #: An anchor is HASH_BITS of its hash and PLACE_BITS of its place; both fit a positive number.
@@ -32,11 +33,24 @@ STRETCH = 20_000
 BROADCAST_ENDS = 100_000
 
 
+def packed(h: Column, p: Column) -> Column:
+    return F.shiftleft(h, PLACE_BITS) + p
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, PLACE_BITS)
+
+
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with `name`: struct(n: words, h: hashes in order, p: their places) of a text column that has no nulls.
 
-    An anchor is one number, its hash and then its place, so that sorting them sorts by hash and puts the first place of
-    a hash first; places from 2^PLACE_BITS on count as the last one below.
+    An anchor is one number, its hash and then its place, so that sorting them sorts by hash and then by place; places
+    from 2^PLACE_BITS on count as the last one below. The second and later anchors of one hash are hashed again with
+    their number, so that the hashes of a sketch differ.
     """
     t = lambda x: f"__{name}_{x}"
     trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
@@ -50,16 +64,18 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     edge = K - S
     closed = lambda i: F.least(*[F.get(g, i + j) for j in range(1, edge)]) >= F.least(F.get(g, i), F.get(g, i + edge))
     df = df.withColumn(t("i"), F.when(F.size(g) >= K, F.filter(F.sequence(F.lit(0), F.size(g) - K), closed)).otherwise(F.array().cast("array<int>")))
-    mark = lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 64 - HASH_BITS), PLACE_BITS) + F.least(i, F.lit((1 << PLACE_BITS) - 1))
+    mark = lambda x, i: packed(F.shiftrightunsigned(x, 64 - HASH_BITS), F.least(i, F.lit((1 << PLACE_BITS) - 1)))
     anchors = F.transform(t("i"), lambda i: mark(F.xxhash64(*[F.get(g, i + j) for j in range(0, K, S)]), i))
     words = (F.size(g) < SHORT) | (F.size(t("i")) == 0)
     df = df.withColumn(t("a"), F.sort_array(F.when(words, F.concat(anchors, F.transform(t("h"), mark))).otherwise(anchors)))
-    hash_of = lambda x: F.shiftright(x, PLACE_BITS)
-    fresh = lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(F.col(t("a")), i - 1)))
-    df = df.withColumn(t("s"), F.slice(F.filter(t("a"), fresh), 1, SKETCH))
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-    df = df.withColumn(name, F.struct(F.size(g).alias("n"), F.transform(t("s"), hash_of).alias("h"), F.transform(t("s"), place).alias("p")))
-    return df.drop(*[t(x) for x in "whgias"])
+    a, f = F.col(t("a")), F.col(t("f"))
+    fresh = lambda i: (i == 0) | (hash_of(F.get(a, i)) != hash_of(F.get(a, i - 1)))
+    df = df.withColumn(t("f"), F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(0), F.size(a) - 1), fresh)).otherwise(F.array().cast("array<int>")))
+    again = lambda x, r: F.when(r == 0, x).otherwise(mark(F.xxhash64(hash_of(x), r), place_of(x)))
+    run = lambda at, j: F.transform(F.slice(a, at + 1, F.coalesce(F.get(f, j + 1), F.size(a)) - at), again)
+    df = df.withColumn(t("s"), F.when(F.size(f) == F.size(a), a).otherwise(F.sort_array(F.flatten(F.transform(f, run)))))
+    df = df.withColumn(name, F.struct(F.size(g).alias("n"), F.transform(t("s"), hash_of).alias("h"), F.transform(t("s"), place_of).alias("p")))
+    return df.drop(*[t(x) for x in "whgiafs"])
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -71,11 +87,12 @@ def fingerprint(sketch: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1; 1 for equal sketches, also of texts without words, and 0 if only one has words."""
     tolerance = NEAR + DRIFT * F.greatest(a["n"], b["n"])
-    union = F.slice(F.sort_array(F.array_union(a["h"], b["h"])), 1, SKETCH)
-    place = lambda s, x: F.get(s["p"], F.array_position(s["h"], x).cast("int") - 1)
-    both = F.filter(F.array_intersect(F.array_intersect(a["h"], b["h"]), union), lambda x: F.abs(place(a, x) - place(b, x)) <= tolerance)
-    share = F.size(both) / F.greatest(F.size(union), F.lit(1))
-    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).otherwise(2 * share / (1 + share))
+    anchors = lambda s: F.zip_with(s["h"], s["p"], packed)
+    # Sorted together, an anchor of both stands beside itself. The array is computed once, as the only element of another.
+    beside = lambda c: lambda x, i: (i > 0) & (hash_of(x) == hash_of(F.get(c, i - 1))) & (place_of(x) - place_of(F.get(c, i - 1)) <= tolerance)
+    both = F.get(F.transform(F.array(F.sort_array(F.concat(anchors(a), anchors(b)))), lambda c: F.size(F.filter(c, beside(c)))), 0)
+    share = F.least(F.lit(1.0), 2 * both / F.greatest(F.size(a["h"]) + F.size(b["h"]), F.lit(1)))
+    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).otherwise(share)
 
 
 def stretch_of(docs: DataFrame, rows: int, partitions: int) -> Column:
@@ -109,7 +126,8 @@ def with_next(docs: DataFrame, columns: list[str], made: Callable[[DataFrame], D
     """
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     window = Window.partitionBy("stretch").orderBy(*order)
-    inside = made(docs).withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where(F.col(f"next_{columns[0]}").isNotNull())
+    # What made adds is computed behind the shuffle and the sort, so that neither carries it.
+    inside = made(docs.repartition("stretch").sortWithinPartitions("stretch", *order)).withColumns({f"next_{c}": F.lead(c).over(window) for c in columns}).where(F.col(f"next_{columns[0]}").isNotNull())
     ends = hold(docs.groupBy("stretch").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.max(F.struct("doc_id", "tie")).alias("last")))
     n = ends.count()
     along = Window.orderBy("stretch")

@@ -497,6 +497,23 @@ def test_syncmers(spark):
     assert (got["n"], list(zip(got["h"], got["p"], strict=True))) == (90, want)
 
 
+def test_fingerprints_keep_every_anchor(spark):
+    """A passage replaced in a long text shows, and repeated passages count as often as they stand there."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(20_000)]
+    rows = [(" ".join(words), " ".join([*words[:at], *(f"v{i}" for i in range(50)), *words[at + 50 :]])) for at in range(500, 20_000, 2500)]
+    line = " ".join(words[:100])
+    rows.append((" ".join([line] * 20), " ".join([line] * 40)))
+    df = spark.createDataFrame(rows, "t string, u string")
+    a, b = F.col("a"), F.col("b")
+    both = fingerprints.with_sketch(fingerprints.with_sketch(df, "t", "a"), "u", "b")
+    got = both.select(fingerprints.fingerprint(a).alias("fa"), fingerprints.fingerprint(b).alias("fb"), fingerprints.likeness(a, b).alias("x"), fingerprints.likeness(a, a).alias("one")).collect()
+    assert all(len(g["fa"].split()) > 7_000 for g in got[:-1])
+    assert all(g["fa"] != g["fb"] and 0.99 < g["x"] < 1 for g in got[:-1])
+    assert 0.6 < got[-1]["x"] < 0.7
+    assert {g["one"] for g in got} == {1.0}
+
+
 # 10 Packing
 
 
