@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is a sequence of words (runs of other than ASCII white space; longer runs are cut every LONGEST characters). Of
-its k-mers of K words those are anchors whose least s-mer of S words, by hash, is their first or last. Whether a k-mer
+A text is a sequence of words (runs of other than ASCII white space; each character of a run of more than LONGEST is a
+word, so that its syncmers are over characters and depend on no place in the run). Of its k-mers of K words those are anchors whose least s-mer of S words, by hash, is their first or last. Whether a k-mer
 is an anchor depends on its own words alone, so that an edit disturbs no anchor that it does not touch. A fingerprint
 keeps every anchor with its place in the text; an anchor that comes again counts as one of its own, by its number among
 equal ones. Two fingerprints are as like as the share of anchors that both have at about the same place (Dice's
@@ -55,9 +55,9 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     t = lambda x: f"__{name}_{x}"
     trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
     none = F.array().cast("array<string>")
-    cut_up = F.regexp_replace(F.col(text), f"([^ \\t-\\r]{{{LONGEST}}})", "$1 ")
+    single = F.flatten(F.transform(t("w"), lambda x: F.when(F.length(x) > LONGEST, F.split(x, "")).otherwise(F.array(x))))
     df = df.withColumn(t("w"), F.when(F.length(trimmed(F.col(text))) > 0, F.split(trimmed(F.col(text)), SPACE + "+")).otherwise(none))
-    df = df.withColumn(t("w"), F.when(F.exists(t("w"), lambda x: F.length(x) > LONGEST), F.split(trimmed(cut_up), SPACE + "+")).otherwise(F.col(t("w"))))
+    df = df.withColumn(t("w"), F.when(F.exists(t("w"), lambda x: F.length(x) > LONGEST), single).otherwise(F.col(t("w"))))
     df = df.withColumn(t("h"), F.transform(t("w"), lambda x: F.xxhash64(x)))
     df = df.withColumn(t("g"), F.zip_with(t("h"), F.slice(t("h"), F.lit(2), F.greatest(F.size(t("h")), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
     g = F.col(t("g"))
@@ -80,7 +80,7 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def fingerprint(sketch: Column) -> Column:
     """The sketch as a string: the number of words, then hash.place of each anchor."""
-    pairs = F.transform(sketch["h"], lambda x, i: F.concat(F.lower(F.hex(x)), F.lit("."), F.get(sketch["p"], i).cast("string")))
+    pairs = F.zip_with(sketch["h"], sketch["p"], lambda h, p: F.concat(F.lower(F.hex(h)), F.lit("."), p.cast("string")))
     return F.concat_ws(" ", sketch["n"].cast("string"), pairs)
 
 

@@ -514,6 +514,17 @@ def test_fingerprints_keep_every_anchor(spark):
     assert {g["one"] for g in got} == {1.0}
 
 
+def test_fingerprints_without_spaces(spark):
+    """One inserted character disturbs the anchors around it, whatever the script; the others stay."""
+    r = random.Random(5)
+    texts = ["".join(r.choice(letters) for _ in range(6000)) for letters in ("abcdefghij{};=()", [chr(c) for c in range(0x4E00, 0x5200)], "🙂🙃😀😁กขคงจ")]
+    df = spark.createDataFrame([(t, t[:100] + "q" + t[100:]) for t in texts], "t string, u string")
+    both = fingerprints.with_sketch(fingerprints.with_sketch(df, "t", "a"), "u", "b")
+    got = both.select(F.col("a.n").alias("n"), fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [g["n"] for g in got] == [6000] * 3
+    assert all(0.99 < g["x"] < 1 for g in got)
+
+
 # 10 Packing
 
 
