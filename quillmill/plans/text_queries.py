@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import experiment as ex
 from ..operators import normalization as nm
 from ..session import read
+from ..settings import Settings
 
 RUNS = r"[\p{L}\p{N}_]+"
 LETTERS = r"\p{L}[\p{L}\p{M}]*"
@@ -167,7 +168,7 @@ def normalize_corpus(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = letter_words(read(spark, sf, "benchmark"))
     rules = nm.rule_map(nm.induced_rules(misspelt(spark, sf), 2).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))))
     curated = {"of the": ("of that", "c1"), "thst": ("the first", "c2")}
-    done = nm.normalize_documents(read(spark, sf, "documents").dropDuplicates(["doc_id"]), vocabulary, rules, curated, cutoff=8)
+    done = nm.normalize_documents(read(spark, sf, "documents").dropDuplicates(["doc_id"]), vocabulary, rules, curated, cutoff=Settings.of(spark).candidate_cutoff)
     return done.select("doc_id", F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("changes"), F.length("normalized").cast("long").alias("chars"), F.sha2(F.col("normalized").cast("binary"), 256).alias("sha256"))
 
 

@@ -272,3 +272,13 @@ def test_shortened_words_miss_nothing():
         for k in (1, 2):
             if damerau_levenshtein(a, b) <= k:
                 assert not nm.shortened(a, k).isdisjoint(nm.shortened(b, k))
+
+
+def test_normalize_corpus_runs_with_the_production_cutoff(spark, monkeypatch):
+    from quillmill.plans import text_queries as tq
+
+    seen = {}
+    real = nm.normalize_documents
+    monkeypatch.setattr(tq.nm, "normalize_documents", lambda *a, **b: seen.update(b) or real(*a, **b))
+    tq.normalize_corpus(spark, "/root/testdata/sf0.001")
+    assert seen["cutoff"] == 100
