@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,45 @@ def lev_prefilter_parity(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("distance") <= 2).alias("near"), F.count_if(passes).alias("passed"), F.count_if((F.col("distance") <= 2) & ~passes).alias("lost"))
 
 
+#: Words of up to so many letters are met by what is left of them without a few; longer ones by their lengths.
+LONGEST_INDEXED = 24
+
+
+def close_words(new: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """word, candidate, distance: all pairs of new (word) and known (candidate) of at most that distance, whatever their letters, beginnings and lengths."""
+
+    @F.pandas_udf("array<string>")
+    def left(words: pd.Series) -> pd.Series:
+        return pd.Series([[*nm.shortened(w, most)] for w in words], dtype=object)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.where(F.length(name) <= LONGEST_INDEXED).select(name, F.explode(left(name)).alias("left")).select(name, F.xxhash64("left").alias("left"))
+
+    short = keyed(new, "word").join(keyed(known, "candidate"), "left").select("word", "candidate").distinct()
+    n, m = F.length("word"), F.length("candidate")
+    # One of the two is long, so that the other has nearly as many letters; the lengths are equalities to join by.
+    lengths = F.explode(F.sequence(n - most, n + most)).alias("m")
+    long = new.where(n > LONGEST_INDEXED - most).select("word", lengths).join(known.withColumn("m", m), "m").where((n > LONGEST_INDEXED) | (m > LONGEST_INDEXED)).select("word", "candidate")
+    near = short.unionByName(long).where(ds.within(F.col("word"), F.col("candidate"), most))
+    return near.withColumn("distance", ds.dld("word", "candidate")).where(F.col("distance") <= most)
+
+
+def all_close_words(spark: SparkSession, sf: str) -> DataFrame:
+    known = letter_words(read(spark, sf, "benchmark"))
+    new = letter_words(read(spark, sf, "documents")).join(known, "word", "left_anti")
+    return close_words(new, known.withColumnRenamed("word", "candidate"))
+
+
+def dld_first_min_all(spark: SparkSession, sf: str) -> DataFrame:
+    """dld_first_min over all words and all pairs."""
+    return nm.first_least(all_close_words(spark, sf), ["word"], "distance", "candidate").select("word", "candidate", "distance")
+
+
+def topk_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """topk_candidates over all words and all pairs."""
+    return nm.nearest(all_close_words(spark, sf), ["word"], 3, "distance", "candidate").select("word", "candidate", "distance", "rank")
+
+
 def cutoff_with_ties(spark: SparkSession, sf: str) -> DataFrame:
     return nm.cutoff_with_ties(counted_tokens(read(spark, sf, "documents"), "lang"), ["lang"], "n", 10)
 
@@ -188,7 +228,7 @@ def duplicate_injection(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source_text") - F.length("target_text")).alias("added_chars"))
 
 
-QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, topk_candidates, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, normalize_corpus, form_frequency_top, workload_cycle, duplicate_injection)}
+QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, dld_first_min_all, topk_candidates, topk_candidates_all, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, normalize_corpus, form_frequency_top, workload_cycle, duplicate_injection)}
 
 _RUNS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _WORDS = r"regexp_extract_all({c}, '\p{{L}}[\p{{L}}\p{{M}}]*')"

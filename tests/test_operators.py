@@ -282,3 +282,14 @@ def test_normalize_corpus_runs_with_the_production_cutoff(spark, monkeypatch):
     monkeypatch.setattr(tq.nm, "normalize_documents", lambda *a, **b: seen.update(b) or real(*a, **b))
     tq.normalize_corpus(spark, "/root/testdata/sf0.001")
     assert seen["cutoff"] == 100
+
+
+def test_close_words_are_all_found(spark):
+    """Changes in the first letters, accents, short, long and spaceless words: as brute force finds them."""
+    from quillmill.plans import text_queries as tq
+
+    new = ["xello", "ehllo", "señor", "a", "ab", "straße", "b" * 23, "c" * 24, "d" * 27, "e" * 300 + "f", "wrold", "lowrd", "qqqqqqq"]
+    known = ["hello", "world", "senor", "abc", "strasse", "b" * 26, "c" * 25, "d" * 24, "e" * 300, "kalligraphie"]
+    got = tq.close_words(spark.createDataFrame([(w,) for w in new], "word string"), spark.createDataFrame([(w,) for w in known], "candidate string")).collect()
+    want = sorted((a, b, damerau_levenshtein(a, b)) for a in new for b in known if damerau_levenshtein(a, b) <= 3)
+    assert sorted(map(tuple, got)) == want
