@@ -15,6 +15,7 @@ from ..operators import experiment as ex
 from ..operators import pipeline as pl
 from ..operators import store as st
 from ..session import read
+from ..settings import Settings
 
 L = lambda e: F.expr(f"cast({e} as bigint)")
 
@@ -157,7 +158,7 @@ def focus_probes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def passes_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Two passes over conversations' turns with a provider that capitalizes each sentence's first token and adds a mark."""
+    """The production number of passes over conversations' turns with a provider that capitalizes each sentence's first token and adds a mark."""
     turns = read(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
 
     def provider(slots: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def passes_trace(spark: SparkSession, sf: str) -> DataFrame:
         labels = F.transform("tokens", lambda t, i: F.when(i == 0, "$TRANSFORM_CASE_CAPITAL").when(i == last, "$ADD_PUNC_EMARK").otherwise(lb.KEEP))
         return slots.select("doc_id", "slot", labels.alias("labels"), F.transform("tokens", lambda t: F.lit(0.9)).alias("chances"))
 
-    done = dc.corrected(turns, provider, 2)
+    done = dc.corrected(turns, provider, Settings.of(spark).passes)
     return done.select("doc_id", F.size("passes").cast("long").alias("passes"), F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + F.size(p["changes"])).alias("changes"), F.sha2(F.col("corrected").cast("binary"), 256).alias("sha256"))
 
 
@@ -178,7 +179,7 @@ def suggestion_replay(spark: SparkSession, sf: str) -> DataFrame:
         labels = F.transform("tokens", lambda t, i: F.when(i == 0, "$TRANSFORM_CASE_LOWER").when(i % 9 == 4, "$APPEND_po").otherwise(lb.KEEP))
         return slots.select("doc_id", "slot", labels.alias("labels"), F.transform("tokens", lambda t: F.lit(0.7)).alias("chances"))
 
-    done = pl.analyze(turns, vocabulary, {"aq": {"ako": 1.0}}, {"the": ("that", "c1")}, provider, 2)
+    done = pl.analyze(turns, vocabulary, {"aq": {"ako": 1.0}}, {"the": ("that", "c1")}, provider, Settings.of(spark).passes)
     return done.select("doc_id", F.size("suggestions").cast("long").alias("suggestions"), pl.reproduces(done).alias("reproduces"))
 
 

@@ -293,3 +293,16 @@ def test_close_words_are_all_found(spark):
     got = tq.close_words(spark.createDataFrame([(w,) for w in new], "word string"), spark.createDataFrame([(w,) for w in known], "candidate string")).collect()
     want = sorted((a, b, damerau_levenshtein(a, b)) for a in new for b in known if damerau_levenshtein(a, b) <= 3)
     assert sorted(map(tuple, got)) == want
+
+
+def test_queries_run_the_production_number_of_passes(spark, monkeypatch):
+    from quillmill.plans import scoring_queries as sq
+
+    seen = []
+    corrected, analyze = dc.corrected, pl.analyze
+    monkeypatch.setattr(sq.dc, "corrected", lambda *a: seen.append(a[2]) or corrected(*a))
+    sq.passes_trace(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(sq.dc, "corrected", corrected)
+    monkeypatch.setattr(sq.pl, "analyze", lambda *a: seen.append(a[5]) or analyze(*a))
+    sq.suggestion_replay(spark, "/root/testdata/sf0.001")
+    assert seen == [5, 5]
