@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,34 +29,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: the session's spark.checkpoint.dir, or one made here only where that is unset."""
+    """The cluster's shared folder: the session's spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine is made if the session runs on this machine alone; on a cluster it is
+    an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns and `__row`, a struct of all of docs: what is computed beside it can't clash with a column's name."""
     return docs.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-_HELD: list[DataFrame] = []
+_HELD: list[list[DataFrame]] = [[]]
 
 
 def hold(df: DataFrame) -> DataFrame:
     """df, kept on the executors' disks once it is computed, for what is read more than once.
 
-    What a lost executor held is computed again from the source. release() lets go of it.
+    What a lost executor held is computed again from the source. What is held goes under a name of its own, so that no
+    other query over the same path gets it, whatever the files there say by then. It is let go of at the end of the
+    innermost holding(), or by release().
     """
-    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
-    return _HELD[-1]
+    named = df.withColumn("__held", F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY)
+    _HELD[-1].append(named)
+    return named.drop("__held")
+
+
+@contextmanager
+def holding() -> Iterator[None]:
+    """Lets go at its end of what was held within it, and of nothing else; write results before that."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        _let_go(_HELD.pop())
 
 
 def release() -> None:
-    """Let go of all that was held; call it when the results that read it are written."""
-    while _HELD:
-        _HELD.pop().unpersist()
+    """Let go of what was held outside any holding(), or since the innermost one began."""
+    _let_go(_HELD[-1])
+
+
+def _let_go(held: list[DataFrame]) -> None:
+    while held:
+        held.pop().unpersist()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,8 +99,19 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 _SPARK = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType()}
 
 
+def slices(batch: pa.RecordBatch, rows: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of up to `rows` rows and about `most` bytes of text; a longer text is a part of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_texts(docs: DataFrame, keep: list[str], results: dict[str, str], make: Callable, rows: int = 512) -> DataFrame:
-    """The columns `keep` as they are, and results (name: type) found from the texts, `rows` rows at a time.
+    """The columns `keep` as they are, and results (name: type) found from the texts, `rows` rows or a few MB at a time.
 
     make() is called once a task and gives a function from a list of texts (None for null) to (index, columns): the
     columns by name, and for each of their rows the index of its text, or None where text and row correspond. Ids
@@ -77,8 +122,7 @@ def map_texts(docs: DataFrame, keep: list[str], results: dict[str, str], make: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            for part in slices(batch, rows):
                 index, found = own(part.column("text").to_pylist())
                 kept = part if index is None else part.take(pa.array(index, pa.int64()))
                 columns = [kept.column(c) for c in keep] + [pa.array(found[n], _ARROW[k]) for n, k in results.items()]
