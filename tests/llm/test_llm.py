@@ -302,8 +302,9 @@ def test_search_is_exact():
     sets = [np.unique(np.array([r.randint(0, 60) for _ in range(r.randint(1, 30))], np.uint64)) for _ in range(300)]
     lists = ngram_join.InvertedLists(sets)
     for i, s in enumerate(sets):
-        want = [j for j, t in enumerate(sets) if j != i and 4 * len(np.intersect1d(s, t)) >= 3 * len(np.union1d(s, t))]
-        assert sorted(lists.search(s, i).tolist()) == want
+        want = [j for j, t in enumerate(sets) if 4 * len(np.intersect1d(s, t)) >= 3 * len(np.union1d(s, t))]
+        assert sorted(lists.search(s).tolist()) == want
+        assert sorted(lists.search(s, i).tolist()) == [j for j in want if j > i]
 
 
 def test_ngram_join_edges(tricky, empty):
@@ -322,7 +323,7 @@ def test_ngram_join_edges(tricky, empty):
 
 def test_components(spark):
     chain = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(bytes([100]), bytes([i])) for i in range(101, 140)] + [(bytes([50]), bytes([50]))]
-    got = {bytes(r["key"]): bytes(r["root"]) for r in ngram_join.components(spark.createDataFrame(chain, "key binary, root binary")).collect()}
+    got = {bytes(r["node"]): bytes(r["root"]) for r in ngram_join.components(spark.createDataFrame(chain, "node binary, root binary")).collect()}
     assert got == {bytes([i]): bytes([0]) for i in range(1, 41)} | {bytes([i]): bytes([100]) for i in range(101, 140)}
 
 
@@ -596,3 +597,28 @@ def test_hot_length_is_numbered_without_gaps(spark):
     rows = ranked(df, ["k"], ["x"], 1000, each=50).collect()
     for k, n in ((1, 900), (2, 100)):
         assert sorted(r["rank"] for r in rows if r["k"] == k) == list(range(n))
+
+
+def test_held_results_are_not_stale(spark, tmp_path):
+    """A table written anew under its path is read anew, and holding() lets go of its own only."""
+    from quillmill.llm import common
+
+    for n in (2, 3):
+        spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        assert len(sharding.op2_shard_documents(spark, str(tmp_path)).collect()) == n
+    outside = common.hold(spark.range(5))
+    with common.holding():
+        inside = common.hold(spark.range(6))
+        assert inside.count() == 6 and len(common._HELD[-1]) == 1
+    assert outside.count() == 5 and common._HELD[-1]
+
+
+def test_slices_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from quillmill.llm.common import slices
+
+    texts = ["a" * 10, None, "b" * 95, "c" * 300, "", "d"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    assert [s.column("text").to_pylist() for s in slices(batch, 4, 100)] == [["a" * 10, None], ["b" * 95], ["c" * 300], ["", "d"]]
+    assert [s.num_rows for s in slices(batch, 2, 10_000)] == [2, 2, 2]
