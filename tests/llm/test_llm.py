@@ -113,6 +113,20 @@ def test_sketches_merge(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+def test_fences_follow_their_group(spark):
+    """Scale what a group's documents do, and its fences move; no fence stays at one value over the groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    counted = quality_rules.measured(docs, ["lang", "source"]).cache()
+    tripled = counted.withColumns({c: 3 * F.col(c) for c in ("n_symbols", "n_stutters", "n_dup_lines", "word_chars")})
+    before, after = ({(r["f_lang"], r["f_source"]): r for r in quality_rules.fences(quality_rules.sketches(x)).collect()} for x in (counted, tripled))
+    names = [f"high_{r}" for r in quality_rules.RATIOS] + ["low_word_length"]
+    moved = [before[k][n] != after[k][n] for k in before for n in names]
+    assert len(before) > 50 and sum(moved) > 0.9 * len(moved)
+    assert all(len({r[n] for r in before.values()}) > 2 for n in names)
+    assert {r["level_symbol_rate"] for r in before.values()} == {0, 1}
+    counted.unpersist()
+
+
 # 2 Sharding
 
 
