@@ -27,25 +27,54 @@ from .common import hold, map_texts, ranked, table
 WIDTH = 2048
 #: Pieces that a worker remembers, about 200 bytes each.
 CACHE = 800_000
-#: Longer texts, in characters, are encoded piece by piece.
-RANKED = 200_000
+#: What a byte-level pre-tokenizer with a pattern of its own cuts at: a fixed value of the format.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The rank path's regular expressions run out of stack on longer white space.
+SPACES = regex.compile(r"\s{8192}")
 #: Pieces in one call of the library.
 ROW = 10_000
 END = 1
 
 
+class WholeTokenizer:
+    """Ids by the tokenizers library, a whole text at a time. Strings of the file's added tokens in a text are those tokens."""
+
+    def __init__(self, file: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(file.decode())
+
+    def encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def cut_pattern(file: dict) -> str | None:
+    """The pattern whose matches the file's pre-tokenizer encodes alone, or None if it has another way."""
+    cutter, model = file.get("pre_tokenizer") or {}, file["model"]
+    if file.get("normalizer") or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    if cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space"):
+        return BYTE_LEVEL
+    return None
+
+
 class PieceTokenizer:
-    """Ids by the tokenizers library, looked up by pre-token.
+    """The same ids, looked up by pre-token.
 
     A byte-level tokenizer encodes each match of its pattern alone, so the library is asked once for each distinct
-    match, and a text's ids are those of its matches in a row. What a worker remembers is bounded as in bpe.py.
+    match, and a text's ids are those of its matches in a row. What a worker remembers is bounded as in bpe.py. A text
+    that has the string of an added token goes to the library whole.
     """
 
     def __init__(self, file: bytes, pattern: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.encode_special_tokens = True
+        parsed = json.loads(file)
+        if cut_pattern(parsed) != pattern:
+            raise ValueError("the file's pre-tokenizer does not cut at this pattern")
+        self.whole = WholeTokenizer(file)
+        self.tokenizer = self.whole.tokenizer
+        added = [t["content"] for t in parsed.get("added_tokens", [])]
+        self.added = regex.compile("|".join(map(regex.escape, added))).search if added else lambda text: None
         self.split = regex.compile(rust_spaces(pattern)).findall
         self.cache: dict[str, bytes] = {}
 
@@ -72,12 +101,18 @@ class PieceTokenizer:
         return coded
 
     def encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not self.added(t) for t in texts]
+        coded = self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p])
+        for text, p in zip(texts, plain, strict=True):
+            yield next(coded) if p else next(self.whole.encode_group([text]))
+
+    def encode_plain(self, texts: list[str]) -> Iterator[bytes]:
         cut_texts = [self.split(t) if t else [] for t in texts]
         wanted = set().union(*cut_texts)
-        new = [p for p in wanted if p not in self.cache]
+        new = sorted(p for p in wanted if p not in self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-            new = list(wanted)
+            new = sorted(wanted)
         coded = self.encode_pieces(new)
         long = {p: c for p, c in coded.items() if len(p) > LONG}
         self.cache.update((p, c) for p, c in coded.items() if len(p) <= LONG) if long else self.cache.update(coded)
@@ -89,7 +124,8 @@ class PieceTokenizer:
 class RankTokenizer:
     """The same ids, sooner, where the file's merges are ordered by id: by ranks, with the tiktoken library.
 
-    Texts that its regular expressions give up on, such as very long runs of spaces, go the other way.
+    Texts with the string of an added token, or with white space that its regular expressions run out of stack on, go
+    to the tokenizers library whole.
     """
 
     def __init__(self, file: bytes, pattern: str):
@@ -97,23 +133,17 @@ class RankTokenizer:
 
         model = json.loads(file)["model"]
         plain = {c: b for b, c in _byte_names().items()}
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        ids = [model["vocab"][a + b] for a, b in merges]
-        if any(x >= y for x, y in zip(ids, ids[1:])):
-            raise ValueError("the merges aren't ordered by id")
-        tokens = [*plain, *(a + b for a, b in merges)]
+        tokens = [*plain, *(a + b for a, b in _merges(model))]
         ranks = {bytes(plain[c] for c in t): model["vocab"][t] for t in tokens}
         self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.plain = PieceTokenizer(file, pattern)
+        self.pieces = PieceTokenizer(file, pattern)
 
     def encode_group(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            try:
-                if len(text) > RANKED:
-                    raise ValueError
+            if self.pieces.added(text) or SPACES.search(text):
+                yield from self.pieces.whole.encode_group([text])
+            else:
                 yield np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
-            except Exception:
-                yield from self.plain.encode_group([text])
 
 
 def _byte_names() -> dict[int, str]:
@@ -124,14 +154,29 @@ def _byte_names() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def piece_tokenizer(file: bytes, pattern: str) -> RankTokenizer | PieceTokenizer:
+def piece_tokenizer(file: bytes, pattern: str) -> RankTokenizer | PieceTokenizer | WholeTokenizer:
+    """The soonest that gives the library's ids for this file: by ranks, by matches of the pattern, or whole texts."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    try:
-        return RankTokenizer(file, pattern)
-    except (ValueError, KeyError):
-        return PieceTokenizer(file, pattern)
+    parsed = json.loads(file)
+    if cut_pattern(parsed) != pattern:
+        return WholeTokenizer(file)
+    return RankTokenizer(file, pattern) if merges_by_id(parsed["model"]) else PieceTokenizer(file, pattern)
+
+
+def _merges(model: dict) -> list[tuple[str, str]]:
+    return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+
+
+def merges_by_id(model: dict) -> bool:
+    """Whether every byte has an id and what later merges make has later ids, so that ids are ranks."""
+    vocabulary = model["vocab"]
+    made = [a + b for a, b in _merges(model)]
+    if not all(t in vocabulary for t in [*_byte_names().values(), *made]):
+        return False
+    ids = [vocabulary[t] for t in made]
+    return all(x < y for x, y in zip(ids, ids[1:]))
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end: int = END) -> DataFrame:
@@ -160,15 +205,14 @@ def pieces(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end: in
 def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of one sequence, how many such sequences)]: every piece once, none cut.
 
-    Lengths are placed longest first. The pieces of a length go onto the open packs with the most room, as many at once
-    as there are packs of a pattern or pieces left; what finds no room opens packs. The loop runs over patterns, not
-    pieces: each step uses up a pattern or a length.
+    Lengths are placed longest first, each piece onto the open pack with the most room. All packs with the same room
+    take a piece in one step, as many as there are packs of a pattern or pieces left, and are then packs with less room,
+    further down; what finds no room opens packs. The loop runs over patterns, not pieces.
     """
     open_packs: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room left
     for length in sorted((k for k, n in histogram.items() if n > 0), reverse=True):
         left = histogram[length]
-        moved: list[tuple[int, tuple[int, ...], int]] = []
-        room = width
+        room = width - 1
         while left and room >= length:
             if not open_packs[room]:
                 room -= 1
@@ -178,16 +222,14 @@ def shortest_pack_first(histogram: dict[int, int], width: int = WIDTH) -> list[t
             if used < count:
                 open_packs[room].append((pattern, count - used))
             left -= used
-            moved.append((room - length, (*pattern, length), used))
+            open_packs[room - length].append(((*pattern, length), used))
         if left:
-            # A length that fits a pack several times fills new packs as often as it fits.
+            # The pack opened last has the most room, until it has none for this length.
             each = width // length
             if full := left // each:
-                moved.append((width - each * length, (length,) * each, full))
+                open_packs[width - each * length].append(((length,) * each, full))
             if rest := left % each:
-                moved.append((width - rest * length, (length,) * rest, 1))
-        for room, pattern, count in moved:
-            open_packs[room].append((pattern, count))
+                open_packs[width - rest * length].append(((length,) * rest, 1))
     merged: dict[tuple[int, ...], int] = defaultdict(int)
     for packs in open_packs.values():
         for pattern, count in packs:
@@ -241,7 +283,8 @@ def pack(cut_pieces: DataFrame, width: int = WIDTH) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end: int = END) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text; more columns are ignored): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null text counts as empty: its one piece is the end id. A document longer than width fills whole sequences and its
+    The ids are the library's with add_special_tokens=False: strings of the file's added tokens become those tokens. A
+    null text counts as empty: its one piece is the end id. A document longer than width fills whole sequences and its
     rest is packed; repeated rows are packed as often as they occur. An empty table gives an empty result.
     """
     return pack(hold(pieces(docs, path, pattern, width, end)), width)

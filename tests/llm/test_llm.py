@@ -550,6 +550,14 @@ def test_shortest_pack_first():
         patterns = packing.shortest_pack_first(collections.Counter(lengths), 50)
         assert sorted(x for p, n in patterns for x in p * n) == sorted(lengths)
         assert all(sum(p) <= 50 for p, _ in patterns)
+        packs = []
+        for length in sorted(lengths, reverse=True):
+            at = min(range(len(packs)), key=lambda i: packs[i], default=None)
+            if at is None or packs[at] + length > 50:
+                packs.append(length)
+            else:
+                packs[at] += length
+        assert sorted(packs) == sorted(sum(p) for p, n in patterns for _ in range(n))
 
 
 def check_packs(rows):
@@ -596,12 +604,21 @@ def test_both_tokenizers_agree():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(file.decode())
-    texts = unicode_texts(3000, 9) + ["a b" * 900, "  x", " ", "\n\n a"]
+    special = ["<|endoftext|>", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>\n", "<|endoftext|", "a<|endoftext|>b " * 50]
+    long = ["the cat sat on 12 mats. " * 10_000, "x" * 300_000, " " * 250_000 + "y", "ab " * 100_000 + "<|endoftext|>"]
+    texts = unicode_texts(3000, 9) + ["", "a b" * 900, "  x", " ", "\n\n a", *special, *long]
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    for own in (ranked, plain):
+    assert want[texts.index(special[1])] == [31373, 220, 50256, 2124]
+    for own in (ranked, plain, packing.WholeTokenizer(file)):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_group(texts)] == want
     vocabulary = json.loads(file)["model"]["vocab"]
     assert len(ranked.ranked._mergeable_ranks) >= len(vocabulary) - 1
+    assert isinstance(packing.piece_tokenizer(file, public_tokenizers.PATTERN), packing.RankTokenizer)
+    assert isinstance(packing.piece_tokenizer(file, r"\S+"), packing.WholeTokenizer)
+    shuffled = json.loads(file)
+    shuffled["model"]["merges"].reverse()
+    assert isinstance(packing.piece_tokenizer(json.dumps(shuffled).encode(), public_tokenizers.PATTERN), packing.PieceTokenizer)
+    assert packing.BYTE_LEVEL == public_tokenizers.PATTERN
 
 
 def test_hot_length_is_numbered_without_gaps(spark):
