@@ -139,12 +139,14 @@ def pieces_for(n: int, each: int, most: int = 1 << 20) -> int:
 def ranked(df: DataFrame, keys: list[str], order: list, total: int, each: int = 50_000, name: str = "rank") -> DataFrame:
     """df with its rows numbered from 0 within each value of the keys, by any number of tasks.
 
-    A hot key does not meet in one task: rows are dealt over blocks by a hash of the order columns, numbered within
-    (keys, block), and shifted by the counts of the blocks before. The order columns decide everything, so that a
+    A hot key does not meet in one task: rows are dealt over blocks by a hash of the order columns (the leading 32 bits
+    of a digest, so that other engines can say the same), numbered within (keys, block), and shifted by the counts of
+    the blocks before. The order columns decide everything, so that a
     recomputed task gives the same numbers. df is read twice and should be cheap or cut.
     """
     blocks = pieces_for(total, each)
-    with_block = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    digest = F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]).cast("binary"))
+    with_block = df.withColumn("__block", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0))
     from pyspark.sql import Window
 
     counts = with_block.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))

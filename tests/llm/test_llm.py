@@ -131,11 +131,18 @@ def test_fences_follow_their_group(spark):
 
 
 def brute_shard(key, tree):
-    def draw(leaf):
-        u = (int(hashlib.md5(f"{key}:{leaf.shard}".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13
-        return -np.log(u) / leaf.weight
-
-    return min((x for x in tree if x.weight > 0), key=draw).shard
+    """Every arrival at every leaf, far beyond the first one that is taken."""
+    found = []
+    for region in sorted({x.region for x in tree.shards}):
+        time = 0.0
+        for arrival in range(400):
+            wait, rack_draw, shard_draw = sharding.draws(str(key), region, arrival)
+            time += wait / tree.regions.get(region, 1.0)
+            for x in tree.shards:
+                rack, slot = rack_draw * tree.rack_slots - x.rack, shard_draw * tree.shard_slots - x.slot
+                if x.region == region and 0 <= rack < tree.racks.get((region, x.rack), 1.0) and 0 <= slot < x.weight:
+                    found.append((time, x.shard))
+    return min(found)[1]
 
 
 def test_sharding(tricky, empty):
@@ -152,16 +159,36 @@ def test_sharding(tricky, empty):
 
 
 def test_sharding_moves_little(spark):
+    S = sharding.Shard
+    leaves = (S(0, 0, 0, 0, 0.5), S(0, 0, 1, 1), S(0, 1, 0, 2, 0.25), S(1, 0, 0, 3), S(1, 1, 1, 4, 0.5), S(5, 0, 0, 5))
+    tree = sharding.Tree(leaves, racks={(1, 0): 0.75}, regions={1: 2.0, 5: 0.5})
+    descent = sharding.Descent(tree)
+    assert all(descent.shard(str(k)) == brute_shard(k, tree) for k in range(300))
+    share = {x.shard: x.weight * tree.racks.get((x.region, x.rack), 1.0) * tree.regions.get(x.region, 1.0) for x in leaves}
     keys = spark.range(20_000)
-    tree = [sharding.Shard(0, 0, 0), sharding.Shard(0, 0, 1, 2.0), sharding.Shard(0, 1, 2), sharding.Shard(1, 0, 3, 4.0)]
-    heavier = [*tree[:2], sharding.Shard(0, 1, 2, 3.0), tree[3]]
-    moved = sharding.shard_of(sharding.shard_of(keys, F.col("id"), tree, "a"), F.col("id"), heavier, "b")
-    assert moved.where("a <> b AND b <> 2").isEmpty() and not moved.where("a <> b").isEmpty()
-    for row in moved.groupBy("a").count().collect():
-        assert abs(row["count"] / 20_000 - tree[row["a"]].weight / 8) < 0.02
+    before = sharding.shard_of(keys, F.col("id"), tree, "a").cache()
+    for row in before.groupBy("a").count().collect():
+        assert abs(row["count"] / 20_000 - share[row["a"]] / sum(share.values())) < 0.015
+
+    def moved(changed):
+        rows = sharding.shard_of(before, F.col("id"), changed, "b").where("a <> b").select("a", "b").distinct().collect()
+        return {(r["a"], r["b"]) for r in rows}
+
+    T = sharding.Tree
+    new = T((*leaves[:2], S(0, 1, 0, 2, 0.75), *leaves[3:]), racks=tree.racks, regions=tree.regions)
+    assert {b for _, b in moved(new)} == {2}
+    less = T(leaves, racks={(1, 0): 0.25}, regions=tree.regions)
+    assert {a for a, _ in moved(less)} == {3}
+    heavy = T(leaves, racks=tree.racks, regions={1: 4.0, 5: 0.5})
+    assert {b for _, b in moved(heavy)} == {3, 4} and {a for a, _ in moved(heavy)} <= {0, 1, 2, 5}
+    more = T((*leaves, S(7, 1, 1, 9)), racks=tree.racks, regions=tree.regions)
+    assert {b for _, b in moved(more)} == {9}
     for n in range(8, 12):
         grown = sharding.shard_of(sharding.shard_of(keys, F.col("id"), sharding.even_tree(n), "a"), F.col("id"), sharding.even_tree(n + 1), "b")
         assert grown.where(f"a <> b AND b <> {n}").isEmpty()
+    for wrong in ((leaves[0], leaves[0]), (S(0, 2, 0, 0),), (S(0, 0, 0, 0, 1.5),), (S(0, 0, 0, 0, 0.0),)):
+        with pytest.raises(ValueError):
+            sharding.Tree(wrong)
 
 
 # 3 Byte-level BPE
