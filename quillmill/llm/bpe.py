@@ -5,14 +5,19 @@ they are sorted into buckets by length, each bucket is a padded matrix of token
 every row merges its leftmost pair of least rank. Pair ranks come from an open-addressing hash table in three numpy
 arrays. After a merge, rows move left over the freed column, and rows without a mergeable pair leave the matrix.
 
+A round costs a row as many steps as the row is long, so that matrices are for matches of up to `LONG` bytes. A longer
+match (letters without a space between them, encoded data) is merged alone, in the same order, by a heap of pairs over
+a linked list, in n log n steps.
+
 What a worker remembers is bounded: the table of encoded matches is emptied when it holds `CACHE` entries, and matches
-longer than `LONG` bytes are never remembered.
+longer than `LONG` characters are never remembered.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -99,6 +104,8 @@ class ByteBPE:
                 out[i] = np.array([known], np.int64)
             elif not p:
                 out[i] = np.zeros(0, np.int64)
+            elif len(p) > LONG:
+                out[i] = self._alone(p)
             else:
                 todo.append(i)
         todo.sort(key=lambda i: len(pieces[i]))
@@ -112,6 +119,51 @@ class ByteBPE:
             start = stop
         return out
 
+    def _alone(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece: the leftmost pair of least rank is merged until there is none.
+
+        The heap holds rank * length + place of each pair; an entry whose pair has changed since is passed over.
+        """
+        n = len(piece)
+        first = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.rank(first[:-1], first[1:])
+        ids, rank = first.tolist(), [*ranks.tolist(), int(NONE)]
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        at = np.flatnonzero(ranks != NONE)
+        heap = np.sort(ranks[at] * n + at).tolist()
+        known: dict[tuple[int, int], int] = {}
+
+        def pair_rank(left: int, right: int) -> int:
+            found = known.get((left, right))
+            if found is None:
+                found = known[left, right] = int(self.pairs.rank(np.array([left]), np.array([right]))[0])
+            return found
+
+        none = int(NONE)
+        while heap:
+            best, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != best:
+                continue
+            j = after[i]
+            ids[i], rank[j] = best, none
+            k = after[i] = after[j]
+            rank[i] = none
+            if k >= 0:
+                before[k] = i
+                rank[i] = pair_rank(best, ids[k])
+                if rank[i] != none:
+                    heapq.heappush(heap, rank[i] * n + i)
+            h = before[i]
+            if h >= 0:
+                rank[h] = pair_rank(ids[h], best)
+                if rank[h] != none:
+                    heapq.heappush(heap, rank[h] * n + h)
+        out, i = [], 0
+        while i >= 0:
+            out.append(ids[i])
+            i = after[i]
+        return np.array(out, np.int64)
+
     def _bucket(self, pieces: list[bytes], rows: list[int], width: int, out: list) -> None:
         lengths = np.array([len(pieces[i]) for i in rows], np.int64)
         raw = np.frombuffer(b"".join(pieces[i] for i in rows), np.uint8)

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import json
@@ -246,6 +247,26 @@ def test_bpe_small_vocabulary():
         assert ids.tolist() == brute(piece)
 
 
+def test_long_pieces():
+    """Pieces of over LONG bytes are merged alone, to the same ids, and a megabyte in seconds."""
+    import time
+
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"bc", b"abc", b"aa", b"aaa", b"ca", b"cab"]
+    own = bpe.ByteBPE(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)), public_tokenizers.PATTERN)
+    r = random.Random(11)
+    for _ in range(40):
+        piece = bytes(r.choice(b"abc") for _ in range(r.randint(2, 500)))
+        assert own._alone(piece).tolist() == own.merge([piece])[0].tolist()
+    name = "byte_bpe_multi_50k.tiktoken"
+    own, encoder = bpe.ByteBPE(bpe.read_vocabulary(public_tokenizers.path(name)), public_tokenizers.PATTERN), tiktoken_encoder(name)
+    texts = ["".join(r.choice("acgt") for _ in range(1_000_000)), "".join(r.choice("这是一个很长的句子没有空格") for _ in range(50_000)), "a" * 200_000, "".join(r.choice("abcdefghijklmnop") for _ in range(100_000)) + " word"]
+    began = time.time()
+    for text in texts:
+        ids = own.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.encode_ordinary(text) and own.decode(ids) == text.encode()
+    assert time.time() - began < 60
+
+
 # 4 Token counts
 
 
@@ -275,9 +296,11 @@ def test_token_counts(documents, tricky, empty):
     tokens = {base64.b64decode(x.split()[0]) for x in open(path, "rb")}
     first, inner = {t for t in tokens if t[:1] == b" " and b" " not in t[1:]}, {t for t in tokens if b" " not in t}
     split = token_counts.counter(bpe.read_vocabulary(path), b" ").split
-    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(documents.where("n_chars < 1500"), path).collect()}
-    for doc_id, text in list(texts_of(documents.where("n_chars < 1500")).items())[:40]:
-        assert found[doc_id] == sum(brute_pieces(b" " + w.encode(), first, inner) for w in split(text or ""))
+    found = {r["doc_id"]: r for r in token_counts.token_counts(documents, path).collect()}
+    pieces = functools.cache(lambda w: brute_pieces(b" " + w.encode(), first, inner))
+    for doc_id, text in texts_of(documents).items():
+        counts = [pieces(w) for w in split(text or "")]
+        assert (found[doc_id]["n_words"], found[doc_id]["n_tokens"], found[doc_id]["n_unknown"]) == (len(counts), sum(counts) + counts.count(0), counts.count(0))
     rows = {r["doc_id"]: r for r in token_counts.token_counts(tricky, path).collect()}
     assert rows[3]["n_tokens"] == rows[4]["n_tokens"] == rows[5]["n_words"] == 0
     assert token_counts.token_counts(empty, path).collect() == []
