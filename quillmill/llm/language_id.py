@@ -2,13 +2,14 @@
 
 Learning counts the hashed n-grams of all rows that may be learned from, per language, and sums the counts by language
 and block of buckets, so that no task sees more than one block. The log-probability matrix (languages x buckets, a fixed
-number of buckets) is broadcast; its size is checked. Scoring turns a batch of texts into a sparse count matrix in numpy
-(row, bucket, count) and multiplies it with that matrix.
+number of buckets) is broadcast in slices of LANGS_EACH languages, 16 MB each. Scoring turns a batch of texts into a
+sparse count matrix in numpy (row, bucket, count), multiplies it with each slice and carries the best language and the
+sum of all odds along, so that any number of languages is compared exactly; a worker keeps KEPT slices in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,28 +17,52 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, table
+from .common import held_out, hold, map_texts, table
 
 ORDERS = (1, 2, 3)
 BITS = 15
 SMOOTHING = 0.5
 #: Log odds per n-gram overstate what overlapping n-grams tell; the score spreads them over this many.
 OVERLAP = 6.0
-MODEL_BYTES = 64 << 20
+#: Languages in one slice of the model, and slices that a worker keeps.
+LANGS_EACH, KEPT = 64, 4
 #: Code points that are hashed at once.
 CHUNK = 1 << 20
 LETTERS = regex.compile(r"\P{L}+")
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
+BLOCK = 1 << 12
+
 
+def chunks(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+    """Groups of about CHUNK code points of (row, stretch, starts): n-grams begin in the first `starts` places of a stretch.
 
-def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each n-gram of each text; case is folded and what lies between letters becomes one space."""
-    folded = [" " + LETTERS.sub(" ", t.lower()).strip() + " " for t in texts]
-    lengths = np.array([len(t) for t in folded], np.int64)
-    codes = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    rows = np.repeat(np.arange(len(texts)), lengths)
-    left = np.cumsum(lengths)[rows] - np.arange(len(codes)) if len(codes) else np.zeros(0, np.int64)  # to the text's end
+    Case is folded and what lies between letters becomes one space. A longer text is cut into stretches that overlap
+    by what an n-gram needs, so that each of its n-grams begins in one of them.
+    """
+    group, held = [], 0
+    for row, text in enumerate(texts):
+        folded = " " + LETTERS.sub(" ", text.lower()).strip() + " "
+        for start in range(0, len(folded), CHUNK):
+            stretch = folded[start : start + CHUNK + max(ORDERS) - 1]
+            if held and held + len(stretch) > CHUNK:
+                yield group
+                group, held = [], 0
+            group.append((row, stretch, min(CHUNK, len(folded) - start)))
+            held += len(stretch)
+    if group:
+        yield group
+
+
+def buckets(group: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each n-gram of a group of chunks()."""
+    lengths = np.array([len(x) for _, x, _ in group], np.int64)
+    codes = np.frombuffer("".join(x for _, x, _ in group).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    stretch = np.repeat(np.arange(len(group)), lengths)
+    place = np.arange(len(codes)) - (np.cumsum(lengths) - lengths)[stretch]
+    may = place < np.array([n for _, _, n in group], np.int64)[stretch]
+    left = lengths[stretch] - place
+    rows = np.array([r for r, _, _ in group], np.int64)[stretch]
     out_rows, out = [], []
     hashed = np.zeros(len(codes), np.uint64)
     for n in range(1, max(ORDERS) + 1):
@@ -46,29 +71,14 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         hashed = (hashed + shifted + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         hashed ^= hashed >> np.uint64(29)
         if n in ORDERS:
-            inside = left >= n
+            inside = may & (left >= n)
             out_rows.append(rows[inside])
             out.append(((hashed[inside] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64))
     return np.concatenate(out_rows), np.concatenate(out)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts, none over CHUNK code points but for a single text; with the index of the first."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > CHUNK:
-            yield start, texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
-BLOCK = 1 << 12
-
-
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages in order and their log-probability matrix, with the log priors as last column.
+def learn(docs: DataFrame) -> list[tuple[list[str], np.ndarray]]:
+    """Slices of the model: languages in order, and their log-probability matrix with the log priors as last column.
 
     docs: lang and text of the rows to learn from; rows with a null text or language teach nothing.
     """
@@ -79,44 +89,63 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for lang, group in batch.groupby("lang"):
                 own = totals.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
                 own[-1] += len(group)
-                for _, texts in _chunks(group["text"].tolist()):
-                    own[:-1] += np.bincount(buckets(texts)[1], minlength=1 << BITS)
+                for chunk in chunks(group["text"].tolist()):
+                    own[:-1] += np.bincount(buckets(chunk)[1], minlength=1 << BITS)
+            if len(totals) > LANGS_EACH:
+                yield from sums(totals)
+                totals = {}
+        yield from sums(totals)
+
+    def sums(totals: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, own in totals.items():
             blocks = [own[i : i + BLOCK] for i in range(0, len(own), BLOCK)]
             yield pd.DataFrame({"lang": lang, "block": range(len(blocks)), "counts": blocks})
 
     parts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInPandas(count, "lang string, block int, counts array<long>")
-    cells = parts.select("lang", "block", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("lang", "block", "at").agg(F.sum("n").alias("n"))
-    most = MODEL_BYTES // (((1 << BITS) + 1) * 8)
-    langs = sorted(r["lang"] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().limit(most + 1).collect())
-    if len(langs) > most:
-        raise ValueError(f"more than {most} languages make the matrix larger than {MODEL_BYTES} bytes")
-    counts = np.zeros((len(langs), (1 << BITS) + 1))
-    index = {x: i for i, x in enumerate(langs)}
-    got = cells.toPandas()
-    counts[got["lang"].map(index).to_numpy(np.int64), got["block"].to_numpy(np.int64) * BLOCK + got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    grams, rows = counts[:, :-1] + SMOOTHING, counts[:, -1:] + 1
-    return langs, np.hstack([np.log(grams / grams.sum(axis=1, keepdims=True)), np.log(rows / rows.sum())])
-
-
-def predict(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The language of each text and its score: the posterior with the log odds spread over OVERLAP."""
+    each = parts.select("lang", "block", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("lang", "block", "at").agg(F.sum("n").alias("n"))
+    cells = hold(each.select("lang", (F.col("block") * BLOCK + F.col("at")).alias("cell"), "n"))
+    # The last cell counts a language's texts.
+    texts = {r["lang"]: r["n"] for r in cells.where(F.col("cell") == 1 << BITS).select("lang", "n").collect()}
+    langs, total = sorted(texts), sum(texts.values()) + len(texts)
+    out = []
+    for start in range(0, len(langs), LANGS_EACH):
+        own = langs[start : start + LANGS_EACH]
+        got = cells.where(F.col("lang").isin(own) & (F.col("cell") < 1 << BITS)).toArrow()
+        counts = np.zeros((len(own), 1 << BITS))
+        index = np.searchsorted(np.array(own, object), np.array(got.column("lang").to_pylist(), object)) if got.num_rows else np.zeros(0, np.int64)
+        counts[index, got.column("cell").to_numpy()] = got.column("n").to_numpy()
+        grams = counts + SMOOTHING
+        priors = np.log((np.array([texts[x] for x in own], np.float64) + 1) / total)
+        out.append((own, np.hstack([np.log(grams / grams.sum(axis=1, keepdims=True)), priors[:, None]])))
+    return out
+
+
+def predict(texts: list[str | None], model: Callable[[], Iterator[tuple[list[str], np.ndarray]]]) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its score: the posterior with the log odds spread over OVERLAP. model() gives the slices."""
     answers, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-    if not langs:
-        return answers, scores
-    for start, chunk in _chunks([texts[i] for i in known]):
+    cells = []
+    for chunk in chunks([texts[i] for i in known]):
         rows, cols = buckets(chunk)
-        cells, n = np.unique(rows << BITS | cols, return_counts=True)
-        rows, cols = cells >> BITS, cells & ((1 << BITS) - 1)
-        logs = np.stack([np.bincount(rows, weights=n * model[k, cols], minlength=len(chunk)) for k in range(len(langs))], axis=1)
-        logs = logs / OVERLAP + model[:, -1]
-        logs -= logs.max(axis=1, keepdims=True)
-        odds = np.exp(logs)
-        odds /= odds.sum(axis=1, keepdims=True)
-        best = odds.argmax(axis=1)
-        for j, k in enumerate(best):
-            answers[known[start + j]], scores[known[start + j]] = langs[k], odds[j, k]
+        cells.append(np.unique(rows << BITS | cols, return_counts=True))
+    best, odds, named = np.full(len(known), -np.inf), np.zeros(len(known)), [UNDETERMINED] * len(known)
+    for langs, matrix in model():
+        logs = np.zeros((len(known), len(langs)))
+        for cell, n in cells:
+            rows, cols = cell >> BITS, cell & ((1 << BITS) - 1)
+            for k in range(len(langs)):
+                logs[:, k] += np.bincount(rows, weights=n * matrix[k, cols], minlength=len(known))
+        logs = logs / OVERLAP + matrix[:, -1]
+        at = logs.argmax(axis=1) if len(known) else np.zeros(0, np.int64)
+        top = logs[np.arange(len(known)), at]
+        higher = np.maximum(best, top)
+        odds = odds * np.exp(best - higher) + np.exp(logs - higher[:, None]).sum(axis=1)
+        for i in np.flatnonzero(top > best).tolist():
+            named[i] = langs[at[i]]
+        best = higher
+    for i, lang, share in zip(known, named, odds.tolist(), strict=True):
+        if share:
+            answers[i], scores[i] = lang, 1 / share
     return answers, scores
 
 
@@ -127,11 +156,16 @@ def language_id(docs: DataFrame, train: DataFrame) -> DataFrame:
     so is every text if nothing was learned. Ties go to the language that sorts first. Equal texts get equal answers, an
     empty table an empty result.
     """
-    langs, matrix = learn(train)
-    model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in learn(train)]
+
+    def slices() -> Iterator[tuple[list[str], np.ndarray]]:
+        for i, own in enumerate(shared):
+            yield own.value
+            if i >= KEPT:
+                own.__dict__.pop("_value", None)  # read again from the executor's disk when its turn comes
 
     def run(texts: list[str | None]):
-        answers, scores = predict(texts, *model.value)
+        answers, scores = predict(texts, slices)
         return None, {"lang_pred": answers, "score": scores}
 
     return map_texts(docs, ["doc_id"], {"lang_pred": "string", "score": "double"}, lambda: run)

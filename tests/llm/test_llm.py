@@ -447,23 +447,52 @@ def test_language_id(spark, tricky, empty):
     assert {r["lang_pred"] for r in language_id.language_id(tricky, empty).collect()} == {"und"}
 
 
-def test_bayes_is_bayes(spark):
-    train = [("aa ab", "x"), ("bb ba ab", "y"), ("bbb", "y")]
-    langs, matrix = language_id.learn(spark.createDataFrame(train, "text string, lang string"))
-    assert langs == ["x", "y"]
-    counts = {k: collections.Counter() for k in langs}
-    for t, k in train:
-        counts[k].update(language_id.buckets([t])[1].tolist())
-    for k, lang in enumerate(langs):
-        total = sum(counts[lang].values()) + language_id.SMOOTHING * (1 << language_id.BITS)
-        for cell in {*counts["x"], *counts["y"]}:
-            assert np.isclose(matrix[k, cell], np.log((counts[lang][cell] + language_id.SMOOTHING) / total))
+def all_buckets(texts):
+    found = [language_id.buckets(c) for c in language_id.chunks(texts)]
+    return [sorted(np.concatenate([cells[rows == i] for rows, cells in found]).tolist()) for i in range(len(texts))]
 
 
-def test_grams_stay_in_their_text():
-    together = language_id.buckets(["ab", "", "c"])
-    alone = [sorted(language_id.buckets([t])[1].tolist()) for t in ("ab", "", "c")]
-    assert [sorted(together[1][together[0] == i].tolist()) for i in range(3)] == alone
+def brute_language(text, train):
+    """Bayes by plain sums over n-grams, each hashed alone."""
+    langs = sorted({k for _, k in train})
+    counts = {k: collections.Counter() for k in langs}
+    for t, k in train:
+        counts[k].update(all_buckets([t])[0])
+    own = collections.Counter(all_buckets([text])[0])
+    logs = []
+    for k in langs:
+        total = sum(counts[k].values()) + language_id.SMOOTHING * (1 << language_id.BITS)
+        prior = np.log((sum(x == k for _, x in train) + 1) / (len(train) + len(langs)))
+        logs.append(sum(n * np.log((counts[k][c] + language_id.SMOOTHING) / total) for c, n in own.items()) / language_id.OVERLAP + prior)
+    odds = np.exp(np.array(logs) - max(logs))
+    return langs[int(odds.argmax())], float(odds.max() / odds.sum())
+
+
+@pytest.mark.parametrize("each", [64, 2])
+def test_bayes_is_bayes(spark, monkeypatch, each):
+    """Also with more languages than a slice of the model has."""
+    monkeypatch.setattr(language_id, "LANGS_EACH", each)
+    train = [("aa ab", "x"), ("bb ba ab", "y"), ("bbb", "y"), ("cab", "z"), ("éa", "v"), ("cc bc", "w"), ("aa ab", "xx")]
+    texts = ["aab", "b", "cabc", "É", "aa ab ba", "zzz", "x" * 50]
+    model = language_id.learn(spark.createDataFrame(train, "text string, lang string"))
+    assert len(model) == -(-6 // each)
+    answers, scores = language_id.predict([*texts, None, "", "12"], lambda: iter(model))
+    want = [brute_language(t, train) for t in texts]
+    assert answers == [x for x, _ in want] + ["und"] * 3
+    assert np.allclose(scores, [x for _, x in want] + [0] * 3)
+
+
+def test_grams_stay_in_their_text(monkeypatch):
+    texts = ["ab", "", "c", "the quick brown fox " * 9, "Ünïcode 中文"]
+    plain = []
+    for t in texts:
+        folded = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        plain.append(sum(max(0, len(folded) - n + 1) for n in language_id.ORDERS))
+    whole = all_buckets(texts)
+    assert [len(x) for x in whole] == plain
+    assert whole == [all_buckets([t])[0] for t in texts]
+    monkeypatch.setattr(language_id, "CHUNK", 7)
+    assert all_buckets(texts) == whole
 
 
 # 8 Chat trees
