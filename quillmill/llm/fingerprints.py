@@ -1,32 +1,35 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is a sequence of words (runs of other than ASCII white space; each character of a run of more than LONGEST is a
-word, so that its syncmers are over characters and depend on no place in the run). Of its k-mers of K words those are anchors whose least s-mer of S words, by hash, is their first or last. Whether a k-mer
-is an anchor depends on its own words alone, so that an edit disturbs no anchor that it does not touch. A fingerprint
-keeps every anchor with its place in the text; an anchor that comes again counts as one of its own, by its number among
-equal ones. Two fingerprints are as like as the share of anchors that both have at about the same place (Dice's
-coefficient). A text of fewer than SHORT words, or without an anchor, takes its single words as well.
+Of a text's k-mers, K bytes of its UTF-8 each, those are anchors whose least s-mer of S bytes, by hash, is their first
+or last. Whether a k-mer is an anchor depends on its own bytes alone, whatever the script, with or without spaces, and
+wherever it stands, so that an edit disturbs no anchor that it does not touch. A fingerprint keeps every anchor with its
+place in the text; an anchor that comes again counts as one of its own, by its number among equal ones. Two fingerprints
+are as like as the share of anchors that both have at about the same place (Dice's coefficient).
+
+Any text of SURE bytes has an anchor; a shorter one takes its s-mers as well, and one shorter than those itself.
+
+As anchors are free of context, those of a text put together from two others are theirs, but for the k-mers across the
+seam: the edited texts are fingerprinted from the anchors of both documents and the 2 K - 2 bytes around the seam.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hold, pieces_for, table
 
-K, S = 6, 2
-SHORT = 32
-LONGEST = 32
-#: How many anchors a fingerprint keeps: all of them.
-SKETCH = None
-#: Anchors match if their places differ by no more than NEAR words and a share DRIFT of the longer text.
-NEAR, DRIFT = 8, 0.25
-#: An anchor is HASH_BITS of its hash and PLACE_BITS of its place; both fit a positive number.
-HASH_BITS, PLACE_BITS = 38, 24
-SPACE = "[ \\t-\\r]"
+K, S = 32, 8
+#: Closed syncmers leave no gap of more than K - S k-mers.
+SURE = 2 * K - S
+#: Anchors match if their places differ by no more than NEAR bytes and a share DRIFT of the longer text.
+NEAR, DRIFT = 48, 0.25
+#: An anchor is HASH_BITS of its hash and PLACE_BITS of its place; both fit a positive number, and an array has no more places.
+HASH_BITS, PLACE_BITS = 32, 31
 #: Rows of a stretch of doc_ids that one task walks, about.
 STRETCH = 20_000
 #: Up to so many stretches the list of their ends is broadcast, about 24 bytes each.
@@ -45,54 +48,85 @@ def place_of(anchor: Column) -> Column:
     return anchor.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: struct(n: words, h: hashes in order, p: their places) of a text column that has no nulls.
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once, also where lambdas in use refer to it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _anchor(raw: Column, at: Column, size: Column) -> Column:
+    """The anchor of so many bytes from a place on."""
+    return packed(F.shiftrightunsigned(F.xxhash64(F.substring(raw, at + 1, size)), 64 - HASH_BITS), at)
+
+
+def syncmers(raw: Column) -> Column:
+    """array of the anchors of a binary column, in the order of their places."""
+    inner = K - S
+
+    def least(g: Column, i: Column, at: int) -> Column:
+        """Whether the s-mer at one edge is the least; most k-mers fail at one of the first comparisons."""
+        own = F.get(g, i + at)
+        others = range(1, inner + 1) if at == 0 else range(inner - 1, -1, -1)
+        return reduce(and_, [own <= F.get(g, i + j) for j in others])
+
+    def found(raw: Column) -> Column:
+        smers = F.transform(F.sequence(F.lit(0), F.octet_length(raw) - S), lambda i: F.xxhash64(F.substring(raw, i + 1, F.lit(S))))
+        places = _with(smers, lambda g: F.filter(F.sequence(F.lit(0), F.octet_length(raw) - K), lambda i: least(g, i, 0) | least(g, i, inner)))
+        return F.transform(places, lambda i: _anchor(raw, i, F.lit(K)))
+
+    return F.when(F.octet_length(raw) >= K, _with(raw, found)).otherwise(_none())
+
+
+def short_mers(raw: Column) -> Column:
+    """What a text of under SURE bytes takes besides its syncmers."""
+    several = lambda raw: F.transform(F.sequence(F.lit(0), F.octet_length(raw) - S), lambda i: _anchor(raw, i, F.lit(S)))
+    n = F.octet_length(raw)
+    return F.when(n >= SURE, _none()).when(n >= S, _with(raw, several)).when(n > 0, F.array(_anchor(raw, F.lit(0), n))).otherwise(_none())
+
+
+def joined_syncmers(raw: Column, first: Column, other: Column, second: Column) -> Column:
+    """syncmers() of raw followed by other (both binary). first and second have the syncmers of both, and may have those of longer texts that begin so."""
+    cut, taken = F.octet_length(raw), F.octet_length(other)
+    start = F.greatest(cut - (K - 1), F.lit(0))
+    seam = F.concat(F.substring(raw, start + 1, F.lit(K - 1)), F.substring(other, F.lit(1), F.lit(K - 1)))
+    own = _with(cut, lambda c: F.filter(first, lambda x: place_of(x) + K <= c))
+    across = _with(start, lambda s: F.transform(syncmers(seam), lambda x: x + s))
+    behind = _with(F.struct(cut.alias("c"), taken.alias("t")), lambda v: F.transform(F.filter(second, lambda x: place_of(x) + K <= v["t"]), lambda x: x + v["c"]))
+    return F.concat(own, across, behind)
+
+
+def with_sketch(df: DataFrame, text: str, anchors: str, name: str) -> DataFrame:
+    """df with `name`: the anchors of a text without nulls, given its syncmers, sorted by hash, then place.
 
-    An anchor is one number, its hash and then its place, so that sorting them sorts by hash and then by place; places
-    from 2^PLACE_BITS on count as the last one below. The second and later anchors of one hash are hashed again with
-    their number, so that the hashes of a sketch differ.
+    The second and later anchors of one hash are hashed again with their number, so that the hashes of a sketch differ.
     """
     t = lambda x: f"__{name}_{x}"
-    trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
-    none = F.array().cast("array<string>")
-    single = F.flatten(F.transform(t("w"), lambda x: F.when(F.length(x) > LONGEST, F.split(x, "")).otherwise(F.array(x))))
-    df = df.withColumn(t("w"), F.when(F.length(trimmed(F.col(text))) > 0, F.split(trimmed(F.col(text)), SPACE + "+")).otherwise(none))
-    df = df.withColumn(t("w"), F.when(F.exists(t("w"), lambda x: F.length(x) > LONGEST), single).otherwise(F.col(t("w"))))
-    df = df.withColumn(t("h"), F.transform(t("w"), lambda x: F.xxhash64(x)))
-    df = df.withColumn(t("g"), F.zip_with(t("h"), F.slice(t("h"), F.lit(2), F.greatest(F.size(t("h")), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    g = F.col(t("g"))
-    edge = K - S
-    closed = lambda i: F.least(*[F.get(g, i + j) for j in range(1, edge)]) >= F.least(F.get(g, i), F.get(g, i + edge))
-    df = df.withColumn(t("i"), F.when(F.size(g) >= K, F.filter(F.sequence(F.lit(0), F.size(g) - K), closed)).otherwise(F.array().cast("array<int>")))
-    mark = lambda x, i: packed(F.shiftrightunsigned(x, 64 - HASH_BITS), F.least(i, F.lit((1 << PLACE_BITS) - 1)))
-    anchors = F.transform(t("i"), lambda i: mark(F.xxhash64(*[F.get(g, i + j) for j in range(0, K, S)]), i))
-    words = (F.size(g) < SHORT) | (F.size(t("i")) == 0)
-    df = df.withColumn(t("a"), F.sort_array(F.when(words, F.concat(anchors, F.transform(t("h"), mark))).otherwise(anchors)))
+    df = df.withColumn(t("a"), F.sort_array(F.concat(F.col(anchors), short_mers(F.col(text).cast("binary")))))
     a, f = F.col(t("a")), F.col(t("f"))
     fresh = lambda i: (i == 0) | (hash_of(F.get(a, i)) != hash_of(F.get(a, i - 1)))
     df = df.withColumn(t("f"), F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(0), F.size(a) - 1), fresh)).otherwise(F.array().cast("array<int>")))
-    again = lambda x, r: F.when(r == 0, x).otherwise(mark(F.xxhash64(hash_of(x), r), place_of(x)))
+    again = lambda x, r: F.when(r == 0, x).otherwise(packed(F.shiftrightunsigned(F.xxhash64(hash_of(x), r), 64 - HASH_BITS), place_of(x)))
     run = lambda at, j: F.transform(F.slice(a, at + 1, F.coalesce(F.get(f, j + 1), F.size(a)) - at), again)
-    df = df.withColumn(t("s"), F.when(F.size(f) == F.size(a), a).otherwise(F.sort_array(F.flatten(F.transform(f, run)))))
-    df = df.withColumn(name, F.struct(F.size(g).alias("n"), F.transform(t("s"), hash_of).alias("h"), F.transform(t("s"), place_of).alias("p")))
-    return df.drop(*[t(x) for x in "whgiafs"])
+    return df.withColumn(name, F.when(F.size(f) == F.size(a), a).otherwise(F.sort_array(F.flatten(F.transform(f, run))))).drop(t("a"), t("f"))
 
 
-def fingerprint(sketch: Column) -> Column:
-    """The sketch as a string: the number of words, then hash.place of each anchor."""
-    pairs = F.zip_with(sketch["h"], sketch["p"], lambda h, p: F.concat(F.lower(F.hex(h)), F.lit("."), p.cast("string")))
-    return F.concat_ws(" ", sketch["n"].cast("string"), pairs)
+def fingerprint(text: Column, sketch: Column) -> Column:
+    """The sketch of a text as a string: the number of bytes, then hash.place of each anchor."""
+    pairs = F.transform(sketch, lambda x: F.concat(F.lower(F.hex(hash_of(x))), F.lit("."), place_of(x).cast("string")))
+    return F.concat_ws(" ", F.octet_length(text).cast("string"), pairs)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1; 1 for equal sketches, also of texts without words, and 0 if only one has words."""
-    tolerance = NEAR + DRIFT * F.greatest(a["n"], b["n"])
-    anchors = lambda s: F.zip_with(s["h"], s["p"], packed)
-    # Sorted together, an anchor of both stands beside itself. The array is computed once, as the only element of another.
-    beside = lambda c: lambda x, i: (i > 0) & (hash_of(x) == hash_of(F.get(c, i - 1))) & (place_of(x) - place_of(F.get(c, i - 1)) <= tolerance)
-    both = F.get(F.transform(F.array(F.sort_array(F.concat(anchors(a), anchors(b)))), lambda c: F.size(F.filter(c, beside(c)))), 0)
-    share = F.least(F.lit(1.0), 2 * both / F.greatest(F.size(a["h"]) + F.size(b["h"]), F.lit(1)))
-    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).otherwise(share)
+def likeness(text: Column, sketch: Column, other: Column, other_sketch: Column) -> Column:
+    """From 0 to 1, of two texts and their sketches; 1 for equal ones, also of empty texts, and 0 if only one text is empty."""
+    tolerance = F.floor(NEAR + DRIFT * F.greatest(F.octet_length(text), F.octet_length(other))).cast("int")
+    # Sorted together, an anchor of both stands beside itself.
+    beside = lambda c, most: lambda x, i: (i > 0) & (hash_of(x) == hash_of(F.get(c, i - 1))) & (place_of(x) - place_of(F.get(c, i - 1)) <= most)
+    both = _with(tolerance, lambda most: _with(F.sort_array(F.concat(sketch, other_sketch)), lambda c: F.size(F.filter(c, beside(c, most)))))
+    share = F.least(F.lit(1.0), 2 * both / F.greatest(F.size(sketch) + F.size(other_sketch), F.lit(1)))
+    return F.when((F.octet_length(text) == 0) & (F.octet_length(other) == 0), F.lit(1.0)).otherwise(share)
 
 
 def stretch_of(docs: DataFrame, rows: int, partitions: int) -> Column:
@@ -157,20 +191,23 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.count()
     stretch = stretch_of(docs, rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("stretch", stretch)
-    followed = with_next(texts, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
+    followed = with_next(texts, ["text", "anchors"], lambda df: df.withColumn("anchors", syncmers(F.col("text").cast("binary"))))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = followed.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter)))
-    done = with_sketch(edited, "edited", "edited_sketch")
-    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    parted = followed.withColumns({"head": F.substr("text", F.lit(1), n - quarter), "tail": F.substr("next_text", F.lit(1), quarter)})
+    seam = joined_syncmers(F.col("head").cast("binary"), F.col("anchors"), F.col("tail").cast("binary"), F.col("next_anchors"))
+    edited = parted.withColumns({"edited": F.concat("head", "tail"), "edited_anchors": seam})
+    done = with_sketch(edited, "text", "anchors", "sketch")
+    done = with_sketch(with_sketch(done, "edited", "edited_anchors", "edited_sketch"), "next_text", "next_anchors", "next_sketch")
+    a, b, c = [(F.col(t), F.col(f"{x}sketch")) for t, x in (("text", ""), ("edited", "edited_"), ("next_text", "next_"))]
     return done.select(
         "doc_id",
-        "n_chars",
+        n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(a).alias("fingerprint"),
-        fingerprint(b).alias("edited_fingerprint"),
-        likeness(a, b).alias("near_edited"),
-        likeness(a, c).alias("near_next"),
+        fingerprint(*a).alias("fingerprint"),
+        fingerprint(*b).alias("edited_fingerprint"),
+        likeness(*a, *b).alias("near_edited"),
+        likeness(*a, *c).alias("near_next"),
     )
 
 
