@@ -258,19 +258,25 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def labels(classes: DataFrame) -> DataFrame:
-    """l_node, label: one round of handing on the least of the smallest hashes."""
+def labels(classes: DataFrame, total: int) -> DataFrame:
+    """l_node, label of that many classes: one round of handing on the least of the smallest hashes."""
     each = F.expr("transform(sequence(0, length(firsts) div 8 - 1), i -> substring(firsts, 8 * i + 1, 8))")
     held = classes.select("node", F.expr("substring(firsts, 1, 8)").alias("first"), F.explode(each).alias("h"))
-    least = held.groupBy("h").agg(F.min("first").alias("least")).withColumnRenamed("h", "l_h")
-    return held.join(least, F.col("h") == F.col("l_h")).groupBy(F.col("node").alias("l_node")).agg(F.min("least").alias("label"))
-
-
-def in_blocks(alive: DataFrame, total: int) -> DataFrame:
-    """alive (node, n, firsts) with the number of the block that each class lies in instead of firsts."""
+    least = cut(held.groupBy(F.col("h").alias("l_h")).agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("many")))
+    # A hash that a family shares is looked up by broadcast; there are HOT_SHARE * FIRSTS such hashes at most.
+    few = max(2, total // HOT_SHARE)
+    hot = F.broadcast(least.where(F.col("many") >= few).select(F.col("l_h").alias("h"), F.col("least").alias("hot")))
+    met = held.join(hot, "h", "left")
+    cold = met.where("hot IS NULL").join(least.where(F.col("many") < few), F.col("h") == F.col("l_h")).select("node", "least")
+    found = met.where("hot IS NOT NULL").select("node", F.col("hot").alias("least")).unionByName(cold)
+    return found.groupBy(F.col("node").alias("l_node")).agg(F.min("least").alias("label"))
+
+
+def in_blocks(alive: DataFrame, classes: int, total: int) -> DataFrame:
+    """alive (node, n, firsts; that many classes and hashes) with the number of the block that each class lies in instead of firsts."""
     parts = pieces_for(total, BLOCK)
     part = F.pmod(F.xxhash64("label"), F.lit(parts))
-    dealt = cut(alive.join(labels(alive), F.col("node") == F.col("l_node")).withColumn("part", part).drop("l_node", "label", "firsts"))
+    dealt = cut(alive.join(labels(alive, classes), F.col("node") == F.col("l_node")).withColumn("part", part).drop("l_node", "label", "firsts"))
     sizes = dealt.groupBy(F.col("part").alias("p")).agg(F.expr(f"cast(ceil(sum(n) / {BLOCK}) as bigint)").alias("splits"))
     block = F.col("part") * F.lit(1 << 20) + F.pmod(F.xxhash64("node"), F.col("splits"))
     return dealt.join(_bounded(sizes, parts), F.col("part") == F.col("p")).withColumn("block", block).drop("part", "p", "splits")
@@ -545,19 +551,20 @@ def _search_block(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([nodes[i] for i in linked], pa.binary()), "root": pa.array([nodes[root(i)] for i in linked], pa.binary()), "links": pa.array(links[linked], pa.int64())})
 
 
-def searched(blocked: DataFrame, routed: DataFrame) -> DataFrame:
-    """node, root, links of each search. blocked: node, short, n, copies, hashes, block."""
+def searched(blocked: DataFrame, routed: DataFrame, blocks: int) -> DataFrame:
+    """node, root, links of each search. blocked: node, short, n, copies, hashes, block; `blocks` of them at most."""
     own = blocked.select("block", "node", "short", "n", "copies", "hashes")
     routed = cut(routed)
     sent = own.drop("block").join(_bounded(routed, routed.count()), "short").withColumnRenamed("to_block", "block")
     loads = own.select("block", "n").unionByName(sent.select("block", "n")).groupBy("block")
-    load = loads.agg(F.expr(f"cast(ceil(greatest(count(1) / {QUERIES_EACH}, sum(n) / {QUERY_HASHES})) as int)").alias("chunks"))
+    load = _bounded(loads.agg(F.expr(f"cast(ceil(greatest(count(1) / {QUERIES_EACH}, sum(n) / {QUERY_HASHES})) as int)").alias("chunks")), blocks)
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # In each chunk of a block all its sets are listed (role 0); those of the chunk are also queries (1); queries from elsewhere are only that (2).
     listed = own.join(load, "block").withColumn("mine", chunk).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("role", F.when(F.col("mine") == F.col("chunk"), 1).otherwise(0))
     asked = sent.join(load, "block").withColumn("chunk", chunk).withColumn("role", F.lit(2))
     columns = ["block", "chunk", "role", "node", "copies", "hashes"]
-    return listed.select(*columns).unionByName(asked.select(*columns)).groupBy("block", "chunk").applyInArrow(_search_block, "node binary, root binary, links long")
+    # Dealt by chunk too, or the chunks of one block would share a task.
+    return listed.select(*columns).unionByName(asked.select(*columns)).repartition("block", "chunk").groupBy("block", "chunk").applyInArrow(_search_block, "node binary, root binary, links long")
 
 
 def components(stars: DataFrame) -> DataFrame:
@@ -603,8 +610,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     buckets = max(2 * partitions, pieces_for((total or 0) * (1 - NUM / DEN + SLACK), BUCKET))
     alive = cut(classes.join(survivors(named, buckets, 2 * partitions), "short", "left_semi"))
     total, n_alive = alive.agg(F.sum("n"), F.count(F.lit(1))).first()
-    blocked = hold(class_sets(docs, cut(in_blocks(alive, total or 0)), n_alive))
-    stars = hold(searched(blocked, routes(blocked, max(partitions, pieces_for((total or 0) // 2, BUCKET)), 2 * partitions)))
+    blocked = hold(class_sets(docs, cut(in_blocks(alive, n_alive, total or 0)), n_alive))
+    stars = hold(searched(blocked, routes(blocked, max(partitions, pieces_for((total or 0) // 2, BUCKET)), 2 * partitions), 2 * pieces_for(total or 0, BLOCK)))
     links = stars.groupBy("node").agg(F.sum("links").alias("links"))
     linked = classes.join(components(stars), "node", "left").join(links, "node", "left")
     least = F.expr("cast(conv(hex(substring(coalesce(root, node), 1, 8)), 16, -10) as bigint)").bitwiseXOR(F.lit(-(1 << 63)))
