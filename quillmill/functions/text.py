@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Character classes and patterns of the text model.
@@ -178,3 +178,14 @@ def containing(start: Column, end: Column, spans: Column) -> Column:
     """The index of the first of the spans that holds (start, end) whole, from 0; null if none does."""
     at = F.array_position(F.transform(spans, lambda s: (start >= s["start"]) & (end <= s["end"])), True)
     return F.when(at > 0, (at - 1).cast("int"))
+
+
+def with_row_key(df: DataFrame, name: str, keys: list[str], text: str) -> DataFrame:
+    """df with a key of each row of its own, as JSON: the given keys, a hash of the text, and a number among rows that have both.
+
+    So rows that share a key, and rows without one, are all there and told apart.
+    """
+    tie = F.xxhash64(text)
+    own = df.withColumn("__tie", tie)
+    number = F.row_number().over(Window.partitionBy(*keys, "__tie").orderBy("__tie"))
+    return own.withColumn(name, F.to_json(F.struct(*keys, F.col("__tie").alias("tie"), number.alias("copy")))).drop("__tie")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -155,7 +156,10 @@ def corrected(docs: DataFrame, provider: LabelProvider, passes: int = 5, key: st
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-"))
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmill-"))
     slots = sentence_slots(docs, key, text)
     traces = []
     for i in range(1, passes + 1):

@@ -246,10 +246,17 @@ def cyclic(items: DataFrame, n: int, order: str) -> DataFrame:
 # Provenance
 
 
-def content_hash(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """One row, sha256: the digest of the sorted row digests, which no order of the input changes."""
+def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row, sha256: a digest of the rows with their number of copies, which no order of the input changes.
+
+    Row digests are counted, the distinct ones with one beginning (four hexadecimal digits) are put in order and digested
+    together, and so are the digests of all beginnings: 65,536 at most, so that no task and no row gathers the table.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    return rows.select(F.struct(*order).alias("o"), row.alias("d")).agg(F.array_sort(F.collect_list(F.struct("o", "d"))).alias("x")).select(F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), "").cast("binary"), 256).alias("sha256"))
+    sha = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), "").cast("binary"), 256)
+    counted = rows.select(row.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.groupBy(F.substring("d", 1, 4).alias("p")).agg(sha(F.concat_ws(":", "d", F.col("n").cast("string"))).alias("d"))
+    return parts.agg(sha(F.concat("p", "d")).alias("sha256"))
 
 
 def provenance(rows: DataFrame, names: list[str]) -> Column:

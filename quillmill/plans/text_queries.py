@@ -84,36 +84,6 @@ def letter_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tx.letter_words(F.lower("text"))).alias("word")).distinct()
 
 
-def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """word, candidate: words of plain letters of documents with those of the benchmark that begin with the same three letters and are about as long."""
-    words = letter_words(read(spark, sf, "documents")).where(F.col("word").rlike("^[a-z]{4,40}$"))
-    known = letter_words(read(spark, sf, "benchmark")).where(F.col("word").rlike("^[a-z]{4,40}$")).withColumnRenamed("word", "candidate")
-    new = words.join(known.withColumnRenamed("candidate", "word"), "word", "left_anti")
-    a = new.withColumn("a", F.substring("word", 1, 3))
-    b = known.withColumn("b", F.substring("candidate", 1, 3))
-    return a.join(b, (F.col("a") == F.col("b")) & (F.abs(F.length("word") - F.length("candidate")) <= 2)).select("word", "candidate")
-
-
-def scored_pairs(spark: SparkSession, sf: str, most: int = 3) -> DataFrame:
-    """near_pairs with their distance, as far as it is at most `most`; the native bound comes first."""
-    near = near_pairs(spark, sf).where(ds.within(F.col("word"), F.col("candidate"), most))
-    return near.withColumn("distance", ds.dld("word", "candidate")).where(F.col("distance") <= most)
-
-
-def dld_first_min(spark: SparkSession, sf: str) -> DataFrame:
-    return nm.first_least(scored_pairs(spark, sf), ["word"], "distance", "candidate").select("word", "candidate", "distance")
-
-
-def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return nm.nearest(scored_pairs(spark, sf), ["word"], 3, "distance", "candidate").select("word", "candidate", "distance", "rank")
-
-
-def lev_prefilter_parity(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = near_pairs(spark, sf).withColumn("distance", ds.dld("word", "candidate"))
-    passes = ds.within(F.col("word"), F.col("candidate"), 2)
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("distance") <= 2).alias("near"), F.count_if(passes).alias("passed"), F.count_if((F.col("distance") <= 2) & ~passes).alias("lost"))
-
-
 #: Words of up to so many letters are met by what is left of them without a few; longer ones by their lengths.
 LONGEST_INDEXED = 24
 
@@ -143,16 +113,21 @@ def all_close_words(spark: SparkSession, sf: str) -> DataFrame:
     return close_words(new, known.withColumnRenamed("word", "candidate"))
 
 
-def dld_first_min_all(spark: SparkSession, sf: str) -> DataFrame:
-    """dld_first_min over all words and all pairs."""
+def dld_first_min(spark: SparkSession, sf: str) -> DataFrame:
     return nm.first_least(all_close_words(spark, sf), ["word"], "distance", "candidate").select("word", "candidate", "distance")
 
 
-def topk_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
-    """topk_candidates over all words and all pairs."""
+def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return nm.nearest(all_close_words(spark, sf), ["word"], 3, "distance", "candidate").select("word", "candidate", "distance", "rank")
 
 
+def lev_prefilter_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the native bound for distance 2 lets all pairs of that distance pass, over all pairs of distance 3."""
+    passes = ds.within(F.col("word"), F.col("candidate"), 2)
+    near = F.col("distance") <= 2
+    return all_close_words(spark, sf).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(near).alias("near"), F.count_if(passes).alias("passed"), F.count_if(near & ~passes).alias("lost"))
+
+
 def cutoff_with_ties(spark: SparkSession, sf: str) -> DataFrame:
     return nm.cutoff_with_ties(counted_tokens(read(spark, sf, "documents"), "lang"), ["lang"], "n", 10)
 
@@ -208,8 +183,9 @@ def normalize_corpus(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = letter_words(read(spark, sf, "benchmark"))
     rules = nm.rule_map(nm.induced_rules(misspelt(spark, sf), 2).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))))
     curated = {"of the": ("of that", "c1"), "thst": ("the first", "c2")}
-    done = nm.normalize_documents(read(spark, sf, "documents").dropDuplicates(["doc_id"]), vocabulary, rules, curated, cutoff=Settings.of(spark).candidate_cutoff)
-    return done.select("doc_id", F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("changes"), F.length("normalized").cast("long").alias("chars"), F.sha2(F.col("normalized").cast("binary"), 256).alias("sha256"))
+    docs = tx.with_row_key(read(spark, sf, "documents"), "row_key", ["doc_id"], "text")
+    done = nm.normalize_documents(docs, vocabulary, rules, curated, key="row_key", cutoff=Settings.of(spark).candidate_cutoff)
+    return done.select(F.get_json_object("row_key", "$.doc_id").cast("long").alias("doc_id"), F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("changes"), F.length("normalized").cast("long").alias("chars"), F.sha2(F.col("normalized").cast("binary"), 256).alias("sha256"))
 
 
 def form_frequency_top(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +204,7 @@ def duplicate_injection(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source_text") - F.length("target_text")).alias("added_chars"))
 
 
-QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, dld_first_min_all, topk_candidates, topk_candidates_all, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, normalize_corpus, form_frequency_top, workload_cycle, duplicate_injection)}
+QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, topk_candidates, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, normalize_corpus, form_frequency_top, workload_cycle, duplicate_injection)}
 
 _RUNS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _WORDS = r"regexp_extract_all({c}, '\p{{L}}[\p{{L}}\p{{M}}]*')"
@@ -236,10 +212,13 @@ _LETTERS = lambda c: _WORDS.format(c=c)
 _COUNTED = lambda k: f"SELECT {k} token, count(*) AS n FROM (SELECT {k} unnest({_RUNS}) AS token FROM documents) GROUP BY ALL"
 _KNOWN = f"SELECT DISTINCT unnest({_RUNS}) AS token FROM benchmark"
 _TOKEN = tx.TOKEN.replace("'", "''")
+#: Distances are counted in letters: what takes more than a byte is first given a sign of one byte that no word has.
+_SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@"
 _NEAR = f"""
 w AS (SELECT DISTINCT unnest({_LETTERS("lower(text)")}) AS word FROM documents), b AS (SELECT DISTINCT unnest({_LETTERS("lower(text)")}) AS candidate FROM benchmark),
-n AS (SELECT word, candidate, damerau_levenshtein(word, candidate) AS distance FROM w JOIN b ON substring(word, 1, 3) = substring(candidate, 1, 3) AND abs(length(word) - length(candidate)) <= 2
- WHERE regexp_full_match(word, '[a-z]{{4,40}}') AND regexp_full_match(candidate, '[a-z]{{4,40}}') AND word NOT IN (SELECT candidate FROM b))"""
+u AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS other FROM (SELECT unnest(string_split(word, '')) AS c FROM (SELECT word FROM w UNION ALL SELECT candidate FROM b)) WHERE strlen(c) > 1),
+x AS (SELECT word, translate(word, other, '{_SIGNS}') AS one FROM w, u WHERE word NOT IN (SELECT candidate FROM b)), y AS (SELECT candidate, translate(candidate, other, '{_SIGNS}') AS two FROM b, u),
+n AS (SELECT word, candidate, one, two, damerau_levenshtein(one, two) AS distance FROM x JOIN y ON strlen(one) - strlen(two) BETWEEN -3 AND 3 WHERE damerau_levenshtein(one, two) <= 3)"""
 
 ORACLES = {
     "token_profile": f"SELECT lang, sum(n)::BIGINT AS tokens, count(*) AS distinct_tokens, coalesce(sum(n) FILTER (WHERE k.token IS NULL), 0)::BIGINT AS oov_tokens, count(*) FILTER (WHERE k.token IS NULL) AS oov_distinct FROM ({_COUNTED('lang,')}) c LEFT JOIN ({_KNOWN}) k USING (token) GROUP BY lang",
@@ -247,10 +226,11 @@ ORACLES = {
     "word_count": r"SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''))::BIGINT AS words, length(coalesce(text, ''))::BIGINT AS chars FROM documents",
     "adjacent_repeat": rf"SELECT doc_id, len(list_filter(w, lambda x, i: i > 1 AND lower(x) = lower(w[i - 1]))) > 0 AS repeats FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{tx.LEXICAL_WORD.replace(chr(39), chr(39) * 2)}') AS w FROM documents)",
     "char_offsets_unicode": rf"SELECT doc_id, len(t)::BIGINT AS tokens, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS token_chars, length(regexp_replace(coalesce(text, ''), '\s+$', ''))::BIGINT AS last_end, (length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\x{{10000}}-\x{{10FFFF}}]')))::BIGINT AS utf16_units FROM (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS t FROM documents)",
+    "percent_payloads": "SELECT conv_id, turn, (3 * strlen(coalesce(text, '')) - 2 * length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9._~-]', '', 'g')))::BIGINT AS coded_chars, true AS same FROM conversations",
     "token_roundtrip": f"SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'))::BIGINT AS tokens, true AS same, sha256(coalesce(text, '')) AS sha256 FROM conversations",
-    "dld_first_min": f"WITH {_NEAR} SELECT word, arg_min(candidate, row(distance, candidate)) AS candidate, min(distance)::INTEGER AS distance FROM n WHERE distance <= 3 GROUP BY word",
-    "topk_candidates": f"WITH {_NEAR} SELECT word, candidate, distance::INTEGER AS distance, (row_number() OVER (PARTITION BY word ORDER BY distance, candidate))::INTEGER AS rank FROM n WHERE distance <= 3 QUALIFY rank <= 3",
-    "lev_prefilter_parity": f"WITH {_NEAR} SELECT count(*) AS pairs, count(*) FILTER (WHERE distance <= 2) AS near, count(*) FILTER (WHERE levenshtein(word, candidate) <= 4) AS passed, count(*) FILTER (WHERE distance <= 2 AND levenshtein(word, candidate) > 4) AS lost FROM n",
+    "dld_first_min": f"WITH {_NEAR} SELECT word, arg_min(candidate, row(distance, candidate)) AS candidate, min(distance)::INTEGER AS distance FROM n GROUP BY word",
+    "topk_candidates": f"WITH {_NEAR} SELECT word, candidate, distance::INTEGER AS distance, (row_number() OVER (PARTITION BY word ORDER BY distance, candidate))::INTEGER AS rank FROM n QUALIFY rank <= 3",
+    "lev_prefilter_parity": f"WITH {_NEAR} SELECT count(*) AS pairs, count(*) FILTER (WHERE distance <= 2) AS near, count(*) FILTER (WHERE levenshtein(one, two) <= 4) AS passed, count(*) FILTER (WHERE distance <= 2 AND levenshtein(one, two) > 4) AS lost FROM n",
     "cutoff_with_ties": f"SELECT lang, token, n FROM ({_COUNTED('lang,')}) QUALIFY rank() OVER (PARTITION BY lang ORDER BY n DESC) <= 10",
     "unique_words_first_surface": f"SELECT line, word FROM (SELECT item_id * 1000000 + unnest(range(len(w))) AS line, unnest(w) AS word FROM (SELECT item_id, {_LETTERS('text')} AS w FROM benchmark)) QUALIFY row_number() OVER (PARTITION BY lower(word) ORDER BY line) = 1",
     "rule_weights": f"WITH w AS (SELECT DISTINCT unnest({_LETTERS('lower(text)')}) AS word FROM benchmark), o AS (SELECT substring(word, 1, 2) AS src, right(word, 2) AS dst FROM w WHERE length(word) >= 4), a AS (SELECT * FROM o UNION ALL SELECT DISTINCT src, src FROM o), c AS (SELECT src, dst, count(*) AS n FROM a GROUP BY ALL) SELECT src, dst, n, round(n / sum(n) OVER (PARTITION BY src), 9) AS weight FROM c",

@@ -306,3 +306,23 @@ def test_queries_run_the_production_number_of_passes(spark, monkeypatch):
     monkeypatch.setattr(sq.pl, "analyze", lambda *a: seen.append(a[5]) or analyze(*a))
     sq.suggestion_replay(spark, "/root/testdata/sf0.001")
     assert seen == [5, 5]
+
+
+def test_rows_that_share_a_key_are_all_normalized(spark):
+    """Rows with one key and different texts, repeated rows and rows without a key are all there, told apart."""
+    from quillmill.functions import text as tx
+
+    rows = [(1, "aq po"), (1, "aq na"), (1, "aq po"), (None, "aq"), (None, None), (2, None)]
+    keyed = tx.with_row_key(spark.createDataFrame(rows, "doc_id long, text string"), "row_key", ["doc_id"], "text")
+    assert keyed.select("row_key").distinct().count() == len(rows)
+    back = keyed.select(F.get_json_object("row_key", "$.doc_id").cast("long").alias("d"), "text").collect()
+    assert sorted(map(str, back)) == sorted(map(str, [type(back[0])(d=d, text=t) for d, t in rows]))
+
+
+def test_content_hash_is_of_the_rows(spark):
+    from quillmill.operators import experiment as ex
+
+    rows = [(i, f"text {i % 7}") for i in range(200)] + [(5, "text 5")]
+    digest = lambda own: ex.content_hash(spark.createDataFrame(own, "i long, t string"), ["i", "t"]).first()["sha256"]
+    assert digest(rows) == digest(rows[::-1]) != digest(rows[:-1])
+    assert digest(rows) != digest([*rows[:-1], (5, "text 6")])
