@@ -306,6 +306,32 @@ def explained(words: DataFrame, forms: DataFrame, answers: DataFrame, use_curate
     return joined.select("word", F.when(hit, "curated_rule").otherwise("ngram_dld").alias("strategy"), F.when(hit, F.col("form_id")).alias("source_id"), tx.with_case_of(F.col("word"), target).alias("output"), status.alias("curated_rule_status"))
 
 
+def candidate_diagnostics(pairs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, top: int = 10) -> DataFrame:
+    """pairs (source, expected, prediction and more) with what normalization had to choose from for each source:
+
+    in_vocabulary, generated and survivors (numbers of candidates), expected_generated, expected_survives,
+    expected_distance (of an expected form that survives), expected_status, top_candidates (the nearest, by distance and
+    then as they came up) and failure (null where the prediction is as expected). Candidates are made and compared once
+    for each distinct word, on the cluster.
+    """
+    keyed = pairs.withColumn("__w", F.lower("source")).withColumn("__e", F.lower("expected"))
+    known = vocabulary.select(F.lower("word").alias("word")).distinct()
+    words = keyed.select(F.col("__w").alias("word")).distinct()
+    found = word_candidates(words.join(known, "word", "left_anti"), rules, longest, cutoff)
+    alive = in_vocabulary(found, vocabulary).withColumn("distance", dld("word", "candidate"))
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("generated"))
+    best = nearest(alive, ["word"], top).groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate", "distance"))), lambda x: F.struct(x["candidate"], x["distance"])).alias("top_candidates"))
+    of_word = words.join(known.withColumn("in_vocabulary", F.lit(True)), "word", "left").join(counts, "word", "left").join(alive.groupBy("word").agg(F.count(F.lit(1)).alias("survivors")), "word", "left").join(best, "word", "left")
+    forms = lambda df, name: df.select(F.col("word").alias("__w"), F.lower("candidate").alias("__e")).distinct().withColumn(name, F.lit(True))
+    joined = keyed.join(of_word.withColumnRenamed("word", "__w"), "__w", "left").join(forms(found, "expected_generated"), ["__w", "__e"], "left").join(forms(alive, "expected_survives"), ["__w", "__e"], "left")
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_vocabulary", "expected_generated", "expected_survives")}).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("generated", "survivors")})
+    filled = filled.withColumn("expected_distance", F.when(F.col("expected_survives"), dld("__w", "__e")))
+    far = F.lit(False) if max_distance is None else F.col("expected_distance") > max_distance
+    status = F.when(F.col("in_vocabulary") & (F.col("__e") == F.col("__w")), "input_in_vocabulary").when(~F.col("expected_generated"), "absent_from_generated_candidates").when(~F.col("expected_survives"), "filtered_by_vocabulary").when(far, "distance_gated").otherwise("available")
+    why = failure_type(*[F.col(c) for c in ("source", "expected", "prediction", "in_vocabulary", "expected_generated", "expected_survives", "survivors", "expected_distance")], max_distance)
+    return filled.withColumn("expected_status", status).withColumn("failure", why).drop("__w", "__e")
+
+
 def failure_type(source: Column, expected: Column, prediction: Column, known: Column, generated: Column, survives: Column, survivors: Column, distance: Column, max_distance: int | None = 2) -> Column:
     """Why a prediction is not what was expected; null where it is. The first reason that fits counts.
 

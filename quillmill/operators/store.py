@@ -76,3 +76,16 @@ def session_counters(events: DataFrame) -> DataFrame:
 def legacy_view(analyzed: DataFrame) -> DataFrame:
     """analyzed (original, normalized, suggestions) with grammar: grammar suggestions only where normalization changed nothing."""
     return analyzed.withColumn("grammar", F.when(F.col("original") == F.col("normalized"), F.filter("suggestions", lambda s: s["source"] != "normalization")))
+
+
+def deleted(documents: DataFrame, suggestions: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents and suggestions without the documents of ids (id) and without suggestions that have no document."""
+    left = documents.join(ids.select("id").distinct(), "id", "left_anti")
+    return left, suggestions.join(left.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
+
+
+def file_name(title: F.Column | str) -> F.Column:
+    """The name under which a document is saved: its title without what file systems refuse."""
+    named = F.when(blank(title), F.lit(UNTITLED)).otherwise(F.btrim(F.col(title) if isinstance(title, str) else title))
+    plain = F.btrim(F.regexp_replace(named, r'[<>:"/\\|?*\x00-\x1F]', ""))
+    return F.concat(F.when(plain == "", F.lit(UNTITLED)).otherwise(plain), F.lit(".txt"))

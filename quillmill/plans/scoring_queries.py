@@ -16,6 +16,7 @@ from ..operators import pipeline as pl
 from ..operators import store as st
 from ..session import read
 from ..settings import Settings
+from . import text_queries as tq
 
 L = lambda e: F.expr(f"cast({e} as bigint)")
 
@@ -113,16 +114,11 @@ def valid_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def failure_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """Failure types of word pairs, whose candidates are taken to be there or not by their row number."""
-    n = F.col("row_number")
-    kind = ex_kind(n)
-    return ev.histogram(word_pairs(spark, sf).withColumn("failure", kind).where("failure IS NOT NULL"), "failure")
+    """Failure types of word pairs, by the candidates that rules and vocabulary of the benchmark give for them."""
+    from ..operators.normalization import candidate_diagnostics
 
-
-def ex_kind(n: F.Column) -> F.Column:
-    from ..operators.normalization import failure_type
-
-    return failure_type(F.col("source"), F.col("expected"), F.col("prediction"), n % 5 == 0, n % 2 == 0, n % 4 == 0, n % 3, n % 6)
+    found = candidate_diagnostics(word_pairs(spark, sf), *tq.benchmark_words(spark, sf), cutoff=Settings.of(spark).candidate_cutoff)
+    return ev.histogram(found.where("failure IS NOT NULL"), "failure")
 
 
 def _labels(tokens: str = "tokens") -> F.Column:

@@ -178,10 +178,15 @@ def protected_span_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.size("s.words").cast("long").alias("free_words"), F.aggregate("s.words", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("free_chars"))
 
 
+def benchmark_words(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Vocabulary and rules of the benchmark's words."""
+    ranked = nm.induced_rules(misspelt(spark, sf), 2).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")))
+    return letter_words(read(spark, sf, "benchmark")), nm.rule_map(ranked)
+
+
 def normalize_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents normalized with rules and vocabulary of the benchmark, and two curated forms."""
-    vocabulary = letter_words(read(spark, sf, "benchmark"))
-    rules = nm.rule_map(nm.induced_rules(misspelt(spark, sf), 2).withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))))
+    vocabulary, rules = benchmark_words(spark, sf)
     curated = {"of the": ("of that", "c1"), "thst": ("the first", "c2")}
     docs = tx.with_row_key(read(spark, sf, "documents"), "row_key", ["doc_id"], "text")
     done = nm.normalize_documents(docs, vocabulary, rules, curated, key="row_key", cutoff=Settings.of(spark).candidate_cutoff)

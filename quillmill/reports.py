@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Sequence
+from statistics import median
+
 
 class ReportError(ValueError):
     """Two reports of different things."""
@@ -19,3 +23,27 @@ def compared(before: dict, after: dict) -> dict[str, dict[str, float | None]]:
         new = after["queries"][name]
         out[name] = {"before": old, "after": new, "change": (new - old) / old if old else None}
     return out
+
+
+def matrix(run: Callable[[str, int], object], kinds: Sequence[str] = ("word", "sentence"), sizes: Sequence[int] = (1, 100, 1_000, 10_000), times: int = 5) -> list[dict]:
+    """Seconds of run(kind, size), the first time (cold) and then (warm: median, least, most, items a second), by kind and size."""
+    out = []
+    for kind in kinds:
+        for size in sizes:
+            seconds = []
+            for _ in range(times + 1):
+                began = time.perf_counter()
+                run(kind, size)
+                seconds.append(time.perf_counter() - began)
+            middle = median(seconds[1:])
+            out.append({"kind": kind, "size": size, "cold": seconds[0], "median": middle, "least": min(seconds[1:]), "most": max(seconds[1:]), "per_second": size / middle if middle else None})
+    return out
+
+
+def chosen(matrices: dict[str, list[dict]]) -> dict:
+    """The strategy of least summed medians, by name where they are equal, and the sums. All must have the same kinds and sizes."""
+    cells = {name: [(r["kind"], r["size"]) for r in rows] for name, rows in matrices.items()}
+    if len({tuple(c) for c in cells.values()}) != 1:
+        raise ReportError("the strategies were not timed on the same work")
+    totals = {name: sum(r["median"] for r in rows) for name, rows in matrices.items()}
+    return {"strategy": min(totals, key=lambda name: (totals[name], name)), "totals": totals}

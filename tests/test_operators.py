@@ -326,3 +326,50 @@ def test_content_hash_is_of_the_rows(spark):
     digest = lambda own: ex.content_hash(spark.createDataFrame(own, "i long, t string"), ["i", "t"]).first()["sha256"]
     assert digest(rows) == digest(rows[::-1]) != digest(rows[:-1])
     assert digest(rows) != digest([*rows[:-1], (5, "text 6")])
+
+
+def test_candidate_diagnostics(spark):
+    """Flags, distances and failure types against plain loops over the candidates of each word."""
+    from quillmill.functions.candidates import candidates
+    from quillmill.functions.distance import damerau_levenshtein
+    from quillmill.operators import normalization as nm
+
+    rules = {"a": {"a": 0.6, "e": 0.4}, "q": {"q": 0.5, "ko": 0.5}, "t": {"t": 1.0}, "x": {"x": 0.5, "a b": 0.5}}
+    vocabulary = {"ako", "eko", "tata", "a", "b", "tete"}
+    pairs = [("aq", "ako", "aq"), ("aq", "ako", "ako"), ("aq", "zzz", "aq"), ("tat", "tata", "tat"), ("AKO", "ako", "Ako"), ("ako", "eko", "ako"), ("x", "a b", "x"), ("xq", "a b ko", "xq"), ("tq", "tko", "tq"), ("aqaq", "akoako", "tete"), ("aq", "eko", "ako"), ("ta", "o o", "ta")]
+    rows = nm.candidate_diagnostics(spark.createDataFrame(pairs, "source string, expected string, prediction string"), spark.createDataFrame([(w,) for w in vocabulary], "word string"), rules).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        word, expected = r["source"].lower(), r["expected"].lower()
+        known = word in vocabulary
+        made = [] if known or not 1 < len(word) <= 128 else list(candidates(word, rules, 2, 100))
+        alive = [c for c in made if c.strip() and all(p.lower() in vocabulary for p in c.split())]
+        assert (r["in_vocabulary"], r["generated"], r["survivors"]) == (known, len(made), len(alive))
+        assert r["expected_generated"] == (expected in map(str.lower, made)) and r["expected_survives"] == (expected in map(str.lower, alive))
+        best = sorted((damerau_levenshtein(word, c), i, c) for i, c in enumerate(alive))[:10]
+        assert [(x["candidate"], x["distance"]) for x in r["top_candidates"] or []] == [(c, d) for d, _, c in best]
+    kinds = {(r["source"], r["expected"], r["prediction"]): r["failure"] for r in rows}
+    assert kinds["aq", "ako", "ako"] is None and kinds["AKO", "ako", "Ako"] == "false_positive" and kinds["ako", "eko", "ako"] == "input_already_in_vocabulary"
+    assert kinds["aq", "zzz", "aq"] == "expected_candidate_not_generated" and kinds["tq", "tko", "tq"] == "expected_candidate_filtered_out" and kinds["ta", "o o", "ta"] == "multi_token_unsupported"
+
+
+def test_deleted_documents_take_their_suggestions(spark):
+    from quillmill.operators import store as st
+
+    documents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, title string")
+    suggestions = spark.createDataFrame([(10, 1), (11, 2), (12, 9), (13, 2)], "id long, document_id long")
+    left, kept = st.deleted(documents, suggestions, spark.createDataFrame([(1,), (7,), (1,)], "id long"))
+    assert sorted(r["id"] for r in left.collect()) == [2, 3] and sorted(r["id"] for r in kept.collect()) == [11, 13]
+    titles = spark.createDataFrame([('a/b:c "d"',), ("  ",), (None,), ("<>",), ("x\\y\x01 ",)], "t string")
+    assert [r["f"] for r in titles.select(st.file_name("t").alias("f")).collect()] == ["abc d.txt", "Untitled.txt", "Untitled.txt", "Untitled.txt", "xy.txt"]
+
+
+def test_strategy_of_least_time():
+    from quillmill import reports
+
+    rows = reports.matrix(lambda kind, size: sum(range(size)), sizes=(1, 10), times=2)
+    assert [(r["kind"], r["size"]) for r in rows] == [("word", 1), ("word", 10), ("sentence", 1), ("sentence", 10)]
+    slow = [r | {"median": r["median"] + 1} for r in rows]
+    assert reports.chosen({"slow": slow, "fast": rows})["strategy"] == "fast"
+    with pytest.raises(reports.ReportError):
+        reports.chosen({"a": rows, "b": rows[:1]})
