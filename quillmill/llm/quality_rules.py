@@ -40,6 +40,7 @@ RATIOS = {
 #: The quantile, in percent, that stands for the far end of a group; a rule that trusts more has its own there.
 TAIL = 97
 MIN_GROUP = 200
+BROADCAST_GROUPS = 100_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters"]
 SKETCH_BITS = 7
 
@@ -171,7 +172,13 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def judged(counted: DataFrame, bounds: DataFrame) -> DataFrame:
-    """counted, joined with the fences of each row's group, with kept."""
+    """counted, joined with the fences of each row's group, with kept.
+
+    The fences of up to BROADCAST_GROUPS groups are broadcast, some 200 bytes each, so that no row moves and a hot group
+    stays spread; beyond, rows are shuffled by their group.
+    """
+    bounds = hold(bounds)
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds
     on = F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source"))
     inside = F.lit(True)
     for r, spec in RATIOS.items():
@@ -189,7 +196,7 @@ def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     after the fences are known, so that neither texts nor rows are shuffled or stored.
     """
     columns = ["lang", "source", "text"]
-    bounds = hold(fences(sketches(hold(measured(docs, ["lang", "source"]))), min_group))
+    bounds = fences(sketches(hold(measured(docs, ["lang", "source"]))), min_group)
     rows = judged(measured(with_row(docs, *columns), ["lang", "source", "__row"]), bounds)
     return rows.where("kept").select("__row.*")
 
