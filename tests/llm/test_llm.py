@@ -485,7 +485,7 @@ def test_fit_is_the_fit():
 
 
 def test_neutral_mentions_are_spared():
-    """The penalty takes most false alarms on sentences that only mention groups, in four languages, and keeps the insults."""
+    """The penalty takes most false alarms on sentences that only mention groups, in English and German, and keeps the insults."""
     texts, labels, neutral = mentions(5, 2000)
     alarms = {}
     for penalty in (0.0, 1.0):
