@@ -551,20 +551,23 @@ def _search_block(part: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([nodes[i] for i in linked], pa.binary()), "root": pa.array([nodes[root(i)] for i in linked], pa.binary()), "links": pa.array(links[linked], pa.int64())})
 
 
-def searched(blocked: DataFrame, routed: DataFrame, blocks: int) -> DataFrame:
-    """node, root, links of each search. blocked: node, short, n, copies, hashes, block; `blocks` of them at most."""
+def searched(blocked: DataFrame, routed: DataFrame) -> DataFrame:
+    """node, root, links of each search. blocked: node, short, n, copies, hashes, block.
+
+    Sets go to their block once and are listed for its chunks there, so that the chunks of a block, which has a bounded
+    size, may share a task.
+    """
     own = blocked.select("block", "node", "short", "n", "copies", "hashes")
     routed = cut(routed)
     sent = own.drop("block").join(_bounded(routed, routed.count()), "short").withColumnRenamed("to_block", "block")
     loads = own.select("block", "n").unionByName(sent.select("block", "n")).groupBy("block")
-    load = _bounded(loads.agg(F.expr(f"cast(ceil(greatest(count(1) / {QUERIES_EACH}, sum(n) / {QUERY_HASHES})) as int)").alias("chunks")), blocks)
+    load = loads.agg(F.expr(f"cast(ceil(greatest(count(1) / {QUERIES_EACH}, sum(n) / {QUERY_HASHES})) as int)").alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     # In each chunk of a block all its sets are listed (role 0); those of the chunk are also queries (1); queries from elsewhere are only that (2).
     listed = own.join(load, "block").withColumn("mine", chunk).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("role", F.when(F.col("mine") == F.col("chunk"), 1).otherwise(0))
     asked = sent.join(load, "block").withColumn("chunk", chunk).withColumn("role", F.lit(2))
     columns = ["block", "chunk", "role", "node", "copies", "hashes"]
-    # Dealt by chunk too, or the chunks of one block would share a task.
-    return listed.select(*columns).unionByName(asked.select(*columns)).repartition("block", "chunk").groupBy("block", "chunk").applyInArrow(_search_block, "node binary, root binary, links long")
+    return listed.select(*columns).unionByName(asked.select(*columns)).groupBy("block", "chunk").applyInArrow(_search_block, "node binary, root binary, links long")
 
 
 def components(stars: DataFrame) -> DataFrame:
@@ -611,7 +614,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     alive = cut(classes.join(survivors(named, buckets, 2 * partitions), "short", "left_semi"))
     total, n_alive = alive.agg(F.sum("n"), F.count(F.lit(1))).first()
     blocked = hold(class_sets(docs, cut(in_blocks(alive, n_alive, total or 0)), n_alive))
-    stars = hold(searched(blocked, routes(blocked, max(partitions, pieces_for((total or 0) // 2, BUCKET)), 2 * partitions), 2 * pieces_for(total or 0, BLOCK)))
+    stars = hold(searched(blocked, routes(blocked, max(partitions, pieces_for((total or 0) // 2, BUCKET)), 2 * partitions)))
     links = stars.groupBy("node").agg(F.sum("links").alias("links"))
     linked = classes.join(components(stars), "node", "left").join(links, "node", "left")
     least = F.expr("cast(conv(hex(substring(coalesce(root, node), 1, 8)), 16, -10) as bigint)").bitwiseXOR(F.lit(-(1 << 63)))
