@@ -1,7 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import bpe, chat_trees, fingerprints, language_id, ngram_join, packing, quality_rules, sharding, token_counts, toxicity
+from . import bpe, chat_trees, conversation_repair, fingerprints, language_id, ngram_join, packing, quality_rules, secret_scans, sharding, spelling_variants, token_counts, toxicity
 
-_MODULES = [quality_rules, sharding, bpe, token_counts, ngram_join, toxicity, language_id, chat_trees, fingerprints, packing]
+_MODULES = [quality_rules, sharding, bpe, token_counts, ngram_join, toxicity, language_id, chat_trees, fingerprints, packing, conversation_repair, secret_scans, spelling_variants]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
