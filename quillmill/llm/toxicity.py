@@ -192,8 +192,8 @@ def fit(texts: list[str | None], labels: list[int], penalty: float = PENALTY, id
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str | None], list[int]]:
-    """Texts and labels to learn from: of each label the `sample` rows with the lowest hashes of their doc_id, as far as
-    their texts fit half of `most` bytes.
+    """Texts and labels to learn from: of each label the `sample` rows with the lowest hashes of their doc_id, but for
+    those whose texts, in that order, do not fit what is left of half of `most` bytes.
 
     The sample is drawn from the labels before they meet the texts, so that its join is a broadcast of bounded size and
     no text is shuffled; lengths alone say what fits. Should doc_ids repeat, the same bounds hold after the join.
@@ -209,10 +209,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int
     for rows in first:
         held = 0
         for r in rows:
-            held += r["bytes"]
-            if held > most // 2:
-                break
-            wanted.append((r["doc_id"], r["tie"], r["l_toxic"]))
+            # A text that does not fit costs itself alone; the rows after it still teach.
+            if held + r["bytes"] <= most // 2:
+                held += r["bytes"]
+                wanted.append((r["doc_id"], r["tie"], r["l_toxic"]))
     if not wanted:
         return [], []
     chosen = F.broadcast(docs.sparkSession.createDataFrame(wanted, T.StructType([T.StructField("c_id", docs.schema["doc_id"].dataType), T.StructField("c_tie", T.LongType()), T.StructField("c_toxic", T.IntegerType())])).distinct())

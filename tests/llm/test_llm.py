@@ -504,6 +504,18 @@ def test_sample_has_bounds(spark):
     assert sum(len(t or "") for t in toxicity.sampled(docs, labels, 20, 1000)[0]) <= 1000
 
 
+def test_a_text_over_the_bound_costs_itself_only(spark):
+    """One huge text in each label, whatever its place in the order of hashes: all others teach."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:200]
+    rows = [(i, f"you vile fool number {i}" if i % 2 else f"a calm walk number {i}") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    for huge in (ids[0], ids[1], ids[2], ids[-1], ids[-2]):
+        docs = spark.createDataFrame([(i, "vast " * 20_000 if i in (huge, huge ^ 1) else t) for i, t in rows], "doc_id long, text string")
+        texts, found = toxicity.sampled(docs, labels, most=100_000)
+        assert sorted(found) == sorted(i % 2 for i in ids if i not in (huge, huge ^ 1)) and max(map(len, texts)) < 50
+    assert toxicity.sampled(docs, labels, most=10) == ([], [])
+
+
 def test_held_out_labels_teach_nothing(spark, documents):
     labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     held = F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1")
