@@ -2,10 +2,10 @@
 
 import pytest
 
-from quillmill.plans import scoring_queries, text_queries
+from quillmill.plans import scoring_queries, tagging_queries, text_queries
 from tests.compare import SF, rows_of, views
 
-MODULES = (text_queries, scoring_queries)
+MODULES = (text_queries, scoring_queries, tagging_queries)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLES = {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
