@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as ds
+from ..functions import near_words as nw
 from ..functions import segmentation as sg
 from ..functions import text as tx
 from ..operators import experiment as ex
@@ -84,41 +84,18 @@ def letter_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tx.letter_words(F.lower("text"))).alias("word")).distinct()
 
 
-#: Words of up to so many letters are met by what is left of them without a few; longer ones by their lengths.
-LONGEST_INDEXED = 24
-
-
-def close_words(new: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
-    """word, candidate, distance: all pairs of new (word) and known (candidate) of at most that distance, whatever their letters, beginnings and lengths."""
-
-    @F.pandas_udf("array<string>")
-    def left(words: pd.Series) -> pd.Series:
-        return pd.Series([[*nm.shortened(w, most)] for w in words], dtype=object)
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        return df.where(F.length(name) <= LONGEST_INDEXED).select(name, F.explode(left(name)).alias("left")).select(name, F.xxhash64("left").alias("left"))
-
-    short = keyed(new, "word").join(keyed(known, "candidate"), "left").select("word", "candidate").distinct()
-    n, m = F.length("word"), F.length("candidate")
-    # One of the two is long, so that the other has nearly as many letters; the lengths are equalities to join by.
-    lengths = F.explode(F.sequence(n - most, n + most)).alias("m")
-    long = new.where(n > LONGEST_INDEXED - most).select("word", lengths).join(known.withColumn("m", m), "m").where((n > LONGEST_INDEXED) | (m > LONGEST_INDEXED)).select("word", "candidate")
-    near = short.unionByName(long).where(ds.within(F.col("word"), F.col("candidate"), most))
-    return near.withColumn("distance", ds.dld("word", "candidate")).where(F.col("distance") <= most)
-
-
-def all_close_words(spark: SparkSession, sf: str) -> DataFrame:
+def all_close_words(spark: SparkSession, sf: str, enough: int | None = None) -> DataFrame:
     known = letter_words(read(spark, sf, "benchmark"))
     new = letter_words(read(spark, sf, "documents")).join(known, "word", "left_anti")
-    return close_words(new, known.withColumnRenamed("word", "candidate"))
+    return nw.near_pairs(new, known.withColumnRenamed("word", "candidate"), enough=enough)
 
 
 def dld_first_min(spark: SparkSession, sf: str) -> DataFrame:
-    return nm.first_least(all_close_words(spark, sf), ["word"], "distance", "candidate").select("word", "candidate", "distance")
+    return nm.first_least(all_close_words(spark, sf, 1), ["word"], "distance", "candidate").select("word", "candidate", "distance")
 
 
 def topk_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return nm.nearest(all_close_words(spark, sf), ["word"], 3, "distance", "candidate").select("word", "candidate", "distance", "rank")
+    return nm.nearest(all_close_words(spark, sf, 3), ["word"], 3, "distance", "candidate").select("word", "candidate", "distance", "rank")
 
 
 def lev_prefilter_parity(spark: SparkSession, sf: str) -> DataFrame:
