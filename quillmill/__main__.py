@@ -32,12 +32,12 @@ def build(spark: SparkSession, a: argparse.Namespace) -> None:
 def artifacts(spark: SparkSession, folder: str):
     rules = normalization.rule_map(spark.read.parquet(f"{folder}/rules"))
     try:
-        forms = spark.read.parquet(f"{folder}/curated").where("NOT ambiguous").limit(normalization.MOST_FORMS + 1).collect()
+        forms = normalization.form_map(spark.read.parquet(f"{folder}/curated"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        forms = []
-    return spark.read.parquet(f"{folder}/vocabulary"), rules, {r["key"]: (r["normalized"], r["source_id"]) for r in forms}
+        forms = {}
+    return spark.read.parquet(f"{folder}/vocabulary"), rules, forms
 
 
 def normalize(spark: SparkSession, a: argparse.Namespace) -> None:

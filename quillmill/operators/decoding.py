@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
@@ -124,26 +124,26 @@ def one_pass(slots: DataFrame, provider: LabelProvider, iteration: int, key: str
     The provider gets key, slot, sentence, tokens and returns key, slot, labels, chances. A sentence that it leaves out,
     or whose labels don't fit, stays. Changes carry offsets in the pass's input text.
     """
-    each = slots.select(key, F.posexplode("slots").alias("slot", "sentence")).withColumn("tokens", F.transform(sg.token_spans_of("sentence"), lambda s: s["text"]))
-    answers = provider(each).select(key, "slot", "labels", "chances")
+    n = F.size("slots")
+    each = slots.select(key, F.posexplode(F.arrays_zip("slots", F.slice("gaps", F.lit(1), n).alias("gaps"))).alias("slot", "s")).select(key, "slot", F.col("s.slots").alias("sentence"), F.col("s.gaps").alias("gap"))
+    each = each.withColumn("tokens", F.transform(sg.token_spans_of("sentence"), lambda s: s["text"]))
+    answers = provider(each.drop("gap")).select(key, "slot", "labels", "chances")
     done = each.join(answers, [key, "slot"], "left").withColumn("r", lb.replayed("sentence", "labels", "chances"))
     done = done.withColumn("new", F.coalesce("r.output", "sentence"))
-    packed = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "sentence", "new", F.col("r.changes").alias("changes")))).alias("x"))
+    # Where each sentence begins is a running sum along the slots, taken once.
+    upto = Window.partitionBy(key).orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = done.withColumn("at", F.sum(F.length("gap") + F.length("sentence")).over(upto) - F.length("sentence"))
+    moved = F.transform(
+        F.coalesce("r.changes", F.array().cast(lb.REPLAY["changes"].dataType)),
+        lambda c: F.struct((c["start"] + F.col("at")).cast("int").alias("start"), (c["end"] + F.col("at")).cast("int").alias("end"), c["original"].alias("original"), c["correction"].alias("replacement"), c["label"].alias("tag"), c["confidence"].alias("confidence"), F.lit(iteration).alias("iteration")),
+    )
+    packed = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "sentence", "new", moved.alias("changes")))).alias("x"))
     joined = slots.select(key, F.col("gaps")).join(packed, key, "left")
     old = F.coalesce(F.transform("x", lambda x: x["sentence"]), F.array().cast("array<string>"))
     new = F.coalesce(F.transform("x", lambda x: x["new"]), F.array().cast("array<string>"))
     joined = joined.withColumn("old", old).withColumn("slots", new)
-    before = lambda i: F.aggregate(F.slice(F.col("gaps"), F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(F.col("old"), F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s))
-    moved = F.flatten(
-        F.transform(
-            "x",
-            lambda x: F.transform(
-                F.coalesce(x["changes"], F.array().cast(lb.REPLAY["changes"].dataType)),
-                lambda c: F.struct((c["start"] + before(x["slot"])).cast("int").alias("start"), (c["end"] + before(x["slot"])).cast("int").alias("end"), c["original"].alias("original"), c["correction"].alias("replacement"), c["label"].alias("tag"), c["confidence"].alias("confidence"), F.lit(iteration).alias("iteration")),
-            ),
-        )
-    )
-    return joined.select(key, "slots", "gaps", sg.rejoined(F.col("old"), F.col("gaps")).alias("input"), sg.rejoined(F.col("slots"), F.col("gaps")).alias("output"), F.coalesce(moved, F.array().cast("array<struct<start:int,end:int,original:string,replacement:string,tag:string,confidence:double,iteration:int>>")).alias("changes"))
+    changes = F.flatten(F.transform("x", lambda x: x["changes"]))
+    return joined.select(key, "slots", "gaps", sg.rejoined(F.col("old"), F.col("gaps")).alias("input"), sg.rejoined(F.col("slots"), F.col("gaps")).alias("output"), F.coalesce(changes, F.array().cast("array<struct<start:int,end:int,original:string,replacement:string,tag:string,confidence:double,iteration:int>>")).alias("changes"))
 
 
 def corrected(docs: DataFrame, provider: LabelProvider, passes: int = 5, key: str = "doc_id", text: str = "text", stop_early: bool = False) -> DataFrame:

@@ -1,24 +1,28 @@
 """Building rules, and normalizing words and documents with them.
 
-Words are normalized once each: documents are taken apart into words, the distinct words go through the rules, and the
-results are joined back and spliced in at their offsets. The only UDF on the way makes candidates of distinct words.
+Words are normalized once each: documents are taken apart into words, the distinct words go through the rules, and what
+they become is put in at their offsets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.candidates import candidates, candidates_udf, eligible, pair_rules_udf
+from ..functions.candidates import CANDIDATE, candidates, candidates_udf, eligible, pair_rules_udf
 from ..functions.distance import damerau_levenshtein, dld
+from ..functions.forms import EACH, FormTable, whole_forms
 
-#: Tables that travel with a UDF or a pattern may have so many rows.
-MOST_RULES, MOST_FORMS, MOST_WORDS, MOST_INDEXED = 200_000, 20_000, 500_000, 30_000
+#: Tables that travel with a UDF may have so many rows; larger ones are joined.
+MOST_RULES, MOST_WORDS, MOST_INDEXED, MOST_ANSWERS = 200_000, 500_000, 30_000, 500_000
 
 
 # Artifacts
@@ -119,22 +123,62 @@ def in_vocabulary(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.where(~tx.blank("candidate")).join(missing, ["word", "candidate"], "left_anti")
 
 
-def rule_map(rules: DataFrame) -> dict[str, dict[str, float]]:
-    """The rules as a dictionary on the driver, refused above MOST_RULES rows. Replacements stand in the order of ord if there is one."""
+Rules = Mapping[str, Mapping[str, float]]
+
+
+def rule_map(rules: DataFrame) -> dict[str, dict[str, float]] | DataFrame:
+    """The rules as a dictionary on the driver, or above MOST_RULES rows as the table src, dst, weight, ord, which every
+    operator here takes as well. Replacements stand in the order of ord if there is one."""
     order = ["src", "ord"] if "ord" in rules.columns else ["src", F.desc("weight"), "dst"]
     rows = rules.orderBy(*order).limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+        return ordered_rules(rules)
     out: dict[str, dict[str, float]] = {}
     for r in rows:
         out.setdefault(r["src"], {})[r["dst"]] = float(r["weight"])
     return out
 
 
-def word_candidates(words: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100) -> DataFrame:
+def ordered_rules(rules: DataFrame) -> DataFrame:
+    """src, dst, weight, ord of rules; ord counts by falling weight where there is none."""
+    if "ord" not in rules.columns:
+        rules = rules.withColumn("ord", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst")))
+    return rules.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.col("ord").cast("long").alias("ord"))
+
+
+def words_with_rules(words: DataFrame, rules: DataFrame, longest: int) -> DataFrame:
+    """words (column word, distinct) with `own`, those of the rules (src, dst, weight, ord) that the word can meet.
+
+    What rules make of a word hangs on the rules of its own n-grams, so that one join by n-gram finds them, of any number
+    of rules, and each word goes on with a few.
+    """
+    n = F.length("word")
+    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(max(2, longest))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda at: F.substr(F.col("word"), at, k))))
+    last = F.substr(F.col("word"), F.greatest(n, F.lit(1)), F.lit(1))
+    met = words.select("word", F.explode(F.array_distinct(F.concat(grams, F.array(last)))).alias("src"))
+    found = met.join(ordered_rules(rules), "src").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("src", "ord", "dst", "weight"))).alias("own"))
+    return words.select("word").join(found, "word", "left")
+
+
+def _own_rules(rows) -> dict[str, dict[str, float]]:
+    out: dict[str, dict[str, float]] = {}
+    for r in rows if rows is not None else ():
+        out.setdefault(r["src"], {})[r["dst"]] = r["weight"]
+    return out
+
+
+def word_candidates(words: DataFrame, rules: Rules | DataFrame, longest: int = 2, cutoff: int = 100) -> DataFrame:
     """word, candidate, weight, ord of distinct words (column word, in lower case)."""
-    make = candidates_udf(rules, longest, cutoff)
-    return words.select("word").distinct().where(eligible(F.col("word"))).select("word", F.inline(make("word")))
+    asked = words.select("word").distinct().where(eligible(F.col("word")))
+    if not isinstance(rules, DataFrame):
+        return asked.select("word", F.inline(candidates_udf(rules, longest, cutoff)("word")))
+
+    @F.pandas_udf(T.ArrayType(CANDIDATE))
+    def make(own_words: pd.Series, own_rules: pd.Series) -> pd.Series:
+        found = (candidates(w, _own_rules(r), longest, cutoff) for w, r in zip(own_words, own_rules, strict=True))
+        return pd.Series([[{"candidate": c, "weight": float(x), "ord": i} for i, (c, x) in enumerate(f.items())] for f in found], dtype=object)
+
+    return words_with_rules(asked, rules, longest).select("word", F.inline(make("word", "own")))
 
 
 def small_vocabulary(vocabulary: DataFrame) -> frozenset[str] | None:
@@ -161,52 +205,62 @@ def shortened_words(words: frozenset[str], k: int) -> frozenset[str]:
     return frozenset().union(*(shortened(w, k) for w in words if len(w) <= 128))
 
 
-def nearest_known(rules: Mapping[str, Mapping[str, float]], words: frozenset[str], longest: int, cutoff: int, max_distance: int | None):
-    """A UDF from a word that is not in `words` to the nearest known candidate and its distance, in an array that is empty where the word stays."""
-    frozen = {src: dict(dst) for src, dst in rules.items()}
-    spaced = any(c.isspace() for dst in frozen.values() for new in dst for c in new)
+def nearest_known(rules: Rules | None, words: frozenset[str], longest: int, cutoff: int, max_distance: int | None, spaced: bool | None = None):
+    """A UDF from a word that is not in `words` to the nearest known candidate and its distance, in an array that is empty
+    where the word stays. Without rules it takes each word's own ones as well; spaced says if any makes several words."""
+    frozen = {src: dict(dst) for src, dst in rules.items()} if rules is not None else None
+    if spaced is None:
+        spaced = any(c.isspace() for dst in frozen.values() for new in dst for c in new)
     indexed = max_distance in (1, 2) and not spaced and len(words) <= MOST_INDEXED
 
+    def answer(word: str, own: Rules) -> list[dict]:
+        best, least = None, 0
+        for c in candidates(word, own, longest, cutoff):
+            parts = c.split()
+            if parts and words.issuperset(map(str.lower, parts)):
+                d = damerau_levenshtein(word, c)
+                if best is None or d < least:
+                    best, least = c, d
+        stays = best is None or best == word or max_distance is not None and least > max_distance
+        return [] if stays else [{"normalized": best.strip(), "distance": least}]
+
+    def near_any(word: str, index) -> bool:
+        # No candidate within the distance can be known if no known word is: then none need be made.
+        return index is None or not index.isdisjoint(shortened(word, max_distance))
+
     @F.pandas_udf(T.ArrayType(_ANSWER))
-    def run(asked):
-        import pandas as pd
+    def shared(asked: pd.Series) -> pd.Series:
+        index = shortened_words(words, max_distance) if indexed else None
+        return pd.Series([answer(w, frozen) if near_any(w, index) else [] for w in asked], dtype=object)
 
+    @F.pandas_udf(T.ArrayType(_ANSWER))
+    def single(asked: pd.Series, own: pd.Series) -> pd.Series:
         index = shortened_words(words, max_distance) if indexed else None
-        out = []
-        for word in asked:
-            best, least = None, 0
-            # No candidate within the distance can be known if no known word is: then none need be made.
-            if index is not None and index.isdisjoint(shortened(word, max_distance)):
-                out.append([])
-                continue
-            for c in candidates(word, frozen, longest, cutoff):
-                parts = c.split()
-                if parts and words.issuperset(map(str.lower, parts)):
-                    d = damerau_levenshtein(word, c)
-                    if best is None or d < least:
-                        best, least = c, d
-            stays = best is None or best == word or max_distance is not None and least > max_distance
-            out.append([] if stays else [{"normalized": best.strip(), "distance": least}])
-        return pd.Series(out, dtype=object)
+        return pd.Series([answer(w, _own_rules(r)) if near_any(w, index) else [] for w, r in zip(asked, own, strict=True)], dtype=object)
 
-    return run
+    return shared if rules is not None else single
 
 
-def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, relational: bool = False) -> DataFrame:
+def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Rules | DataFrame, longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, relational: bool = False) -> DataFrame:
     """word, normalized, distance of the words that automatic normalization changes.
 
     Words of the vocabulary, of one or of more than 128 letters stay. Of the candidates that the vocabulary knows, the
     nearest by Damerau-Levenshtein wins, of equally near ones the one that came up first; if it is the word itself or
     further than max_distance, the word stays. A vocabulary of up to MOST_WORDS words travels with the UDF; beyond, or
-    if relational is set, candidates are rows that are joined with it.
+    if relational is set, candidates are rows that are joined with it. Rules travel likewise, or are a table (src, dst,
+    weight and maybe ord) of any size that words are joined with.
     """
     unknown = words.select(F.lower("word").alias("word")).distinct().join(vocabulary.select(F.lower("word").alias("word")), "word", "left_anti")
     known = None if relational else small_vocabulary(vocabulary)
     if known is not None:
         # Distinct words are few bytes and much work: they are dealt to a set number of tasks, which is not reduced.
         tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        asked = unknown.where(eligible(F.col("word"))).repartition(tasks)
-        return asked.select("word", F.inline(nearest_known(rules, known, longest, cutoff, max_distance)("word")))
+        asked = unknown.where(eligible(F.col("word")))
+        if isinstance(rules, DataFrame):
+            spaced = not rules.where(F.col("dst").rlike(r"(?U)\s")).isEmpty()
+            asked = words_with_rules(asked, rules, longest).repartition(tasks)
+            return asked.select("word", F.inline(nearest_known(None, known, longest, cutoff, max_distance, spaced)("word", "own")))
+        return asked.repartition(tasks).select("word", F.inline(nearest_known(rules, known, longest, cutoff, max_distance)("word")))
     survivors = in_vocabulary(word_candidates(unknown, rules, longest, cutoff), vocabulary)
     best = first_least(survivors.withColumn("distance", dld("word", "candidate")), ["word"])
     near = F.lit(True) if max_distance is None else F.col("distance") <= max_distance
@@ -217,78 +271,181 @@ def normalized_words(words: DataFrame, vocabulary: DataFrame, rules: Mapping[str
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("word", T.StringType())])
+_SPANS = T.StructType([T.StructField("curated", T.ArrayType(_SPAN)), T.StructField("words", T.ArrayType(_SPAN))])
+_EDIT = T.StructType([*_SPAN.fields, T.StructField("suggestion", T.StringType()), T.StructField("strategy", T.StringType()), T.StructField("source_id", T.StringType())])
+_EDITED = T.StructType([T.StructField("normalized", T.StringType()), T.StructField("changes", T.ArrayType(_EDIT))])
+
+# What automatic words are made of, and what may not touch them.
+_URL = re.compile(r"(?i)(?:https?://|ftp://|www\.)\S+")
+_EMAIL = re.compile(tx.EMAIL)
+_LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|[^\w\s])*")
+
+
+def _words(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of a letter and the letters and marks after it."""
+    for m in _LETTERS.finditer(text):
+        at = m.start()
+        while at < m.end():
+            if not text[at].isalpha():
+                at += 1
+                continue
+            end = at + 1
+            while end < len(text) and unicodedata.category(text[end])[0] in "LM":
+                end += 1
+            yield at, end
+            at = end
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def apart(spans: Iterable[tuple[int, int]], closed: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of spans that overlap none of closed; both are in order and closed ones don't overlap. One walk over both."""
+    out, k = [], 0
+    for start, end in spans:
+        while k < len(closed) and closed[k][1] <= start:
+            k += 1
+        if k == len(closed) or closed[k][0] >= end:
+            out.append((start, end))
+    return out
 
 
-def document_spans(forms: list[str]):
-    """A UDF from a text to its curated and automatic spans: struct of curated and words, each an array of start, end, word.
+def spans_in(text: str, tables: Sequence[FormTable]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Curated and automatic spans of a text.
 
     URLs and addresses are left alone. A curated form is matched longest first, not inside words, and not where
     an apostrophe or dash ties it to one. Words are runs of letters that no digit or underscore touches.
     """
-    import re
-
-    if len(forms) > MOST_FORMS:
-        raise ValueError(f"more than {MOST_FORMS} curated forms")
-    alternatives = "|".join(r"[ \t]+".join(map(re.escape, f.split(" "))) for f in sorted(forms, key=lambda f: (-len(f), f)))
-    whole = r"(?<!\w)(?<!\w['’])(?<!\w[-‐‑‒–—])(?:" + alternatives + r")(?!\w)(?!['’]\w)(?![-‐‑‒–—]\w)"
-    url, email = r"(?i)(?:https?://|ftp://|www\.)\S+", tx.EMAIL
-    kind = T.StructType([T.StructField("curated", T.ArrayType(_SPAN)), T.StructField("words", T.ArrayType(_SPAN))])
-
-    @F.pandas_udf(kind)
-    def run(texts):
-        import unicodedata
-
-        import pandas as pd
-
-        form = re.compile(whole, re.IGNORECASE) if forms else None
-        guards = [re.compile(url), re.compile(email)]
-        letters = re.compile(r"[^\W\d_](?:[^\W\d_]|[^\w\s])*")
-
-        def words(t: str):
-            for m in letters.finditer(t):
-                at = m.start()
-                while at < m.end():
-                    if not t[at].isalpha():
-                        at += 1
-                        continue
-                    end = at + 1
-                    while end < len(t) and unicodedata.category(t[end])[0] in "LM":
-                        end += 1
-                    yield at, end
-                    at = end
+    closed = merged(m.span() for guard in (_URL, _EMAIL) for m in guard.finditer(text))
+    curated = apart(whole_forms(text, tables), closed) if tables else []
+    touched = lambda c: c.isdigit() or c == "_"
+    plain = [(s, e) for s, e in apart(_words(text), merged([*closed, *curated])) if not touched(text[s - 1 : s]) and not touched(text[e : e + 1])]
+    return curated, plain
 
+
+def document_spans(forms: Iterable[str]):
+    """A UDF from a text to its curated and automatic spans: struct of curated and words, each an array of start, end, word."""
+    own = list(forms)
+    tables = [FormTable.of(own)] if own else []
+
+    @F.pandas_udf(_SPANS)
+    def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             t = t or ""
-            closed = [m.span() for g in guards for m in g.finditer(t)]
-            free = lambda s, e, spans: not any(s < b and e > a for a, b in spans)
-            curated = [m.span() for m in form.finditer(t) if free(*m.span(), closed)] if form else []
-            held = closed + curated
-            touched = lambda c: c.isdigit() or c == "_"
-            plain = [(s, e) for s, e in words(t) if free(s, e, held) and not touched(t[s - 1 : s]) and not touched(t[e : e + 1])]
-            rows.append([[{"start": s, "end": e, "word": t[s:e]} for s, e in spans] for spans in (curated, plain)])
+            rows.append([[{"start": s, "end": e, "word": t[s:e]} for s, e in spans] for spans in spans_in(t, tables)])
         return pd.DataFrame(rows, columns=["curated", "words"])
 
     return run
 
 
-def normalize_documents(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], curated: Mapping[str, tuple[str, str]], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, text, normalized, changes of each row; key is unique. curated: form key -> (normalized, source_id).
+def with_case_of(source: str, suggestion: str) -> str:
+    """The suggestion in the case of the source: all upper, first upper, or as it is."""
+    if source == source.upper() != source.lower():
+        return suggestion.upper()
+    return suggestion[:1].upper() + suggestion[1:] if source[:1] == source[:1].upper() != source[:1].lower() else suggestion
+
+
+def form_tables(forms: DataFrame, each: int = EACH) -> list[FormTable]:
+    """Tables of up to about `each` of the forms (column form), dealt by hash; any number of forms has tables enough."""
+    own = forms.select("form").where("form IS NOT NULL").distinct()
+    parts = -(-own.count() // each)
+    return [FormTable.of(r["form"] for r in own.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).toLocalIterator()) for part in range(parts)]
+
+
+def form_map(forms: DataFrame) -> dict[str, tuple[str, str]] | DataFrame:
+    """The unambiguous ones of curated_forms as form key -> (normalized, source_id), or above MOST_ANSWERS as a table form,
+    target, source_id; normalize_documents takes either."""
+    own = forms.where("NOT ambiguous").select(F.col("key").alias("form"), F.col("normalized").alias("target"), "source_id")
+    rows = own.limit(MOST_ANSWERS + 1).collect()
+    return {r["form"]: (r["target"], r["source_id"]) for r in rows} if len(rows) <= MOST_ANSWERS else own
 
-    changes: array of start, end, word, suggestion, strategy, source_id, in order. Null texts stay null.
+
+def _form_key(text: str) -> str:
+    return " ".join(text.split()).lower()
+
+
+def normalize_documents(docs: DataFrame, vocabulary: DataFrame, rules: Rules | DataFrame, curated: Mapping[str, tuple[str, str]] | DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, text, normalized, changes of each row; key is unique. curated: form key -> (normalized, source_id), or a table
+    form, target, source_id, of any size.
+
+    changes: array of start, end, word, suggestion, strategy, source_id, in order. Null texts stay null. Spans are found
+    in one walk over each text; distinct words are normalized once. Up to MOST_ANSWERS words that change travel to the
+    texts, and nothing of a document is shuffled; beyond, and for a table of forms, spans are joined with what they become.
     """
     base = docs.select(key, F.col(text).alias("text"))
-    spans = base.withColumn("s", document_spans(sorted(curated))("text"))
-    forms = base.sparkSession.createDataFrame([(k, n, i) for k, (n, i) in sorted(curated.items())], "form string, target string, source_id string")
-    of_forms = spans.select(key, F.inline("s.curated")).join(F.broadcast(forms), tx.form_key("word") == F.col("form")).select(key, "start", "end", "word", "target", F.lit("curated_rule").alias("strategy"), "source_id")
-    of_words = spans.select(key, F.inline("s.words"))
-    answers = normalized_words(of_words.select("word"), vocabulary, rules, **options).select(F.col("word").alias("w"), F.col("normalized").alias("target"))
-    automatic = of_words.join(answers, F.lower("word") == F.col("w")).select(key, "start", "end", "word", "target", F.lit("ngram_dld").alias("strategy"), F.lit(None).cast("string").alias("source_id"))
+    if isinstance(curated, DataFrame):
+        forms = curated.select("form", "target", "source_id")
+        known = None
+    else:
+        known = dict(curated)
+        forms = base.sparkSession.createDataFrame([(k, n, i) for k, (n, i) in sorted(known.items())], "form string, target string, source_id string")
+    spark = base.sparkSession
+    tables = spark.sparkContext.broadcast([FormTable.of(known)] if known else [] if known is not None else form_tables(forms))
+
+    @F.pandas_udf(_SPANS)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        rows = [[[{"start": s, "end": e, "word": t[s:e]} for s, e in spans] for spans in spans_in(t, tables.value)] for t in (x or "" for x in texts)]
+        return pd.DataFrame(rows, columns=["curated", "words"])
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({t[s:e].lower() for s, e in spans_in(t, tables.value)[1]}) for t in (x or "" for x in texts)], dtype=object)
+
+    asked = base.select(F.explode(words_of("text")).alias("word")).distinct()
+    answers = normalized_words(asked, vocabulary, rules, **options).select(F.col("word").alias("w"), F.col("normalized").alias("target"))
+    few = answers.limit(MOST_ANSWERS + 1).collect() if known is not None and len(known) <= MOST_ANSWERS else None
+    if few is not None and len(few) <= MOST_ANSWERS:
+        shared = spark.sparkContext.broadcast(({r["w"]: r["target"] for r in few}, known))
+        return base.withColumn("e", _edited(tables, shared)("text")).select(key, "text", "e.changes", F.when(F.col("text").isNotNull(), F.col("e.normalized")).alias("normalized")).withColumn("changes", F.when(F.size("changes") > 0, F.col("changes")))
+    spans = base.withColumn("s", find("text"))
+    of_forms = spans.select(key, F.inline("s.curated")).join(forms, tx.form_key("word") == F.col("form")).select(key, "start", "end", "word", "target", F.lit("curated_rule").alias("strategy"), "source_id")
+    automatic = spans.select(key, F.inline("s.words")).join(answers, F.lower("word") == F.col("w")).select(key, "start", "end", "word", "target", F.lit("ngram_dld").alias("strategy"), F.lit(None).cast("string").alias("source_id"))
     edits = of_forms.unionByName(automatic).withColumn("suggestion", tx.with_case_of(F.col("word"), F.col("target"))).where("suggestion <> word")
     changes = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "suggestion", "strategy", "source_id"))).alias("changes"))
     joined = base.join(changes, key, "left")
-    cuts = F.transform("changes", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["suggestion"].alias("replacement")))
-    return joined.withColumn("normalized", F.when(F.col("changes").isNull(), F.col("text")).otherwise(tx.spliced(F.col("text"), cuts)))
+    return joined.withColumn("normalized", F.when(F.col("changes").isNull(), F.col("text")).otherwise(_spliced("text", "changes")))
+
+
+def _put_in(text: str, changes: Sequence[Mapping]) -> str:
+    parts, end = [], 0
+    for c in changes:
+        parts += [text[end : c["start"]], c["suggestion"]]
+        end = c["end"]
+    return "".join([*parts, text[end:]])
+
+
+@F.pandas_udf(T.StringType())
+def _spliced(texts: pd.Series, changes: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _put_in(t, c if c is not None else []) for t, c in zip(texts, changes, strict=True)], dtype=object)
+
+
+def _edited(tables, shared):
+    """A UDF from a text to the normalized text and its changes."""
+
+    @F.pandas_udf(_EDITED)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        answers, forms = shared.value
+        rows = []
+        for t in texts:
+            t = t or ""
+            curated, plain = spans_in(t, tables.value)
+            found = [(s, e, *forms[k], "curated_rule") for s, e in curated if (k := _form_key(t[s:e])) in forms]
+            found += [(s, e, target, None, "ngram_dld") for s, e in plain if (target := answers.get(t[s:e].lower())) is not None]
+            made = ((s, e, t[s:e], with_case_of(t[s:e], target), strategy, source) for s, e, target, source, strategy in sorted(found))
+            changes = [dict(zip(_EDIT.names, x, strict=True)) for x in made if x[2] != x[3]]
+            rows.append((_put_in(t, changes), changes))
+        return pd.DataFrame(rows, columns=["normalized", "changes"])
+
+    return run
 
 
 # Diagnosis
@@ -306,7 +463,7 @@ def explained(words: DataFrame, forms: DataFrame, answers: DataFrame, use_curate
     return joined.select("word", F.when(hit, "curated_rule").otherwise("ngram_dld").alias("strategy"), F.when(hit, F.col("form_id")).alias("source_id"), tx.with_case_of(F.col("word"), target).alias("output"), status.alias("curated_rule_status"))
 
 
-def candidate_diagnostics(pairs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, top: int = 10) -> DataFrame:
+def candidate_diagnostics(pairs: DataFrame, vocabulary: DataFrame, rules: Rules | DataFrame, longest: int = 2, cutoff: int = 100, max_distance: int | None = 2, top: int = 10) -> DataFrame:
     """pairs (source, expected, prediction and more) with what normalization had to choose from for each source:
 
     in_vocabulary, generated and survivors (numbers of candidates), expected_generated, expected_survives,

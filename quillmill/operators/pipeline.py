@@ -21,7 +21,7 @@ def accepted_texts(docs: DataFrame, text: str = "text", most: int = LONGEST_TEXT
     return docs.where(fits), docs.where(~fits)
 
 
-def analyze(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]], curated: Mapping[str, tuple[str, str]], provider: LabelProvider, passes: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def analyze(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]] | DataFrame, curated: Mapping[str, tuple[str, str]] | DataFrame, provider: LabelProvider, passes: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, original, normalized, corrected, suggestions. Key is unique; a null text counts as empty."""
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     normal = normalize_documents(base, vocabulary, rules, curated, key)

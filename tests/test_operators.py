@@ -55,6 +55,27 @@ def test_normalize_documents(spark):
     assert {c["strategy"] for c in rows[0]["changes"]} == {"curated_rule", "ngram_dld"}
 
 
+@pytest.mark.parametrize("kind", ["answers", "forms", "rules", "relational"])
+def test_large_tables_give_the_same(spark, monkeypatch, kind):
+    """Answers, forms, rules and vocabulary beyond what travels with a UDF: joined, with the same result."""
+    curated = {"naol": ("sana all", "7"), "g ka": ("game ka", "8")}
+    texts = ["AQ po, nmn! Naol? g  ka", "http://aq.ph/nmn aq@nmn.ph aq1 _aq aq", "tlga NMN Naol naol g\tka", "", None, "iPhone 🙂 aq " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = words(spark, VOCABULARY)
+    want = {r["doc_id"]: r for r in nm.normalize_documents(docs, vocabulary, RULES, curated).collect()}
+    rules = spark.createDataFrame([(src, dst, w, i) for src, own in RULES.items() for i, (dst, w) in enumerate(own.items())], "src string, dst string, weight double, ord int")
+    forms = spark.createDataFrame([(k, n, i) for k, (n, i) in curated.items()], "form string, target string, source_id string")
+    options = {}
+    if kind == "answers":
+        monkeypatch.setattr(nm, "MOST_ANSWERS", 2)
+    elif kind == "relational":
+        options["relational"] = True
+    got = nm.normalize_documents(docs, vocabulary, rules if kind in ("rules", "relational") else RULES, forms if kind == "forms" else curated, **options)
+    assert {r["doc_id"]: r for r in got.select(*want[0].asDict()).collect()} == want
+    monkeypatch.setattr(nm, "MOST_RULES", 1)
+    assert sorted(nm.rule_map(rules).collect()) == sorted(rules.select("src", "dst", "weight", F.col("ord").cast("long")).collect())
+
+
 def test_explained(spark):
     rows = spark.createDataFrame([(1, "1", "Naol", "sana all", "slang"), (2, "2", "g", "go", "slang"), (3, "3", "G", "game", "slang"), (4, "4", "x", "y", "abbreviation")], "row int, id string, informal string, normalized string, category string")
     forms = nm.curated_forms(rows)
@@ -286,11 +307,11 @@ def test_normalize_corpus_runs_with_the_production_cutoff(spark, monkeypatch):
 
 def test_close_words_are_all_found(spark):
     """Changes in the first letters, accents, short, long and spaceless words: as brute force finds them."""
-    from quillmill.plans import text_queries as tq
+    from quillmill.functions import near_words as nw
 
     new = ["xello", "ehllo", "señor", "a", "ab", "straße", "b" * 23, "c" * 24, "d" * 27, "e" * 300 + "f", "wrold", "lowrd", "qqqqqqq"]
     known = ["hello", "world", "senor", "abc", "strasse", "b" * 26, "c" * 25, "d" * 24, "e" * 300, "kalligraphie"]
-    got = tq.close_words(spark.createDataFrame([(w,) for w in new], "word string"), spark.createDataFrame([(w,) for w in known], "candidate string")).collect()
+    got = nw.near_pairs(spark.createDataFrame([(w,) for w in new], "word string"), spark.createDataFrame([(w,) for w in known], "candidate string")).collect()
     want = sorted((a, b, damerau_levenshtein(a, b)) for a in new for b in known if damerau_levenshtein(a, b) <= 3)
     assert sorted(map(tuple, got)) == want
 
