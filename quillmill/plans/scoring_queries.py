@@ -366,6 +366,7 @@ SELECT mode, grp, position::INTEGER AS position, n, tp, fp, fn, round({_f05()},
     "category_metrics": f"WITH {_PAIRS}, m AS (SELECT 'text_type_' || lang || '_word' AS category, {_PAIR_METRICS} FROM p GROUP BY lang) SELECT *, {_PAIR_RATES} FROM m",
     "percentile_summary": "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 9) AS mean, round(median(n_chars), 9) AS median, round(quantile_cont(n_chars, 0.95), 9) AS p95, quantile_disc(n_chars, 0.95)::DOUBLE AS p95_rank, max(n_chars) AS max FROM documents GROUP BY lang",
     "valid_words": f"WITH {_PAIRS}, t AS (SELECT DISTINCT lower(source) AS k FROM ({_ENDS('conv_id', 'conversations')})), j AS (SELECT row_number AS line, source AS word, prediction, lower(source) IN (SELECT k FROM t) AS x FROM p), e AS (SELECT word, line FROM j WHERE x ORDER BY line LIMIT 20) SELECT count(*) FILTER (WHERE x) AS excluded, count(*) FILTER (WHERE NOT x) AS evaluated, count(*) FILTER (WHERE NOT x AND prediction <> word) AS changed, round(count(*) FILTER (WHERE NOT x AND prediction <> word) / nullif(count(*) FILTER (WHERE NOT x), 0), 9) AS false_positive_rate, coalesce((SELECT string_agg(word, '|' ORDER BY line) FROM e), '') AS examples FROM j",
+    "focus_probes": f"WITH p AS (SELECT vec_id, {_SOFTMAX.format(x='c')} AS p FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS c FROM embeddings)), o AS (SELECT vec_id, p, list_transform(list_sort(list_transform(p, lambda v, i: {{'x': -v, 'i': i - 1}})), lambda s: s.i) AS o FROM p) SELECT vec_id, (list_position(p, list_max(p)) - 1)::INTEGER AS raw_id, list_position(o, 3)::INTEGER AS rank, round(p[4], 6) AS probability, round(p[4] - p[1], 6) AS margin, array_to_string(o[:10], ',') AS top FROM o",
     "decode_threshold": f"WITH d AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS c, [0.0::DOUBLE, embedding[2]::DOUBLE * 10] AS d FROM embeddings), p AS (SELECT vec_id, {_SOFTMAX.format(x='c')} AS p, ({_SOFTMAX.format(x='d')})[2] AS e FROM d), b AS (SELECT vec_id, e, list_transform(p, lambda v, i: CASE WHEN i = 1 THEN v + 0.01 ELSE v END) AS p FROM p) SELECT vec_id, round(e, 6) AS error_probability, e >= 0.5 AS flagged, CASE WHEN e >= 0.5 THEN list_position(p, list_max(p)) - 1 ELSE 0 END::INTEGER AS label_id FROM b",
     "span_merge_islands": f"WITH {_SPANS}, m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM s) SELECT l_orderkey, count(*) AS spans, sum(CASE WHEN u IS NULL OR b > u THEN 1 ELSE 0 END)::BIGINT AS islands FROM m GROUP BY l_orderkey",
     "suggestion_ids": "SELECT user_id, event_id AS start, event_type || '-' || row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS id FROM events",

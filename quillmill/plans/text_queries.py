@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sql
 from ..functions import distance as ds
 from ..functions import near_words as nw
 from ..functions import segmentation as sg
 from ..functions import text as tx
 from ..operators import experiment as ex
+from ..operators import intervals as iv
 from ..operators import normalization as nm
 from ..session import read
 from ..settings import Settings
@@ -130,6 +132,14 @@ def induced_rules(spark: SparkSession, sf: str) -> DataFrame:
     return nm.induced_rules(misspelt(spark, sf), 3).select("src", "dst", "n", F.round("weight", 9).alias("weight"))
 
 
+def collected_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of induced_rules by the table function, in SQL."""
+    sql.register(spark)
+    misspelt(spark, sf).createOrReplaceTempView("misspelt_pairs")
+    found = spark.sql("SELECT r.src, r.dst FROM misspelt_pairs, LATERAL collect_rules(source, target, 3) r")
+    return nm.rule_weights(found).select("src", "dst", "n", F.round("weight", 9).alias("weight"))
+
+
 def curated_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as rows of a sheet: the name is the informal form, type and brand what it stands for."""
     return read(spark, sf, "part").select(F.col("p_partkey").alias("row"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("informal"), F.when(F.col("p_size") < 40, F.col("p_type")).otherwise(F.concat_ws(" ", "p_type", "p_brand")).alias("normalized"), F.when(F.col("p_size") % 2 == 0, " Slang ").otherwise("abbreviation").alias("category"))
@@ -150,9 +160,22 @@ def vocab_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def protected_span_antijoin(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of pages that lie in no URL or address."""
-    pages = read(spark, sf, "pages").select("page_id", nm.document_spans([])("html").alias("s"))
-    return pages.select("page_id", F.size("s.words").cast("long").alias("free_words"), F.aggregate("s.words", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("free_chars"))
+    """Words of pages that lie in no URL or address and that no digit or underscore touches."""
+    pages = tx.with_row_key(read(spark, sf, "pages"), "k", ["page_id"], "html")
+    found = lambda pattern: iv.matches(pages, ["k"], "html", pattern)
+    touched = rf"[{tx.DIGIT}_]"
+    words = found(tx.WORD_LETTERS).where(~F.col("before").rlike(touched) & ~F.col("after").rlike(touched)).select("k", "start", "end")
+    closed = found(tx.URL).unionByName(found(tx.EMAIL)).select("k", "start", "end")
+    free = iv.apart(words, closed, ["k"])
+    counts = free.groupBy("k").agg(F.count(F.lit(1)).alias("free_words"), F.sum(F.col("end") - F.col("start")).alias("free_chars"))
+    return pages.select("page_id", "k").join(counts, "k", "left").select("page_id", F.coalesce("free_words", F.lit(0)).alias("free_words"), F.coalesce("free_chars", F.lit(0)).alias("free_chars"))
+
+
+def closed_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The URLs of pages that overlap words, with how many do, and from where to where."""
+    pages = tx.with_row_key(read(spark, sf, "pages"), "k", ["page_id"], "html").select("page_id", "k", "html")
+    found = lambda pattern: iv.matches(pages, ["page_id", "k"], "html", pattern).drop("match", "before", "after")
+    return iv.overlapping(found(tx.LEXICAL_WORD), found(tx.URL), ["page_id", "k"]).groupBy("page_id", F.col("o_start").alias("start"), F.col("o_end").alias("end")).agg(F.count(F.lit(1)).alias("words"), F.min("start").alias("first"), F.max("end").alias("last"))
 
 
 def benchmark_words(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
@@ -186,7 +209,7 @@ def duplicate_injection(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("source_text") - F.length("target_text")).alias("added_chars"))
 
 
-QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, topk_candidates, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, normalize_corpus, form_frequency_top, workload_cycle, duplicate_injection)}
+QUERIES = {f.__name__: f for f in (token_profile, oov_tokens, word_count, adjacent_repeat, char_offsets_unicode, token_roundtrip, sentence_counts, percent_payloads, dld_first_min, topk_candidates, lev_prefilter_parity, cutoff_with_ties, unique_words_first_surface, rule_weights, induced_rules, curated_ambiguity, curated_statistics, vocab_union, protected_span_antijoin, closed_spans, normalize_corpus, collected_rules, form_frequency_top, workload_cycle, duplicate_injection)}
 
 _RUNS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 _WORDS = r"regexp_extract_all({c}, '\p{{L}}[\p{{L}}\p{{M}}]*')"
@@ -202,7 +225,26 @@ u AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS other FROM (
 x AS (SELECT word, translate(word, other, '{_SIGNS}') AS one FROM w, u WHERE word NOT IN (SELECT candidate FROM b)), y AS (SELECT candidate, translate(candidate, other, '{_SIGNS}') AS two FROM b, u),
 n AS (SELECT word, candidate, one, two, damerau_levenshtein(one, two) AS distance FROM x JOIN y ON strlen(one) - strlen(two) BETWEEN -3 AND 3 WHERE damerau_levenshtein(one, two) <= 3)"""
 
+
+def _spans(name: str, source: str, pattern: str) -> str:
+    """SQL for k, a, b of what a pattern finds in t of a source (k, t)."""
+    sizes = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    return f"""{name} AS (SELECT k, m[i] AS x, ({sizes("g[:i]")} + {sizes("m[:i - 1]")})::BIGINT AS a, a + length(m[i]) AS b FROM (SELECT k, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern.replace("'", "''")}') AS m, string_split_regex(t, '{pattern.replace("'", "''")}') AS g FROM {source})))"""
+
+
+_PAGES = "p AS (SELECT row_number() OVER () AS k, page_id, coalesce(html, '') AS t FROM pages)"
+_RULES = f"""WITH RECURSIVE w AS (SELECT DISTINCT unnest({_LETTERS("lower(text)")}) AS target FROM benchmark), p AS (SELECT left(target, 1) || regexp_replace(substr(target, 2), '[aeiou]', '', 'g') AS source, target FROM w WHERE length(target) >= 4),
+s(source, target, n, i, j, src, dst) AS (SELECT source, target, n, 1, 1, NULL::VARCHAR, NULL::VARCHAR FROM p, (VALUES (2), (3)) v(n)
+UNION ALL SELECT source, target, n, i + CASE WHEN substr(source, i, n) = substr(target, j, n) THEN n ELSE 1 END, j + n, substr(source, i, n), substr(target, j, n) FROM s WHERE i <= length(source) AND j <= length(target)),
+o AS (SELECT src, dst FROM s WHERE src IS NOT NULL), a AS (SELECT * FROM o UNION ALL SELECT DISTINCT src, src FROM o), c AS (SELECT src, dst, count(*) AS n FROM a GROUP BY ALL) SELECT src, dst, n, round(n / sum(n) OVER (PARTITION BY src), 9) AS weight FROM c"""
+
 ORACLES = {
+    "induced_rules": _RULES,
+    "collected_rules": _RULES,
+    "protected_span_antijoin": rf"""WITH {_PAGES}, {_spans("u", "p", tx.URL)}, {_spans("e", "p", tx.EMAIL)}, {_spans("w", "p", tx.WORD_LETTERS)}, c AS (SELECT k, a, b FROM u UNION ALL SELECT k, a, b FROM e),
+f AS (SELECT k, count(*) AS n, sum(b - a)::BIGINT AS chars FROM (SELECT w.k, a, b FROM w JOIN p USING (k) WHERE NOT regexp_matches(substr(t, a::INT, 1), '[\p{{Nd}}_]') AND NOT regexp_matches(substr(t, b::INT + 1, 1), '[\p{{Nd}}_]')) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = x.k AND c.a < x.b AND c.b > x.a) GROUP BY k)
+SELECT page_id, coalesce(n, 0) AS free_words, coalesce(chars, 0) AS free_chars FROM p LEFT JOIN f USING (k)""",
+    "closed_spans": f"""WITH {_PAGES}, {_spans("u", "p", tx.URL)}, {_spans("w", "p", tx.LEXICAL_WORD)} SELECT page_id, u.a AS start, u.b AS "end", count(*) AS words, min(w.a) AS first, max(w.b) AS last FROM u JOIN w ON u.k = w.k AND w.a < u.b AND w.b > u.a JOIN p ON p.k = u.k GROUP BY u.k, page_id, u.a, u.b""",
     "token_profile": f"SELECT lang, sum(n)::BIGINT AS tokens, count(*) AS distinct_tokens, coalesce(sum(n) FILTER (WHERE k.token IS NULL), 0)::BIGINT AS oov_tokens, count(*) FILTER (WHERE k.token IS NULL) AS oov_distinct FROM ({_COUNTED('lang,')}) c LEFT JOIN ({_KNOWN}) k USING (token) GROUP BY lang",
     "oov_tokens": f"SELECT token, n FROM ({_COUNTED('')}) c ANTI JOIN ({_KNOWN}) k USING (token)",
     "word_count": r"SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''))::BIGINT AS words, length(coalesce(text, ''))::BIGINT AS chars FROM documents",
