@@ -89,11 +89,17 @@ def evaluation_rows(spark: SparkSession, path: str, limit: int | None = None, **
 
 
 def numbered_rows(df: DataFrame, name: str) -> DataFrame:
-    """df with its rows numbered from 1 in the order in which they are read."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    from pyspark.sql.types import LongType, StructField, StructType
+    """df with its rows numbered from 1 in the order in which they are read.
 
-    return df.sparkSession.createDataFrame(rows, StructType([*df.schema.fields, StructField(name, LongType())]))
+    df is a scan, of whose partitions each task numbers its own; how many rows come before a partition is a table of one
+    row for each, which is broadcast.
+    """
+    # The number within a partition stands in the lower 33 bits, below the partition's.
+    own = df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    joined = own.join(F.broadcast(counts.select("__p", "__before")), F.col("__part") == F.col("__p"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__before") + F.col("__at") + 1).cast("long").alias(name))
 
 
 def invalid_rows(rows: DataFrame) -> DataFrame:
