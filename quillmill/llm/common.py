@@ -54,7 +54,8 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in columns], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
-_HELD: list[list[DataFrame]] = [[]]
+#: Of each scope what lets go of what it holds, the outermost scope first.
+_HELD: list[list[Callable[[], None]]] = [[]]
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -65,13 +66,13 @@ def hold(df: DataFrame) -> DataFrame:
     innermost holding(), or by release().
     """
     named = df.withColumn("__held", F.lit(uuid.uuid4().hex)).persist(StorageLevel.DISK_ONLY)
-    _HELD[-1].append(named)
+    _HELD[-1].append(named.unpersist)
     return named.drop("__held")
 
 
 @contextmanager
 def holding() -> Iterator[None]:
-    """Lets go at its end of what was held within it, and of nothing else; write results before that."""
+    """Lets go at its end of what was held or cut within it, and of nothing else; write results before that."""
     _HELD.append([])
     try:
         yield
@@ -80,19 +81,38 @@ def holding() -> Iterator[None]:
 
 
 def release() -> None:
-    """Let go of what was held outside any holding(), or since the innermost one began."""
+    """Let go of what was held outside any holding(), or since the innermost one began. What comes of it can be computed
+    again; what was cut there stays until Spark has no more use for it (see cut)."""
     _let_go(_HELD[-1])
 
 
-def _let_go(held: list[DataFrame]) -> None:
+def _let_go(held: list[Callable[[], None]]) -> None:
     while held:
-        held.pop().unpersist()
+        held.pop()()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the cluster's shared folder, without what it came from: for loops."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, computed now and kept in the cluster's shared folder, without what it came from: for loops.
+
+    Within holding() its files go at the end of that. Outside, Spark's cleaner removes them once nothing refers to them,
+    if the session was started with spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()
+    if len(_HELD) > 1:
+        where = done._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if where.isDefined():
+            folder = where.get()
+            _HELD[-1].append(lambda: remove_folder(spark, folder))
+    return done
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df if its rows come in one order whenever they are read, as those of files do; else cut, as what was shuffled may
+    come in another order when a lost task runs again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df) if re.search(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobin|SinglePartition)", plan) else df
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hold, map_texts, pieces_for, table, with_row
+from .common import cut, hold, map_texts, pieces_for, settled, table, with_row
 
 WORDS = 5
 #: A likeness of at least NUM / DEN.
@@ -602,6 +602,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Texts are named by their places in batches, which a task that runs again has to find as they were.
+    docs = settled(docs.select("doc_id", "text"))
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     rows = hold(class_table(docs))
     known = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")

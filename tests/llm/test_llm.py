@@ -6,6 +6,7 @@ import functools
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import zlib
@@ -17,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, chat_trees, fingerprints, language_id, ngram_join, packing, quality_rules, registry, sharding, token_counts, toxicity
+from quillmill.llm import bpe, chat_trees, common, fingerprints, language_id, ngram_join, packing, quality_rules, registry, sharding, token_counts, toxicity
 from tests.compare import SF, rows_of, views
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -822,6 +823,27 @@ def test_hot_length_is_numbered_without_gaps(spark):
         assert sorted(r["rank"] for r in rows if r["k"] == k) == list(range(n))
 
 
+def test_shuffled_docs_are_cut(spark, documents):
+    """A scan stays one; what comes of a shuffle is written first, and joins to the same result."""
+    some = documents.select("doc_id", "text")
+    assert common.settled(some) is some
+    dealt = some.repartition(7)
+    with common.holding():
+        done = common.settled(dealt)
+        assert "RDD" in done._jdf.queryExecution().executedPlan().toString() and done.count() == some.count()
+        want = sorted(map(tuple, ngram_join.ngram_join(some).collect()))
+        assert sorted(map(tuple, ngram_join.ngram_join(dealt).collect())) == want
+
+
+def test_cut_files_go_with_their_scope(spark):
+    files = lambda: {f for d, _, names in os.walk(common.shared_folder(spark).removeprefix("file:")) for f in (os.path.join(d, n) for n in names) if "part-" in f}
+    before = files()
+    with common.holding():
+        kept = common.cut(spark.range(100).withColumn("x", F.col("id") * 2))
+        assert kept.agg(F.sum("x")).first()[0] == 9900 and files() > before
+    assert files() <= before
+
+
 def test_held_results_are_not_stale(spark, tmp_path):
     """A table written anew under its path is read anew, and holding() lets go of its own only."""
     from quillmill.llm import common
