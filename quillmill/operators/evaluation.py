@@ -6,11 +6,15 @@ reduction and the word-pair ratios are null there.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edits import counts, edits
 from ..functions.text import with_case_of
+from .quantiles import exact_quantiles
 
 OVERALL = "overall"
 
@@ -127,11 +131,15 @@ def valid_word_rates(words: DataFrame, training: DataFrame, examples: int = 20)
 
 
 def summary(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """n, mean, median, p95 (between ranks), p95_rank (nearest rank) and max of a column."""
-    v = F.col(value)
-    return df.groupBy(*(keys or [])).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_rank"), F.max(v).alias("max")
-    )
+    """n, mean, median, p95 (between ranks), p95_rank (nearest rank) and max of a column; exact for groups of any size."""
+    v, keys = F.col(value), keys or []
+    sums = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    ranks = exact_quantiles(df, value, keys, between={"median": 0.5, "p95": 0.95}, nearest={"p95_rank": 0.95})
+    if not keys:
+        return sums.join(ranks, F.lit(True), "left").select("n", "mean", "median", "p95", "p95_rank", "max")
+    named = ranks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "median", "p95", "p95_rank")
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys))
+    return sums.join(named, on, "left").select(*keys, "n", "mean", "median", "p95", "p95_rank", "max")
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
@@ -231,11 +239,13 @@ def prediction_report(predictions: DataFrame, modes: list[str]) -> DataFrame:
     return wide.select(*prediction_columns(modes))
 
 
-def word_report(gold: DataFrame, training: DataFrame, answers: DataFrame, seed: int, fraction: float) -> dict[str, DataFrame]:
+def word_report(gold: DataFrame, training: DataFrame, answers: DataFrame, seed: int, fraction: float, diagnostics: DataFrame | None = None, valid: DataFrame | None = None) -> dict[str, DataFrame]:
     """The word-level report: overlap counts, and the metrics of validation and test, whole and by category.
 
     gold: row_number, source, expected, category. training: source, expected. answers: word, normalized. Pairs that
-    training knows are left out before the split.
+    training knows are left out before the split. With diagnostics (as of candidate_diagnostics; source, expected,
+    generated, survivors, failure) also failures by split and why, and how many candidates words had; with valid words
+    (line, word) how many of those that training does not teach are changed.
     """
     flags = overlap_flags(gold, training)
     split = hash_split(flags.where("kept").drop("pair_overlap", "source_overlap", "target_overlap", "kept"), seed, fraction)
@@ -243,4 +253,13 @@ def word_report(gold: DataFrame, training: DataFrame, answers: DataFrame, seed:
     predicted = split.join(own, F.lower("source") == F.col("w"), "left").withColumn("prediction", with_case_of(F.col("source"), F.coalesce("normalized", "source")))
     side = predicted.withColumn("split", F.when(F.col("is_test"), "test").otherwise("validation"))
     named = side.withColumn("category", F.lower(F.btrim("category")))
-    return {"overlap": overlap_counts(flags), "metrics": pair_metrics(side, ["split"]), "categories": pair_metrics(named.where("category <> ''"), ["split", "category"])}
+    report = {"overlap": overlap_counts(flags), "metrics": pair_metrics(side, ["split"]), "categories": pair_metrics(named.where("category <> ''"), ["split", "category"])}
+    if diagnostics is not None:
+        facts = diagnostics.select(F.col("source").alias("d_source"), F.col("expected").alias("d_expected"), "generated", "survivors", "failure").dropDuplicates(["d_source", "d_expected"])
+        met = side.select("split", "source", "expected").join(facts, (F.col("source") == F.col("d_source")) & (F.col("expected") == F.col("d_expected")), "left")
+        report["failures"] = met.where("failure IS NOT NULL").groupBy("split", "failure").agg(F.count(F.lit(1)).alias("n"))
+        report["candidates"] = summary(met, "generated", ["split"]).join(summary(met, "survivors", ["split"]).select("split", *[F.col(c).alias(f"survivors_{c}") for c in ("mean", "median", "p95", "max")]), "split")
+    if valid is not None:
+        answered = valid.join(own, F.lower("word") == F.col("w"), "left").withColumn("prediction", with_case_of(F.col("word"), F.coalesce("normalized", "word")))
+        report["valid_words"] = valid_word_rates(answered.drop("w", "normalized"), training.select("source"))
+    return report

@@ -248,6 +248,16 @@ def test_word_report(spark):
     assert {r["split"]: r["pair_count"] for r in report["metrics"].collect()} == {"test": 1, "validation": 3}
     assert all(r["exact_rate"] == 1.0 for r in report["metrics"].collect())
     assert {r["category"] for r in report["categories"].collect()} == {"slang"}
+    own = answers.select(F.col("word").alias("w"), "normalized")
+    pairs = gold.join(own, F.lower("source") == F.col("w"), "left").withColumn("prediction", F.coalesce("normalized", "source"))
+    facts = nm.candidate_diagnostics(pairs.select("source", "expected", "prediction"), words(spark, VOCABULARY), RULES)
+    valid = spark.createDataFrame([(1, "po"), (2, "zz"), (3, "nmn")], "line long, word string")
+    whole = ev.word_report(gold.withColumn("expected", F.when(F.col("source") == "nmn", "xx").otherwise(F.col("expected"))), training, answers, 1, 0.25, facts.unionByName(facts.where("source = 'nmn'").withColumns({"expected": F.lit("xx"), "failure": F.lit("expected_candidate_not_generated")})), valid)
+    assert sorted(whole) == ["candidates", "categories", "failures", "metrics", "overlap", "valid_words"]
+    assert [(r["failure"], r["n"]) for r in whole["failures"].collect()] == [("expected_candidate_not_generated", 1)]
+    assert sum(r["n"] for r in whole["candidates"].collect()) == 4
+    rates = whole["valid_words"].first()
+    assert (rates["excluded"], rates["evaluated"], rates["changed"], rates["examples"]) == (1, 2, 1, ["zz"])
 
 
 def test_providers(spark):
