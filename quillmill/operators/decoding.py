@@ -126,7 +126,7 @@ def one_pass(slots: DataFrame, provider: LabelProvider, iteration: int, key: str
     """
     n = F.size("slots")
     each = slots.select(key, F.posexplode(F.arrays_zip("slots", F.slice("gaps", F.lit(1), n).alias("gaps"))).alias("slot", "s")).select(key, "slot", F.col("s.slots").alias("sentence"), F.col("s.gaps").alias("gap"))
-    each = each.withColumn("tokens", F.transform(sg.token_spans_of("sentence"), lambda s: s["text"]))
+    each = each.withColumn("tokens", sg.token_texts_of("sentence"))
     answers = provider(each.drop("gap")).select(key, "slot", "labels", "chances")
     done = each.join(answers, [key, "slot"], "left").withColumn("r", lb.replayed("sentence", "labels", "chances"))
     done = done.withColumn("new", F.coalesce("r.output", "sentence"))

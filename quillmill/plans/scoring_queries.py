@@ -127,10 +127,10 @@ def _labels(tokens: str = "tokens") -> F.Column:
 
 def label_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with labels dealt by token number, replayed on the raw text."""
-    from ..functions.segmentation import token_spans_of
+    from ..functions.segmentation import token_texts_of
 
     docs = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("tokens", F.transform(token_spans_of("text"), lambda s: s["text"]))
+    own = docs.withColumn("tokens", token_texts_of("text"))
     done = own.withColumn("labels", _labels()).withColumn("r", lb.replayed("text", "labels", F.transform("tokens", lambda t, i: (i % 10) / 10.0)))
     return done.select("doc_id", F.size("r.changes").cast("long").alias("changes"), F.sha2(F.col("r.output").cast("binary"), 256).alias("sha256"), F.col("r.error").alias("error"))
 

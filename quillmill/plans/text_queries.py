@@ -53,13 +53,15 @@ def adjacent_repeat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_offsets_unicode(spark: SparkSession, sf: str) -> DataFrame:
-    spans = read(spark, sf, "documents").select("doc_id", "text", sg.token_spans_of(F.coalesce("text", F.lit(""))).alias("s"))
+    text = F.coalesce("text", F.lit(""))
+    spans = read(spark, sf, "documents").select("doc_id", "text", sg.token_offsets_of("text").alias("s"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.select(
         "doc_id",
-        F.size("s").cast("long").alias("tokens"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("token_chars"),
-        F.coalesce(F.array_max(F.transform("s", lambda x: x["end"])), F.lit(0)).cast("long").alias("last_end"),
-        tx.utf16_offset(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))).cast("long").alias("utf16_units"),
+        F.size("s.start").cast("long").alias("tokens"),
+        (total("s.end") - total("s.start")).alias("token_chars"),
+        F.coalesce(F.array_max("s.end"), F.lit(0)).cast("long").alias("last_end"),
+        tx.utf16_offset(text, F.length(text)).cast("long").alias("utf16_units"),
     )
 
 
@@ -219,9 +221,11 @@ _KNOWN = f"SELECT DISTINCT unnest({_RUNS}) AS token FROM benchmark"
 _TOKEN = tx.TOKEN.replace("'", "''")
 #: Distances are counted in letters: what takes more than a byte is first given a sign of one byte that no word has.
 _SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@"
+#: More such letters than there are signs is an error, as translate would drop the rest.
+_ENOUGH = f"CASE WHEN length(other) > {len(_SIGNS)} THEN error('more letters than signs') ELSE other END"
 _NEAR = f"""
 w AS (SELECT DISTINCT unnest({_LETTERS("lower(text)")}) AS word FROM documents), b AS (SELECT DISTINCT unnest({_LETTERS("lower(text)")}) AS candidate FROM benchmark),
-u AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS other FROM (SELECT unnest(string_split(word, '')) AS c FROM (SELECT word FROM w UNION ALL SELECT candidate FROM b)) WHERE strlen(c) > 1),
+u AS (SELECT {_ENOUGH} AS other FROM (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS other FROM (SELECT unnest(string_split(word, '')) AS c FROM (SELECT word FROM w UNION ALL SELECT candidate FROM b)) WHERE strlen(c) > 1)),
 x AS (SELECT word, translate(word, other, '{_SIGNS}') AS one FROM w, u WHERE word NOT IN (SELECT candidate FROM b)), y AS (SELECT candidate, translate(candidate, other, '{_SIGNS}') AS two FROM b, u),
 n AS (SELECT word, candidate, one, two, damerau_levenshtein(one, two) AS distance FROM x JOIN y ON strlen(one) - strlen(two) BETWEEN -3 AND 3 WHERE damerau_levenshtein(one, two) <= 3)"""
 
