@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import letter_words
 from .operators import evaluation, experiment, normalization
+from .artifacts import provenance
 from .settings import Settings
 from .sources import readers, writers
 
@@ -60,6 +61,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     outputs = modes[wanted[0]] if len(wanted) == 1 else modes["off"].unionByName(modes["on"])
     metrics, predictions, comparison = evaluation.evaluated(base, outputs, a.group or [])
     writers.write_reports(a.output, metrics, predictions, comparison, metrics.where(F.col("grp") == evaluation.OVERALL), [a.data])
+    settings = {"normalization": a.normalization, "limit": str(a.limit), "groups": ",".join(a.group or [])}
+    writers.write_json_lines(provenance(spark, [a.data], settings), f"{a.output.rstrip('/')}/provenance")
     print(writers.console_table(metrics.orderBy("mode", "position").select("mode", "grp", "n", "precision", "recall", "f05", "error_reduction_rate")))
 
 

@@ -1,5 +1,7 @@
 """Jobs from files to files."""
 
+import json
+
 from quillmill.__main__ import main
 from quillmill.functions.edits import labels_between
 from quillmill.functions.labels import replayed_tokens
@@ -19,6 +21,8 @@ def test_build_normalize_evaluate(spark, tmp_path, capsys):
     (tmp_path / "eval.csv").write_text("input,target,category\nnaol po,sana all po,slang\n")
     assert main(["evaluate", str(tmp_path / "eval.csv"), str(tmp_path / "report"), "--artifacts", out, "--normalization", "both"], spark) == 0
     assert "overall" in capsys.readouterr().out
+    told = json.loads(spark.read.text(str(tmp_path / "report" / "provenance")).first()[0])
+    assert told["settings"]["normalization"] == "both" and len(told["files"]) == 1 and len(told["code"]["code_sha256"]) == 64
     assert main(["evaluate", str(tmp_path / "sheet.csv"), str(tmp_path / "r2")], spark) == 2
 
 
