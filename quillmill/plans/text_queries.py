@@ -241,8 +241,15 @@ _RULES = f"""WITH RECURSIVE w AS (SELECT DISTINCT unnest({_LETTERS("lower(text)"
 s(source, target, n, i, j, src, dst) AS (SELECT source, target, n, 1, 1, NULL::VARCHAR, NULL::VARCHAR FROM p, (VALUES (2), (3)) v(n)
 UNION ALL SELECT source, target, n, i + CASE WHEN substr(source, i, n) = substr(target, j, n) THEN n ELSE 1 END, j + n, substr(source, i, n), substr(target, j, n) FROM s WHERE i <= length(source) AND j <= length(target)),
 o AS (SELECT src, dst FROM s WHERE src IS NOT NULL), a AS (SELECT * FROM o UNION ALL SELECT DISTINCT src, src FROM o), c AS (SELECT src, dst, count(*) AS n FROM a GROUP BY ALL) SELECT src, dst, n, round(n / sum(n) OVER (PARTITION BY src), 9) AS weight FROM c"""
+_QUOTED = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+_DOUBLED = f"""WITH t AS (SELECT regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS w FROM conversations WHERE text IS NOT NULL), l AS (SELECT w, list_transform(w, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS lex FROM t),
+b AS (SELECT w, lex, list_position(lex, true) AS first, len(lex) + 1 - list_position(list_reverse(lex), true) AS last, CASE WHEN list_count(list_filter(lex, lambda x: x)) <= 15 THEN 'short' WHEN list_count(list_filter(lex, lambda x: x)) >= 25 THEN 'long' END AS bucket FROM l),
+e AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM b WHERE bucket IS NOT NULL),
+s AS (SELECT bucket, w[i] AS token, CASE WHEN i = first THEN 'initial' WHEN i = last THEN 'final' WHEN coalesce(w[i - 1] IN ({_QUOTED(ex.CONTEXT_MARKS)}), false) AND i > 1 OR coalesce(w[i + 1] IN ({_QUOTED(ex.CONTEXT_MARKS)}), false) THEN 'punctuation' ELSE 'interior' END || '_' || CASE WHEN lower(w[i]) IN ({_QUOTED(tx.FUNCTION_WORDS)}) THEN 'function' ELSE 'content' END AS stratum FROM e WHERE lex[i])
+SELECT stratum, bucket, count(*) AS n, sum(length(token) + 1)::BIGINT AS added_chars FROM s WHERE stratum IN ({_QUOTED(ex.QUOTAS)}) GROUP BY ALL"""
 
 ORACLES = {
+    "duplicate_injection": _DOUBLED,
     "induced_rules": _RULES,
     "collected_rules": _RULES,
     "protected_span_antijoin": rf"""WITH {_PAGES}, {_spans("u", "p", tx.URL)}, {_spans("e", "p", tx.EMAIL)}, {_spans("w", "p", tx.WORD_LETTERS)}, c AS (SELECT k, a, b FROM u UNION ALL SELECT k, a, b FROM e),
