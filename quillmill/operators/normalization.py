@@ -7,11 +7,11 @@ they become is put in at their offsets.
 from __future__ import annotations
 
 import re
-import unicodedata
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,22 +278,7 @@ _EDITED = T.StructType([T.StructField("normalized", T.StringType()), T.StructFie
 # What automatic words are made of, and what may not touch them.
 _URL = re.compile(r"(?i)(?:https?://|ftp://|www\.)\S+")
 _EMAIL = re.compile(tx.EMAIL)
-_LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|[^\w\s])*")
-
-
-def _words(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of a letter and the letters and marks after it."""
-    for m in _LETTERS.finditer(text):
-        at = m.start()
-        while at < m.end():
-            if not text[at].isalpha():
-                at += 1
-                continue
-            end = at + 1
-            while end < len(text) and unicodedata.category(text[end])[0] in "LM":
-                end += 1
-            yield at, end
-            at = end
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -327,7 +312,7 @@ def spans_in(text: str, tables: Sequence[FormTable]) -> tuple[list[tuple[int, in
     closed = merged(m.span() for guard in (_URL, _EMAIL) for m in guard.finditer(text))
     curated = apart(whole_forms(text, tables), closed) if tables else []
     touched = lambda c: c.isdigit() or c == "_"
-    plain = [(s, e) for s, e in apart(_words(text), merged([*closed, *curated])) if not touched(text[s - 1 : s]) and not touched(text[e : e + 1])]
+    plain = [(s, e) for s, e in apart((m.span() for m in _WORD.finditer(text)), merged([*closed, *curated])) if not touched(text[s - 1 : s]) and not touched(text[e : e + 1])]
     return curated, plain
 
 
