@@ -116,10 +116,15 @@ def probability_facts(probes: DataFrame, keys: list[str]) -> DataFrame:
     return probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"), F.min("margin").alias("least_margin"), F.avg("margin").alias("mean_margin"), F.max("margin").alias("most_margin"), *[F.count_if(F.col("rank") == k).alias(f"rank_{k}") for k in (1, 2, 3)])
 
 
+def drifted_cases(passes: DataFrame) -> DataFrame:
+    """pass, case_id, added: cases to whose first slots a fresh segmentation would add sentences. passes: case_id, pass, initial_slots, fresh_slots."""
+    return passes.select("pass", "case_id", (F.col("fresh_slots") - F.col("initial_slots")).alias("added")).where(F.col("added") > 0)
+
+
 def segmentation_drift(passes: DataFrame) -> DataFrame:
-    """pass, added, cases: sentences that a fresh segmentation would add to the slots of the first pass. passes: case_id, pass, initial_slots, fresh_slots."""
+    """pass, added, cases: how many sentences a fresh segmentation would add, and in how many cases (see drifted_cases)."""
     more = F.greatest(F.lit(0), F.col("fresh_slots") - F.col("initial_slots"))
-    return passes.groupBy("pass").agg(F.sum(more).alias("added"), F.array_sort(F.collect_list(F.when(more > 0, F.col("case_id")))).alias("cases"))
+    return passes.groupBy("pass").agg(F.sum(more).alias("added"), F.count_if(more > 0).alias("cases"))
 
 
 # Samples
