@@ -1,7 +1,7 @@
 """Whole forms in texts: the longest at each place, from the left, whatever their number.
 
-Forms stand in sorted arrays of 64-bit hashes, beside their letters, so that a table of a million is a few dozen
-megabytes of numpy that workers share nothing of but the broadcast. A text's hashes of all stretches follow from one
+Forms stand in sorted arrays of 64-bit hashes, beside their letters: some 100 MB of numpy for a million of 20 letters.
+More are not broadcast; then stretches of texts are joined with them. A text's hashes of all stretches follow from one
 running sum. Stretches that begin and end where a form may are looked up for all places at once, by the number of
 possible ends between; a hash that is found is compared letter by letter.
 """
@@ -9,7 +9,7 @@ possible ends between; a hash that is found is compared letter by letter.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,6 +89,44 @@ def _places(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(~before)[0], np.nonzero(~after)[0] + 1
 
 
+def _plain(text: str) -> tuple[str, Callable[[np.ndarray], np.ndarray]]:
+    """The text folded, with runs of spaces and tabs as one space, and the way from its places back to the text's."""
+    plain = folded(text)
+    if "\t" not in plain and "  " not in plain:
+        return plain, lambda x: x
+    # How much longer the text was up to each run.
+    at, gone, shifts = [0], 0, [0]
+    for m in _RUN.finditer(plain):
+        at.append(m.start() + 1 - gone)
+        gone += len(m[0]) - 1
+        shifts.append(gone)
+    places, longer = np.array(at), np.array(shifts)
+    return _RUN.sub(" ", plain), lambda x: x + longer[np.searchsorted(places, x, side="right") - 1]
+
+
+def ends_of(form: str) -> int:
+    """How many places where a form may end one has, its own end included."""
+    return int(np.count_nonzero(_places(np.frombuffer(folded(form).translate(_KINDS).encode(), np.uint8))[1] <= len(form)))
+
+
+def stretches(text: str, ends: int, longest: int) -> list[tuple[int, int, str]]:
+    """(start, end, folded letters) of all stretches that could be a form with up to so many ends and letters."""
+    if not text:
+        return []
+    plain, back = _plain(text)
+    starts, stops = _places(np.frombuffer(plain.translate(_KINDS).encode(), np.uint8))
+    starts = starts[[not plain[i].isspace() for i in starts.tolist()]]
+    nth = np.searchsorted(stops, starts, side="right")
+    out = []
+    for k in range(ends):
+        open_ = np.nonzero(nth + k < len(stops))[0]
+        first, last = starts[open_], stops[nth[open_] + k]
+        near = last - first <= longest
+        first, last = first[near], last[near]
+        out += [(a, b, plain[i:j]) for a, b, i, j in zip(back(first).tolist(), back(last).tolist(), first.tolist(), last.tolist(), strict=True)]
+    return out
+
+
 @dataclass(frozen=True)
 class FormTable:
     """Forms as arrays: hashes in order, where each form's letters are, what letters begin forms, and how many places
@@ -127,17 +165,7 @@ class FormTable:
         """For each place where forms begin, the longest: (start, end) in the text, by start."""
         if not len(self.hashes) or not text:
             return []
-        plain = folded(text)
-        shifts = None
-        if "\t" in plain or "  " in plain:
-            # Runs of spaces and tabs count as one space; shifts says how much longer the text was up to there.
-            at, gone, shifts = [0], 0, [0]
-            for m in _RUN.finditer(plain):
-                at.append(m.start() + 1 - gone)
-                gone += len(m[0]) - 1
-                shifts.append(gone)
-            plain = _RUN.sub(" ", plain)
-            shifts, at = np.array(shifts), np.array(at)
+        plain, back = _plain(text)
         codes = _codes(plain)
         starts, ends = _places(np.frombuffer(plain.translate(_KINDS).encode(), np.uint8))
         starts = starts[np.isin(codes[starts], self.firsts)]
@@ -155,10 +183,7 @@ class FormTable:
                 if self._holds(int(place[i]), own[i], codes[start:end]):
                     best[open_[i]] = end
         found = np.nonzero(best)[0]
-        first, last = starts[found], best[found]
-        if shifts is not None:
-            first, last = (x + shifts[np.searchsorted(at, x, side="right") - 1] for x in (first, last))
-        return list(zip(first.tolist(), last.tolist(), strict=True))
+        return list(zip(back(starts[found]).tolist(), back(best[found]).tolist(), strict=True))
 
     def _holds(self, place: int, own: np.uint64, letters: np.ndarray) -> bool:
         while place < len(self.hashes) and self.hashes[place] == own:

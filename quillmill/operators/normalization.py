@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions.candidates import CANDIDATE, candidates, candidates_udf, eligible, pair_rules_udf
 from ..functions.distance import damerau_levenshtein, dld
-from ..functions.forms import EACH, FormTable, whole_forms
+from ..functions.forms import EACH, FormTable, ends_of, folded, leftmost, stretches, whole_forms
 
 #: Tables that travel with a UDF may have so many rows; larger ones are joined.
 MOST_RULES, MOST_WORDS, MOST_INDEXED, MOST_ANSWERS = 200_000, 500_000, 30_000, 500_000
@@ -303,14 +303,15 @@ def apart(spans: Iterable[tuple[int, int]], closed: Sequence[tuple[int, int]]) -
     return out
 
 
-def spans_in(text: str, tables: Sequence[FormTable]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def spans_in(text: str, tables: Sequence[FormTable], met: Sequence | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Curated and automatic spans of a text.
 
     URLs and addresses are left alone. A curated form is matched longest first, not inside words, and not where
-    an apostrophe or dash ties it to one. Words are runs of letters that no digit or underscore touches.
+    an apostrophe or dash ties it to one. Words are runs of letters that no digit or underscore touches. met: the longest
+    form at each place, where they have been found already.
     """
     closed = merged(m.span() for guard in (_URL, _EMAIL) for m in guard.finditer(text))
-    curated = apart(whole_forms(text, tables), closed) if tables else []
+    curated = apart(whole_forms(text, tables) if met is None else leftmost([(m["start"], m["end"]) for m in met]), closed) if tables or met is not None else []
     touched = lambda c: c.isdigit() or c == "_"
     plain = [(s, e) for s, e in apart((m.span() for m in _WORD.finditer(text)), merged([*closed, *curated])) if not touched(text[s - 1 : s]) and not touched(text[e : e + 1])]
     return curated, plain
@@ -339,11 +340,31 @@ def with_case_of(source: str, suggestion: str) -> str:
     return suggestion[:1].upper() + suggestion[1:] if source[:1] == source[:1].upper() != source[:1].lower() else suggestion
 
 
-def form_tables(forms: DataFrame, each: int = EACH) -> list[FormTable]:
-    """Tables of up to about `each` of the forms (column form), dealt by hash; any number of forms has tables enough."""
-    own = forms.select("form").where("form IS NOT NULL").distinct()
-    parts = -(-own.count() // each)
-    return [FormTable.of(r["form"] for r in own.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).toLocalIterator()) for part in range(parts)]
+def met_forms(texts: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """key, met: of each text (key, text) that has some, the longest form (column form) at each place, by start.
+
+    For any number of forms: the stretches of texts that could be forms are joined with them by their letters.
+    """
+
+    @F.pandas_udf("ends int, letters int")
+    def size(own: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"ends": [ends_of(f) for f in own], "letters": own.str.len()})
+
+    @F.pandas_udf(T.StringType())
+    def fold(own: pd.Series) -> pd.Series:
+        return own.map(folded)
+
+    known = forms.select(fold("form").alias("letters")).where("letters <> ''").distinct()
+    most = known.select(size("letters").alias("s")).agg(F.max("s.ends"), F.max("s.letters")).first()
+    ends, longest = most[0] or 0, most[1] or 0
+
+    @F.pandas_udf(T.ArrayType(_SPAN))
+    def cut(own: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b, "word": x} for a, b, x in stretches(t or "", ends, longest)] for t in own], dtype=object)
+
+    each = texts.select(key, F.inline(cut("text")))
+    longest_each = each.join(known, F.col("word") == F.col("letters"), "left_semi").groupBy(key, "start").agg(F.max("end").alias("end"))
+    return longest_each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("met"))
 
 
 def form_map(forms: DataFrame) -> dict[str, tuple[str, str]] | DataFrame:
@@ -365,6 +386,7 @@ def normalize_documents(docs: DataFrame, vocabulary: DataFrame, rules: Rules | D
     changes: array of start, end, word, suggestion, strategy, source_id, in order. Null texts stay null. Spans are found
     in one walk over each text; distinct words are normalized once. Up to MOST_ANSWERS words that change travel to the
     texts, and nothing of a document is shuffled; beyond, and for a table of forms, spans are joined with what they become.
+    Up to EACH forms are looked for where the texts are; more are joined with stretches of the texts.
     """
     base = docs.select(key, F.col(text).alias("text"))
     if isinstance(curated, DataFrame):
@@ -374,24 +396,28 @@ def normalize_documents(docs: DataFrame, vocabulary: DataFrame, rules: Rules | D
         known = dict(curated)
         forms = base.sparkSession.createDataFrame([(k, n, i) for k, (n, i) in sorted(known.items())], "form string, target string, source_id string")
     spark = base.sparkSession
-    tables = spark.sparkContext.broadcast([FormTable.of(known)] if known else [] if known is not None else form_tables(forms))
+    own = [r["form"] for r in forms.select("form").where("form IS NOT NULL").limit(EACH + 1).collect()] if known is None else list(known)
+    many = len(own) > EACH
+    tables = spark.sparkContext.broadcast([FormTable.of(own)] if own and not many else [])
+    kind = T.ArrayType(T.StructType(_SPAN.fields[:2]))
+    texts = base.join(met_forms(base, forms, key), key, "left").withColumn("met", F.coalesce("met", F.array().cast(kind))) if many else base.withColumn("met", F.lit(None).cast(kind))
 
     @F.pandas_udf(_SPANS)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = [[[{"start": s, "end": e, "word": t[s:e]} for s, e in spans] for spans in spans_in(t, tables.value)] for t in (x or "" for x in texts)]
+    def find(own_texts: pd.Series, met: pd.Series) -> pd.DataFrame:
+        rows = [[[{"start": s, "end": e, "word": t[s:e]} for s, e in spans] for spans in spans_in(t, tables.value, m)] for t, m in zip((x or "" for x in own_texts), met, strict=True)]
         return pd.DataFrame(rows, columns=["curated", "words"])
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def words_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({t[s:e].lower() for s, e in spans_in(t, tables.value)[1]}) for t in (x or "" for x in texts)], dtype=object)
+    def words_of(own_texts: pd.Series, met: pd.Series) -> pd.Series:
+        return pd.Series([list({t[s:e].lower() for s, e in spans_in(t, tables.value, m)[1]}) for t, m in zip((x or "" for x in own_texts), met, strict=True)], dtype=object)
 
-    asked = base.select(F.explode(words_of("text")).alias("word")).distinct()
+    asked = texts.select(F.explode(words_of("text", "met")).alias("word")).distinct()
     answers = normalized_words(asked, vocabulary, rules, **options).select(F.col("word").alias("w"), F.col("normalized").alias("target"))
     few = answers.limit(MOST_ANSWERS + 1).collect() if known is not None and len(known) <= MOST_ANSWERS else None
     if few is not None and len(few) <= MOST_ANSWERS:
         shared = spark.sparkContext.broadcast(({r["w"]: r["target"] for r in few}, known))
         return base.withColumn("e", _edited(tables, shared)("text")).select(key, "text", "e.changes", F.when(F.col("text").isNotNull(), F.col("e.normalized")).alias("normalized")).withColumn("changes", F.when(F.size("changes") > 0, F.col("changes")))
-    spans = base.withColumn("s", find("text"))
+    spans = texts.withColumn("s", find("text", "met"))
     of_forms = spans.select(key, F.inline("s.curated")).join(forms, tx.form_key("word") == F.col("form")).select(key, "start", "end", "word", "target", F.lit("curated_rule").alias("strategy"), "source_id")
     automatic = spans.select(key, F.inline("s.words")).join(answers, F.lower("word") == F.col("w")).select(key, "start", "end", "word", "target", F.lit("ngram_dld").alias("strategy"), F.lit(None).cast("string").alias("source_id"))
     edits = of_forms.unionByName(automatic).withColumn("suggestion", tx.with_case_of(F.col("word"), F.col("target"))).where("suggestion <> word")

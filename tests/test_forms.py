@@ -3,7 +3,7 @@
 import random
 import re
 
-from quillmill.functions.forms import FormTable, folded, leftmost, whole_forms
+from quillmill.functions.forms import FormTable, ends_of, folded, leftmost, stretches, whole_forms
 
 PIECES = ["ab", "a", "b", "ko", "x", "?", "'", "’", "-", " ", "  ", "\t", "\n", "é", "É", "ß", "ſ", "K", "_", "1", "🙂", "'s", "ı", "İ", "–", "Ab"]
 
@@ -29,6 +29,20 @@ def test_forms_are_those_of_the_pattern():
     assert found > 500
 
 
+def test_stretches_hold_every_form():
+    """Looking stretches up gives what the table gives."""
+    r = random.Random(4)
+    for _ in range(1500):
+        forms = {re.sub(r"\s+", " ", "".join(r.choice(PIECES) for _ in range(r.randint(1, 5)))).strip().lower() for _ in range(r.randint(1, 8))} - {""}
+        text = "".join(r.choice([*PIECES, *sorted(forms), " "]) for _ in range(r.randint(0, 25)))
+        known = {folded(f) for f in forms}
+        longest = {}
+        for start, end, letters in stretches(text, max(map(ends_of, forms), default=0), max(map(len, known), default=0)):
+            if letters in known:
+                longest[start] = max(end, longest.get(start, 0))
+        assert sorted(longest.items()) == FormTable.of(forms).matches(text)
+
+
 def test_folding_is_what_the_pattern_ignores():
     for code in range(0x20, 0x10000):
         if not 0xD800 <= code < 0xE000:

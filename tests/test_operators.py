@@ -55,7 +55,7 @@ def test_normalize_documents(spark):
     assert {c["strategy"] for c in rows[0]["changes"]} == {"curated_rule", "ngram_dld"}
 
 
-@pytest.mark.parametrize("kind", ["answers", "forms", "rules", "relational"])
+@pytest.mark.parametrize("kind", ["answers", "forms", "many_forms", "rules", "relational"])
 def test_large_tables_give_the_same(spark, monkeypatch, kind):
     """Answers, forms, rules and vocabulary beyond what travels with a UDF: joined, with the same result."""
     curated = {"naol": ("sana all", "7"), "g ka": ("game ka", "8")}
@@ -70,7 +70,9 @@ def test_large_tables_give_the_same(spark, monkeypatch, kind):
         monkeypatch.setattr(nm, "MOST_ANSWERS", 2)
     elif kind == "relational":
         options["relational"] = True
-    got = nm.normalize_documents(docs, vocabulary, rules if kind in ("rules", "relational") else RULES, forms if kind == "forms" else curated, **options)
+    elif kind == "many_forms":
+        monkeypatch.setattr(nm, "EACH", 1)
+    got = nm.normalize_documents(docs, vocabulary, rules if kind in ("rules", "relational") else RULES, forms if "forms" in kind else curated, **options)
     assert {r["doc_id"]: r for r in got.select(*want[0].asDict()).collect()} == want
     monkeypatch.setattr(nm, "MOST_RULES", 1)
     assert sorted(nm.rule_map(rules).collect()) == sorted(rules.select("src", "dst", "weight", F.col("ord").cast("long")).collect())
