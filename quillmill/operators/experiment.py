@@ -217,26 +217,31 @@ def controls(rows: DataFrame, used: DataFrame, quota: int, seed: int) -> DataFra
     return ranked.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("rank", "key"))).where(F.col("r") <= quota).drop("r")
 
 
-def corruption_candidates(rows: DataFrame) -> DataFrame:
-    """Every way to say one token twice in clean rows (key, clean_id, text) of a length bucket: stratum, bucket, source_text, target_text, token, token_index.
+def corruption_places(rows: DataFrame) -> DataFrame:
+    """The tokens of clean rows (key, clean_id, text) of a length bucket that can be said twice: key, clean_id, stratum, bucket, token, token_index, start, end, text.
 
     The stratum is the token's place (initial, final, interior, or beside a mark) and whether it is a function word;
-    combinations without a quota fall out.
+    combinations without a quota fall out. What a row's tokens share is told before they become rows, and a token's row
+    has its neighbours alone.
     """
-    base = rows.select("key", "clean_id", "text").withColumn("spans", sg.token_spans_of("text")).withColumn("tokens", F.transform("spans", lambda s: s["text"]))
-    lexical = F.size(F.filter("tokens", lambda t: tx.is_lexical(t)))
-    base = base.withColumn("bucket", tx.length_bucket(lexical)).where("bucket IS NOT NULL")
-    each = base.select("*", F.posexplode("spans").alias("token_index", "span")).withColumn("token", F.col("span.text"))
-    i = F.col("token_index")
-    letters = F.transform(F.col("tokens"), lambda t: tx.is_lexical(t))
-    first, last = F.array_position(letters, True) - 1, F.size(letters) - F.array_position(F.reverse(letters), True)
+    spans = rows.select("key", "clean_id", "text", sg.token_spans_of("text").alias("spans"))
+    letters = F.transform("spans", lambda s: tx.is_lexical(s["text"]))
+    near = F.transform("spans", lambda s, i: F.struct(i.alias("i"), s.alias("span"), F.get("spans", i - 1)["text"].alias("before"), F.get("spans", i + 1)["text"].alias("after")))
+    base = spans.select("key", "clean_id", "text", "spans", letters.alias("letters"), tx.length_bucket(F.size(F.filter(letters, lambda x: x))).alias("bucket")).where("bucket IS NOT NULL")
+    ends = base.select("key", "clean_id", "text", "bucket", (F.array_position("letters", True) - 1).alias("first"), (F.size("letters") - F.array_position(F.reverse("letters"), True)).alias("last"), near.alias("near"))
+    each = ends.select("key", "clean_id", "text", "bucket", "first", "last", F.explode("near").alias("t")).select("*", F.col("t.i").alias("token_index"), F.col("t.span.text").alias("token"))
     marks = list(CONTEXT_MARKS)
-    beside = F.coalesce(F.get("tokens", i - 1).isin(*marks), F.lit(False)) | F.coalesce(F.get("tokens", i + 1).isin(*marks), F.lit(False))
-    place = F.when(i == first, "initial").when(i == last, "final").when(beside, "punctuation").otherwise("interior")
+    beside = F.coalesce(F.col("t.before").isin(*marks), F.lit(False)) | F.coalesce(F.col("t.after").isin(*marks), F.lit(False))
+    place = F.when(F.col("token_index") == F.col("first"), "initial").when(F.col("token_index") == F.col("last"), "final").when(beside, "punctuation").otherwise("interior")
     kind = F.when(tx.is_function_word("token"), "function").otherwise("content")
     each = each.where(tx.is_lexical("token")).withColumn("stratum", F.concat_ws("_", place, kind)).where(F.col("stratum").isin(*QUOTAS))
-    source = tx.with_duplicate(F.col("text"), F.col("span.start"), F.col("span.end"))
-    return each.select(F.concat_ws(":", F.col("key").cast("string"), i.cast("string")).alias("key"), "clean_id", "stratum", "bucket", "token", "token_index", source.alias("source_text"), F.col("text").alias("target_text"))
+    return each.select(F.concat_ws(":", F.col("key").cast("string"), F.col("token_index").cast("string")).alias("key"), "clean_id", "stratum", "bucket", "token", "token_index", F.col("t.span.start").alias("start"), F.col("t.span.end").alias("end"), "text")
+
+
+def corruption_candidates(rows: DataFrame) -> DataFrame:
+    """Every way to say one token twice in clean rows, as of corruption_places: key, clean_id, stratum, bucket, token, token_index, source_text, target_text."""
+    source = tx.with_duplicate(F.col("text"), F.col("start"), F.col("end"))
+    return corruption_places(rows).select("key", "clean_id", "stratum", "bucket", "token", "token_index", source.alias("source_text"), F.col("text").alias("target_text"))
 
 
 def cyclic(items: DataFrame, n: int, order: str) -> DataFrame:
