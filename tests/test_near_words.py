@@ -1,6 +1,7 @@
 """Words near known words against all pairs."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -63,3 +64,23 @@ def test_pairs_of_tables(spark, trie_words):
     assert nw.near_pairs(df.limit(0), other).collect() == nw.near_pairs(df, other.limit(0)).collect() == []
     with pytest.raises(ValueError):
         nw.near_pairs(df, other, 4)
+
+
+def test_many_words_meet_few_known_ones_quickly():
+    """Words of some length against a vocabulary, 10,000 at once: down the trie alone they take several seconds."""
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("aeiounlstk") for _ in range(n))
+    known, words = sorted({letters(r.randint(4, 9)) for _ in range(4000)}), sorted({letters(r.randint(6, 13)) for _ in range(10_000)})
+    trie = nw.Trie.of(known)
+    began = time.process_time()
+    got = list(nw.nearest(trie, words, 3, 1))
+    assert time.process_time() - began < 4
+    some = words[::500]
+    assert sorted(x for x in nw.nearest(trie, some, 3)) == all_pairs(some, known, 3)
+    assert {w for w, _, _ in got if w in set(some)} == {w for w, _, _ in all_pairs(some, known, 3)}
+
+
+def test_large_vocabularies_go_down_the_trie(monkeypatch):
+    monkeypatch.setattr(nw, "HASHES", 20)
+    trie = nw.Trie.of(["kain", "kumain", "masaya"])
+    assert not trie.met.get(3) and sorted(nw.nearest(trie, ["kainn", "masiya"], 3)) == all_pairs(["kainn", "masiya"], ["kain", "kumain", "masaya"], 3)
