@@ -40,3 +40,8 @@ def structs(kinds: Iterable[tuple[str, pa.DataType]], columns: Sequence[Sequence
 
 def whole(parts: Iterable[pa.Array]) -> pa.Array:
     return pa.concat_arrays(list(parts))
+
+
+def joined(texts: pa.ListArray) -> pa.Array:
+    """The texts of each list as one: what stretches() measures lists of texts by."""
+    return pc.binary_join(texts, "")
