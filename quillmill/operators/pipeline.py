@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment as al
 from ..functions import text as tx
-from .decoding import LabelProvider, corrected
+from .decoding import LabelProvider, TokenProvider, corrected, corrected_rows
 from .normalization import normalize_documents
 
 LONGEST_TEXT = 5000
@@ -25,8 +25,7 @@ def analyze(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[
     """key, original, normalized, corrected, suggestions. Key is unique; a null text counts as empty."""
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     normal = normalize_documents(base, vocabulary, rules, curated, key)
-    fixed = corrected(normal, provider, passes, key, "normalized")
-    joined = normal.join(fixed, key)
+    joined = corrected_rows(normal, provider, passes, "normalized") if isinstance(provider, TokenProvider) else normal.join(corrected(normal, provider, passes, key, "normalized"), key)
     edits = F.transform(
         F.coalesce("changes", F.array().cast(normal.schema["changes"].dataType)),
         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["word"].alias("original"), c["suggestion"].alias("replacement"), F.lit("NORMALIZATION").alias("tag"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("iteration")),

@@ -5,9 +5,12 @@ import subprocess
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from quillmill.functions import edits as ed
 from quillmill.functions import labels as lb
 from quillmill.functions import segmentation as sg
+from quillmill.operators import decoding as dc
 from quillmill.operators import experiment as ex
 
 
@@ -90,3 +93,16 @@ def test_edits_are_those_of_the_table():
         # What both begin and end with is left out first; so other letters stand at the ends.
         x, y = ([*e[0], *(r.choice("abc") for _ in range(r.randint(0, 8))), *e[1]] for e in ("pq", "rs"))
         assert ed.token_edits(x, y) == plain(x, y)
+
+
+def test_passes_by_tokens_stay_in_rows(spark):
+    """What labels by tokens alone give is what a provider of rows gives, without a shuffle."""
+    given = dc.TokenProvider(
+        lambda tokens: F.transform(tokens, lambda t, i: F.when(i == 0, "$TRANSFORM_CASE_CAPITAL").when(t == "x", "$MERGE_SPACE@").when(i % 3 == 2, lb.DELETE).otherwise("$ADD_PUNC_EMARK")),
+        lambda tokens: F.transform(tokens, lambda t, i: (i % 5) / 5.0),
+    )
+    texts = [None, "", "  ", "ang bata. siya ay  kumain!\n sila x", "a b c d e. 🙂 f g h i", "x. x y"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    in_rows = dc.corrected(docs, given, 3)
+    assert sorted(in_rows.collect()) == sorted(dc.corrected(docs, lambda slots: given(slots), 3).collect())
+    assert "Exchange" not in in_rows._jdf.queryExecution().executedPlan().toString()
