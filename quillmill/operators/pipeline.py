@@ -21,10 +21,10 @@ def accepted_texts(docs: DataFrame, text: str = "text", most: int = LONGEST_TEXT
     return docs.where(fits), docs.where(~fits)
 
 
-def analyze(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]] | DataFrame, curated: Mapping[str, tuple[str, str]] | DataFrame, provider: LabelProvider, passes: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, original, normalized, corrected, suggestions. Key is unique; a null text counts as empty."""
+def analyze(docs: DataFrame, vocabulary: DataFrame, rules: Mapping[str, Mapping[str, float]] | DataFrame, curated: Mapping[str, tuple[str, str]] | DataFrame, provider: LabelProvider, passes: int = 5, key: str = "doc_id", text: str = "text", cutoff: int = 100) -> DataFrame:
+    """key, original, normalized, corrected, suggestions. Key is unique; a null text counts as empty. cutoff: of a suffix's candidates, in normalization."""
     base = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    normal = normalize_documents(base, vocabulary, rules, curated, key)
+    normal = normalize_documents(base, vocabulary, rules, curated, key, cutoff=cutoff)
     joined = corrected_rows(normal, provider, passes, "normalized") if isinstance(provider, TokenProvider) else normal.join(corrected(normal, provider, passes, key, "normalized"), key)
     edits = F.transform(
         F.coalesce("changes", F.array().cast(normal.schema["changes"].dataType)),

@@ -341,6 +341,21 @@ def test_queries_run_the_production_number_of_passes(spark, monkeypatch):
     assert seen == [5, 5]
 
 
+def test_suggestion_replay_normalizes_words(spark, monkeypatch):
+    """Automatic normalization changes words that the passes then start from, and its edits are among the suggestions."""
+    from quillmill.plans import scoring_queries as sq
+
+    seen = {}
+    normalize, analyze = pl.normalize_documents, pl.analyze
+    monkeypatch.setattr(pl, "normalize_documents", lambda *a, **b: seen.update(b, normal=normalize(*a, **b)) or seen["normal"])
+    monkeypatch.setattr(sq.pl, "analyze", lambda *a: seen.update(done=analyze(*a)) or seen["done"])
+    sq.suggestion_replay(spark, "/root/testdata/sf0.001")
+    made = seen["normal"].select(F.explode("changes").alias("c")).where("c.strategy = 'ngram_dld'")
+    assert not made.isEmpty()
+    assert seen["cutoff"] == 100
+    assert not seen["done"].select(F.explode("suggestions").alias("s")).where("s.source = 'normalization' AND lower(s.original) <> 'the'").isEmpty()
+
+
 def test_rows_that_share_a_key_are_all_normalized(spark):
     """Rows with one key and different texts, repeated rows and rows without a key are all there, told apart."""
     from quillmill.functions import text as tx
